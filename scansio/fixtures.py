@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scansio.functions.text import clean_text
+from scansio.functions.text import delete_marks, squeeze_whitespace
 from scansio.session import spread
 
 
@@ -17,36 +17,33 @@ def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", "lang", "text", *columns), "doc_id")
 
 
-def _pattern(words, stressed):
-    return F.array_join(F.transform(words, lambda w: F.when(stressed(w), "+").otherwise("-")), "")
+def _pattern(stressed: str) -> str:
+    return f"array_join(transform(split(text, ' '), w -> if({stressed}, '+', '-')), '')"
+
+
+_MODEL = "length(w) >= 5 and not (length(w) = 5 and right(w, 1) = 'e')"
 
 
 def verses(spark: SparkSession, folder: str) -> DataFrame:
     """Annotated verse lines: text, gold pattern, shipped baseline and a model's output."""
     pieces = F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n")
-    lines = documents(spark, folder).select("doc_id", "lang", F.posexplode(pieces).alias("pos", "raw"))
-    rows = lines.withColumn("text", clean_text("raw")).filter("text <> ''")
-    words = F.split("text", " ")
-
-    def model(w):
-        return (F.length(w) >= 5) & ~((F.length(w) == 5) & (F.right(w, F.lit(1)) == "e"))
-
-    rows = rows.withColumns({
-        "meter": _pattern(words, lambda w: F.length(w) >= 5),
-        "sota": _pattern(words, lambda w: F.length(w) >= 6),
-        "pred": _pattern(words, model),
-        "source": F.when(F.col("doc_id") % 10 < 4, "b").otherwise("a"),
-        "manually_checked": F.col("doc_id") % 7 != 0,
-        "scores": F.transform(words, lambda w: (
-            (F.when(model(w), 5).otherwise(0) + F.length(w) % 5).cast("double") / 10)),
-    })
-    marked = F.concat(F.lit("("), F.substring("meter", 1, 2), F.lit(")|"), F.expr("substr(meter, 3)"))
-    third = F.when(F.col("doc_id") % 3 == 0, F.col("meter")).otherwise(F.col("pred"))
-    return rows.withColumns({
-        "length": F.length("meter"),
-        "raw_pattern": F.when((F.col("doc_id") + F.col("pos")) % 97 == 0, "irregular").otherwise(marked),
-        "all_predicted": F.array("sota", "pred", third),
-    })
+    # cleaned inside the array: a filter on a projected expression would clean twice
+    marked = F.transform(pieces, lambda p: F.struct(p.alias("raw"), delete_marks(p).alias("text")))
+    cleaned = F.transform(marked, lambda m: F.struct(m["raw"].alias("raw"),
+                                                     squeeze_whitespace(m["text"]).alias("text")))
+    lines = documents(spark, folder).select("doc_id", "lang", F.posexplode(cleaned).alias("pos", "line"))
+    return (lines.filter("line.text <> ''").selectExpr("doc_id", "lang", "pos", "line.raw", "line.text")
+            .selectExpr(
+                "*", f"{_pattern('length(w) >= 5')} as meter", f"{_pattern('length(w) >= 6')} as sota",
+                f"{_pattern(_MODEL)} as pred", "if(doc_id % 10 < 4, 'b', 'a') as source",
+                "doc_id % 7 <> 0 as manually_checked",
+                "transform(split(text, ' '), w -> "
+                f"cast(if({_MODEL}, 5, 0) + length(w) % 5 as double) / 10) as scores")
+            .selectExpr(
+                "*", "length(meter) as length",
+                "if((doc_id + pos) % 97 = 0, 'irregular', "
+                "concat('(', substr(meter, 1, 2), ')|', substr(meter, 3))) as raw_pattern",
+                "array(sota, pred, if(doc_id % 3 = 0, meter, pred)) as all_predicted"))
 
 
 def stanzas(spark: SparkSession, folder: str) -> DataFrame:

@@ -6,18 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scansio.operators.metrics import arg_max, hit
-from scansio.operators.sampling import SEED, hash_key
+from scansio.operators.sampling import LEAF_ROWS, SEED, hash_key
 from scansio.session import BOUNDED_ROWS, bounded, stage
 
 
-def index_rows(pool: DataFrame, label: str, key: str, seed: int = SEED, hex_digits: int = 2) -> DataFrame:
+def index_rows(pool: DataFrame, label: str, key: str, seed: int = SEED,
+               cell_rows: int = LEAF_ROWS) -> DataFrame:
     """0-based place of each row in its class, in draw order.
 
     A class may hold a third of all rows, so places are counted inside cells of
     the leading hash digits and shifted by the size of the cells before them.
+    There are as many digits as keep a cell near ``cell_rows`` rows even if one
+    class holds them all.
     """
-    rows = stage(pool.withColumn("h", hash_key(F.col(key).cast("string"), seed=seed))
-                 .withColumn("cell", F.substring("h", 1, hex_digits)), "pool")
+    staged = stage(pool.withColumn("h", hash_key(F.col(key).cast("string"), seed=seed)), "pool")
+    hex_digits = 1
+    total = staged.count()
+    while total > cell_rows * 16 ** hex_digits:
+        hex_digits += 1
+    rows = staged.withColumn("cell", F.substring("h", 1, hex_digits))
     sizes = rows.groupBy(label, "cell").agg(F.count("*").alias("rows"))
     before = F.sum("rows").over(Window.partitionBy(label).orderBy("cell")) - F.col("rows")
     shifts = sizes.select(label, "cell", before.alias("shift"))

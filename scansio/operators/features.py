@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scansio.functions.text import tokenise
 from scansio.operators.metrics import vector_moments
-from scansio.session import bounded
+from scansio.session import bounded, stage
 
 MAX_FEATURES = 10_000
 MAX_LENGTH = 24
@@ -41,12 +41,12 @@ def vocabulary(df: DataFrame, text: str, source: str, position: str,
     """The ``max_features - 1`` commonest words, ranked from 1: ``word, count, idx``.
 
     Ties go to the word seen first.  Each task keeps its own best words, so the
-    ranking window sees no more than the vocabulary.
+    ranking window sees no more than the vocabulary.  The result is computed once.
     """
     order = [F.desc("count"), F.asc("seen")]
     top = token_counts(df, text, source, position).orderBy(*order).limit(max_features - 1)
     rank = F.row_number().over(Window.orderBy(*order))
-    return top.withColumn("idx", rank).select("word", "count", "idx")
+    return bounded(top.withColumn("idx", rank).select("word", "count", "idx"), "vocabulary")
 
 
 def encode_tokens(df: DataFrame, key: Sequence[str], text: str, vocab: DataFrame) -> DataFrame:
@@ -72,13 +72,13 @@ def pad_tokens(sequence: Column | str, width: int = MAX_LENGTH) -> Column:
 def vector_lookup(vocab: DataFrame, vectors: DataFrame) -> DataFrame:
     """``word, idx, vector`` with a lower-case fallback; unknown words keep a null.
 
-    The vector table is far larger than the vocabulary, so it is first cut to
-    the words asked for.
+    The vector table is far larger than the vocabulary, so it is first cut, in
+    one scan, to the words asked for.
     """
     vocab = bounded(vocab.select("word", "idx"), "vocabulary")
     wanted = bounded(
         vocab.select("word").unionByName(vocab.select(F.lower("word").alias("word"))).distinct(), "wanted")
-    hits = vectors.join(wanted, "word", "left_semi")
+    hits = stage(vectors.join(wanted, "word", "left_semi"), "vectors")
     lower = hits.select(F.col("word").alias("lower_word"), F.col("vector").alias("lower_vector"))
     return (vocab.join(hits, "word", "left")
             .join(lower, F.lower("word") == F.col("lower_word"), "left")
@@ -134,6 +134,6 @@ def collate_tokens(df: DataFrame, batch: str, tokens: str, pad: int, left_pad: b
 
 def label_index(df: DataFrame, column: str, index: str = "label") -> DataFrame:
     """0-based index of a class in the sorted class names, from the class table."""
-    classes = bounded(df.select(column).distinct(), "classes")
-    numbered = classes.withColumn(index, F.row_number().over(Window.orderBy(column)) - 1)
-    return df.join(F.broadcast(numbered), column)
+    place = F.row_number().over(Window.orderBy(column)) - 1
+    numbered = df.select(column).distinct().withColumn(index, place)
+    return df.join(bounded(numbered, "classes"), column)
