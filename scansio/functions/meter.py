@@ -24,13 +24,15 @@ def meter_length(pattern: Column | str) -> Column:
     return F.length(_col(pattern))
 
 
+def _symbols(pattern: Column | str) -> Column:
+    # split once per row: a pattern used inside a lambda would be computed per symbol
+    return F.filter(F.split(_col(pattern), ""), lambda s: s != "")
+
+
 def encode_meter(pattern: Column | str, pad: int = LABEL_WIDTH) -> Column:
     """0/1 vector of width ``pad``: 1 where the syllable is stressed."""
-    pattern = _col(pattern)
-    return F.transform(
-        F.sequence(F.lit(1), F.lit(pad)),
-        lambda i: (F.substr(pattern, i, F.lit(1)) == STRESSED).cast("int"),
-    )
+    labels = F.transform(_symbols(pattern), lambda s: (s == STRESSED).cast("int"))
+    return F.slice(F.concat(labels, F.array_repeat(F.lit(0), F.lit(pad))), 1, pad)
 
 
 def decode_meter(labels: Column | str) -> Column:
@@ -40,9 +42,8 @@ def decode_meter(labels: Column | str) -> Column:
 
 def stress_index(pattern: Column | str) -> Column:
     """0-based positions of stressed syllables."""
-    pattern = _col(pattern)
-    places = F.sequence(F.lit(0), F.length(pattern))
-    return F.filter(places, lambda i: F.substr(pattern, i + 1, F.lit(1)) == STRESSED)
+    places = F.transform(_symbols(pattern), lambda s, i: F.when(s == STRESSED, i))
+    return F.filter(places, lambda i: i.isNotNull())
 
 
 def stress_labels(pattern: Column | str) -> Column:

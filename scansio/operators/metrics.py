@@ -62,17 +62,21 @@ def label_recall(gold: Column | str, pred: Column | str) -> Column:
 
 def token_f1(gold: Column | str, pred: Column | str) -> Column:
     """Token-overlap F1 of one row; without tokens on a side it is equality."""
-    g, p = answer_tokens(gold), answer_tokens(pred)
-
     def times(tokens: Column, word: Column) -> Column:
         return F.size(F.filter(tokens, lambda x: x == word))
 
-    common = F.aggregate(
-        F.array_intersect(g, p), F.lit(0),
-        lambda total, word: total + F.least(times(g, word), times(p, word)))
-    size = F.size(g) + F.size(p)
-    return (F.when((F.size(g) == 0) | (F.size(p) == 0), (F.size(g) == F.size(p)).cast("double"))
-            .otherwise(common * 2.0 / size))
+    def f1(pair: Column) -> Column:
+        g, p = pair["g"], pair["p"]
+        common = F.aggregate(
+            F.array_intersect(g, p), F.lit(0),
+            lambda total, word: total + F.least(times(g, word), times(p, word)))
+        empty = (F.size(g) == 0) | (F.size(p) == 0)
+        return (F.when(empty, (F.size(g) == F.size(p)).cast("double"))
+                .otherwise(common * 2.0 / (F.size(g) + F.size(p))))
+
+    # the one-element array binds both token lists, so each is computed once per row
+    pair = F.struct(answer_tokens(gold).alias("g"), answer_tokens(pred).alias("p"))
+    return F.get(F.transform(F.array(pair), f1), F.lit(0))
 
 
 def normalised_hit(gold: Column | str, pred: Column | str) -> Column:
@@ -124,15 +128,16 @@ def position_confusion(df: DataFrame, gold: str, pred: str, by: Sequence[str] =
     """How often each gold symbol was predicted as each symbol, per position.
 
     A line yields one row per syllable, combined on the map side into at most
-    four rows per position.
+    four rows per position; a syllable without a prediction counts as the empty
+    symbol.
     """
-    places = F.sequence(F.lit(1), F.length(gold))
-    cells = df.filter(F.length(gold) > 0).select(*by, F.explode(F.transform(places, lambda i: F.struct(
-        i.alias("position"),
-        F.substr(F.col(gold), i, F.lit(1)).alias("gold"),
-        F.substr(F.col(pred), i, F.lit(1)).alias("predicted")))).alias("cell"))
-    return (cells.select(*by, "cell.*").groupBy(*by, "position", "gold", "predicted")
-            .agg(F.count("*").alias("rows")))
+    symbols = F.zip_with(
+        F.split(gold, ""), F.split(pred, ""),
+        lambda g, p: F.struct(g.alias("gold"), F.coalesce(p, F.lit("")).alias("predicted")))
+    cells = df.select(*by, F.posexplode(symbols).alias("place", "cell"))
+    return (cells.filter("cell.gold <> ''")
+            .select(*by, (F.col("place") + 1).alias("position"), "cell.gold", "cell.predicted")
+            .groupBy(*by, "position", "gold", "predicted").agg(F.count("*").alias("rows")))
 
 
 def run_report(scores: DataFrame, measures: Sequence[str]) -> DataFrame:

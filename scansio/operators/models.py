@@ -22,14 +22,15 @@ BUCKETS = 1 << 21
 
 def word_ngrams(text: Column | str, n: int = 3) -> Column:
     """Words and all n-grams up to ``n``, in one array."""
-    words = F.filter(F.split(text, " "), lambda w: w != "")
-
-    def grams(size: int) -> Column:
+    def grams(words: Column, size: int) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
                           lambda i: i <= F.size(words) - (size - 1))
         return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
 
-    return F.concat(words, *[grams(size) for size in range(2, n + 1)])
+    # the one-element array binds the words, so the text is split once per row
+    words = F.array(F.filter(F.split(text, " "), lambda w: w != ""))
+    return F.flatten(F.transform(
+        words, lambda w: F.concat(w, *[grams(w, size) for size in range(2, n + 1)])))
 
 
 def ova_frame(df: DataFrame, text: str, pattern: str, positions: Sequence[int], n: int = 3) -> DataFrame:
