@@ -74,12 +74,18 @@ def draw_episodes(tasks: DataFrame, classes: DataFrame, label: str, ways: int, s
 
 def episode_rows(pool: DataFrame, tasks: DataFrame, parts: DataFrame, label: str, key: str,
                  ways: int, shots: int, queries: int = 1, seed: int = SEED) -> DataFrame:
-    """Rows of all episodes with their slot, the class number inside the episode."""
-    indexed = index_rows(pool, label, key, seed)
+    """Rows of all episodes with their slot, the class number inside the episode.
+
+    Only class and key of the pool are shuffled to find the drawn rows; vectors
+    and other columns are joined to the drawn keys, whose staged size tells
+    Catalyst whether the pool has to move at all.
+    """
+    indexed = index_rows(pool.select(label, key), label, key, seed)
     sizes = pool.groupBy(label).agg(F.count("*").alias("size"))
     classes = sizes.join(parts.select(label, "part"), label)
     draws = draw_episodes(tasks, classes, label, ways, shots, queries, seed)
-    return draws.join(indexed, [label, "place"])
+    picks = stage(draws.join(indexed, [label, "place"]), "picks")
+    return pool.join(picks, [label, key])
 
 
 def centroid_scores(rows: DataFrame, vector: str, ways: int) -> DataFrame:

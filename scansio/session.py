@@ -33,6 +33,20 @@ def session(app: str = "scansio", master: str | None = None, **conf: str) -> Spa
     return builder.getOrCreate()
 
 
+def sized_settings(input_bytes: int, partition_bytes: int = 256 << 20) -> dict[str, str]:
+    """Settings for an input of a given size.
+
+    Shuffles start with partitions of about ``partition_bytes``, small enough to
+    sort in an executor's memory; adaptive execution merges what turns out small.
+    """
+    partitions = max(200, -(-input_bytes // partition_bytes))
+    return {
+        "spark.sql.files.maxPartitionBytes": str(partition_bytes),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(partition_bytes),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+    }
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 

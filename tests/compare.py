@@ -41,7 +41,7 @@ def compare(spark, con, folder, name, query, sql):
     if sql is None:
         return None if got.num_rows else "no rows"
     names, rows = normal(got)
-    want_names, want = normal(con.execute(sql).to_arrow_table())
+    want_names, want = normal(con.sql(sql).to_arrow_table())
     if names != want_names:
         return f"columns {names} != {want_names}"
     if len(rows) != len(want):

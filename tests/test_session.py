@@ -52,3 +52,8 @@ def test_bounded_keeps_types(spark):
         "st", F.struct("i", "s"))
     assert S.bounded(df, "t").schema.simpleString() == df.schema.simpleString()
     assert S.bounded(df, "t").collect() == df.collect()
+
+
+def test_sized_settings():
+    assert S.sized_settings(1 << 30)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "200"
+    assert S.sized_settings(100 << 40)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "409600"
