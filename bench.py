@@ -30,7 +30,8 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.ui.enabled": "false", "spark.driver.memory": "16g",
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
-    QUERIES["vector_moments"](spark, folder).collect()
+    # compile the common operators once, as in a session that has run a query before
+    QUERIES["exact_match"](spark, folder).write.format("noop").mode("overwrite").save()
     seconds = {}
     for name in names:
         start = time.time()

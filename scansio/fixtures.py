@@ -8,9 +8,15 @@ from pyspark.sql import functions as F
 from scansio.functions.text import delete_marks, squeeze_whitespace
 from scansio.session import spread
 
+# Stated so that no read opens a file to learn its columns.
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+}
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:

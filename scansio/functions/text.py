@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from scansio.functions.binding import once
+
 # Everything that Python's `\s` and `strip` do not count as
 # whitespace.  Stating the complement puts the common characters into the first
 # ranges, so a regular expression decides most of them with one comparison.
@@ -56,7 +58,7 @@ def squeeze_whitespace(c: Column | str) -> Column:
 
 
 def clean_text(c: Column | str) -> Column:
-    return squeeze_whitespace(delete_marks(c))
+    return once(delete_marks(c), squeeze_whitespace)
 
 
 def clean_text_lower(c: Column | str) -> Column:
@@ -91,7 +93,7 @@ def tokenise(c: Column | str) -> Column:
 def normalise_answer(c: Column | str) -> Column:
     """Lower-case, drop punctuation and English articles, squeeze whitespace."""
     plain = F.translate(F.lower(_col(c)), ASCII_PUNCTUATION, "")
-    return squeeze_whitespace(F.regexp_replace(plain, r"\b(a|an|the)\b", " "))
+    return once(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), squeeze_whitespace)
 
 
 def answer_tokens(c: Column | str) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from scansio.operators.metrics import arg_max, hit
 from scansio.operators.sampling import LEAF_ROWS, SEED, hash_key
-from scansio.session import BOUNDED_ROWS, bounded, stage
+from scansio.session import bounded, stage
 
 
 def index_rows(pool: DataFrame, label: str, key: str, seed: int = SEED,
@@ -37,28 +37,23 @@ def draw_episodes(tasks: DataFrame, classes: DataFrame, label: str, ways: int, s
                   queries: int = 1, seed: int = SEED) -> DataFrame:
     """Which row of which class each task uses: ``episode, part, slot, label, place, role``.
 
-    ``classes`` holds ``label, part, size``.  The class table of a part travels as
-    one array, each task takes the ``ways`` classes that come first in its own
-    draw order and consecutive places from a drawn start, so rows of a class are
-    distinct and nothing is joined or shuffled.  A part needs at least ``ways``
+    ``classes`` holds ``label, part, size``.  The classes of a part travel as one
+    array, one row per part; each task takes the ``ways`` classes that come first
+    in its own draw order and consecutive places from a drawn start, so rows of a
+    class are distinct and no task is shuffled.  A part needs at least ``ways``
     classes of ``shots + queries`` rows; smaller classes are an error.
     """
-    table = classes.orderBy("part", label).limit(BOUNDED_ROWS + 1).collect()
-    if len(table) > BOUNDED_ROWS:
-        raise ValueError("too many classes for an episode draw")
-    parts: dict[str, list] = {}
-    for row in table:
-        if row["size"] < shots + queries:
-            raise ValueError(f"class {row[label]} has fewer than {shots + queries} rows")
-        parts.setdefault(row["part"], []).append(row)
-    for part, members in parts.items():
-        if len(members) < ways:
-            raise ValueError(f"part {part} has fewer than {ways} classes")
-    choices = F.array(*[
-        F.struct(F.lit(part).alias("part"), F.array(*[
-            F.struct(F.lit(m[label]).alias("label"), F.lit(m["size"]).alias("size")) for m in members
-        ]).alias("members")) for part, members in parts.items()])
-    rows = tasks.select("episode", F.inline(choices))
+    member = F.struct(F.col(label).alias("label"), "size")
+    members = bounded(classes.groupBy("part").agg(
+        F.collect_list(member).alias("members"), F.min("size").alias("least")), "members")
+    parts = members.select("part", F.size("members").alias("classes"), "least").collect()
+    for part in parts:
+        if part.least < shots + queries:
+            raise ValueError(f"a class of part {part.part} has fewer than {shots + queries} rows")
+        if part.classes < ways:
+            raise ValueError(f"part {part.part} has fewer than {ways} classes")
+    each = F.explode(F.array(*[F.lit(part.part) for part in parts]))
+    rows = tasks.select("episode", each.alias("part")).join(members, "part")
     drawn = F.array_sort(F.transform("members", lambda m: F.struct(
         hash_key(F.col("episode").cast("string"), m["label"].cast("string"), seed=seed).alias("h"),
         m["label"].alias("label"), m["size"].alias("size"))))

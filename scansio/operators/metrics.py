@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scansio.functions.binding import once
 from scansio.functions.text import answer_tokens, normalise_answer
 
 
@@ -74,9 +75,7 @@ def token_f1(gold: Column | str, pred: Column | str) -> Column:
         return (F.when(empty, (F.size(g) == F.size(p)).cast("double"))
                 .otherwise(common * 2.0 / (F.size(g) + F.size(p))))
 
-    # the one-element array binds both token lists, so each is computed once per row
-    pair = F.struct(answer_tokens(gold).alias("g"), answer_tokens(pred).alias("p"))
-    return F.get(F.transform(F.array(pair), f1), F.lit(0))
+    return once(F.struct(answer_tokens(gold).alias("g"), answer_tokens(pred).alias("p")), f1)
 
 
 def normalised_hit(gold: Column | str, pred: Column | str) -> Column:

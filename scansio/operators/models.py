@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scansio.functions.binding import once
 from scansio.functions.meter import encode_meter
 from scansio.operators.metrics import exact_match
 from scansio.operators.runs import best_run
@@ -27,10 +28,8 @@ def word_ngrams(text: Column | str, n: int = 3) -> Column:
                           lambda i: i <= F.size(words) - (size - 1))
         return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
 
-    # the one-element array binds the words, so the text is split once per row
-    words = F.array(F.filter(F.split(text, " "), lambda w: w != ""))
-    return F.flatten(F.transform(
-        words, lambda w: F.concat(w, *[grams(w, size) for size in range(2, n + 1)])))
+    words = F.filter(F.split(text, " "), lambda w: w != "")
+    return once(words, lambda w: F.concat(w, *[grams(w, size) for size in range(2, n + 1)]))
 
 
 def ova_frame(df: DataFrame, text: str, pattern: str, positions: Sequence[int], n: int = 3) -> DataFrame:

@@ -13,6 +13,8 @@ Keys must be unique inside a group (rows are de-duplicated before sampling).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,6 +42,13 @@ def id_digits(df: DataFrame, column: str) -> list[Column]:
     return [F.shiftright(F.col(column), s) for s in shifts]
 
 
+def _join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys where a missing key is a group like any other."""
+    renamed = right.withColumnsRenamed({c: f"by_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in by]
+    return left.join(renamed, reduce(and_, same), how).drop(*[f"by_{c}" for c in by])
+
+
 def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Sequence[Column],
               targets: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """The order key of the k-th row of each group.
@@ -56,11 +65,10 @@ def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Se
         digit = f"digit{i}"
         rows = keep
         if prefix:
-            rows = keep.join(cells.select(*by, *prefix).distinct(), by + prefix, "left_semi")
+            rows = _join(keep, cells.select(*by, *prefix).distinct(), by + prefix, "left_semi")
         counts = rows.groupBy(*by, *prefix, digit).agg(F.count("*").alias("cell_rows"))
         upto = F.sum("cell_rows").over(Window.partitionBy(*by, *prefix).orderBy(digit))
-        found = (counts.withColumn("upto", upto)
-                 .join(cells.drop("cell_rows"), by + prefix)
+        found = (_join(counts.withColumn("upto", upto), cells.drop("cell_rows"), by + prefix)
                  .filter((F.col("k") <= F.col("upto"))
                          & (F.col("k") > F.col("upto") - F.col("cell_rows")))
                  .withColumn("k", F.col("k") - F.col("upto") + F.col("cell_rows"))
@@ -70,7 +78,7 @@ def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Se
         if (cells.agg(F.max("cell_rows")).first()[0] or 0) <= leaf_rows:
             break
     rank = F.row_number().over(Window.partitionBy(*by, "target").orderBy(*order))
-    cuts = (keep.join(cells, by + prefix).withColumn("rank", rank)
+    cuts = (_join(keep, cells, by + prefix).withColumn("rank", rank)
             .filter(F.col("rank") == F.col("k"))
             .select(*by, "target", F.struct(*order).alias("cut")))
     return bounded(cuts, "cuts")
@@ -96,7 +104,7 @@ def label_by_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], digits
     label = F.when(F.lit(False), rest)
     for name in names:
         label = label.when(here <= F.col(f"cut_{name}"), name)
-    return (df.join(wide, by, "left").withColumn(column, label.otherwise(rest))
+    return (_join(df, wide, by, "left").withColumn(column, label.otherwise(rest))
             .drop(*[f"cut_{n}" for n in names]))
 
 
@@ -172,7 +180,7 @@ def split_stratified(df: DataFrame, by: Sequence[str], strata: str, key: Sequenc
     if sizes is None:
         size = part_size("total", fraction)
     else:
-        counts, size = counts.join(sizes.withColumnRenamed("size", "wanted"), by), F.col("wanted")
+        counts, size = _join(counts, sizes.withColumnRenamed("size", "wanted"), by), F.col("wanted")
     shares = quotas(counts, by, strata, size, held)
     return label_by_rank(rows, [*by, strata], ["h"], hash_digits("h"), shares, [held], rest,
                          leaf_rows=leaf_rows).drop("h")

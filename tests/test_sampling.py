@@ -107,3 +107,13 @@ def test_class_partition(spark):
     order = sorted(range(12), key=digest)
     assert [r.label for r in sorted(got, key=lambda r: r.class_rank)] == order
     assert [r.part for r in sorted(got, key=lambda r: r.class_rank)] == ["train"] * 5 + ["validation"] * 4 + ["test"] * 3
+
+
+def test_missing_groups_and_empty_inputs(spark):
+    df = spark.createDataFrame([(None, f"t{i}", 5) for i in range(8)] + [("es", "x", 5)],
+                               "lang string, text string, length int")
+    got = S.split_exact(df, ["lang"], ["lang", "text"], 0.25, leaf_rows=1).collect()
+    assert sum(r.split == "dev" for r in got if r.lang is None) == 2 and len(got) == 9
+    nothing = df.limit(0)
+    assert S.split_exact(nothing, ["lang"], ["text"], 0.25).count() == 0
+    assert S.split_stratified(nothing, [], "length", ["text"], 0.25).count() == 0
