@@ -3,9 +3,11 @@
 from pyspark.sql import functions as F
 
 from scansio import fixtures
-from scansio.checks.registry import ORDER, check
-from scansio.checks.sampling import _quotas
-from scansio.plans import prepare
+from scansio.checks.registry import KEY, ORDER, check, joined, kept
+from scansio.checks.sampling import STANZA_SPLIT, _quotas
+from scansio.operators import sampling
+from scansio.plans import prepare, sequences
+from scansio.session import stage
 
 _H = "md5('42|' || lang || '|' || text)"
 
@@ -78,3 +80,55 @@ def prepare_rebalanced(spark, folder):
     pool, test = _sides(spark, folder, "raw_pattern")
     rows = prepare.prepare_rebalanced(pool, test.drop("manually_checked"), ORDER, cap=5)
     return rows.select("lang", "text", "meter", "sota", "split")
+
+
+_NGRAM_TEST = f"""SELECT * FROM ({_first("source = 'b'")}) WHERE length BETWEEN 5 AND 11"""
+
+
+@check("prepare_ngram", f"""SELECT lang, text, meter, 'own' AS kind, CASE WHEN rn <= ceil(CAST(n AS DOUBLE)
+        * CAST(0.15 AS DOUBLE)) THEN 'test' ELSE 'train' END AS split FROM (
+        SELECT *, count(*) OVER (PARTITION BY lang) AS n,
+            row_number() OVER (PARTITION BY lang ORDER BY {_H}) AS rn FROM firsts WHERE length BETWEEN 5 AND 11)
+    UNION ALL SELECT lang, text, meter, 'given', 'test' FROM ({_NGRAM_TEST})
+    UNION ALL SELECT lang, text, meter, 'given', 'train' FROM (
+        {_first("source = 'a'", "translate(raw_pattern, '|()', '')")}) p WHERE length BETWEEN 5 AND 11
+        AND NOT EXISTS (SELECT 1 FROM ({_NGRAM_TEST}) t WHERE t.lang = p.lang AND t.text = p.text)""")
+def prepare_ngram(spark, folder):
+    columns = ["lang", "text", "meter", "split"]
+    own = prepare.prepare_ngram(_corpus(spark, folder).drop("source", "manually_checked"), ORDER)
+    pool, test = _sides(spark, folder, "raw_pattern")
+    given = prepare.prepare_ngram(pool, ORDER, test.drop("manually_checked"))
+    return own.select(*columns, F.lit("own").alias("kind")).unionByName(
+        given.select(*columns, F.lit("given").alias("kind")))
+
+
+@check("prepare_stanzas", f"""SELECT s.stanza_id, s.stanza, s.split, c.label FROM ({STANZA_SPLIT}) s JOIN (
+    SELECT stanza, (row_number() OVER (ORDER BY stanza) - 1)::INTEGER AS label FROM
+    (SELECT DISTINCT stanza FROM labelled_stanzas)) c ON c.stanza = s.stanza""")
+def prepare_stanzas(spark, folder):
+    rows = prepare.prepare_stanzas(fixtures.stanzas(spark, folder), "stanza_id")
+    return rows.select("stanza_id", "stanza", "split", "label")
+
+
+_WORDS = """SELECT lang, text, split, doc_id, pos, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM (
+    SELECT *, list_filter(string_split(translate(lower(text),
+        '!"#$%&()*+,-./:;<=>?@[\\]^_`{|}~' || chr(9) || chr(10), repeat(' ', 33)), ' '),
+        lambda w: w <> '') AS ws FROM three_way)"""
+_RANKS = f"""SELECT word, row_number() OVER (ORDER BY n DESC, seen)::INTEGER AS idx FROM (
+    SELECT word, count(*) AS n, min(row(doc_id, pos, place)) AS seen FROM ({_WORDS}) WHERE split = 'train'
+    GROUP BY word) QUALIFY row_number() OVER (ORDER BY n DESC, seen) <= 1729"""
+_POSITIONS = ", ".join(f"CAST(substr(t.meter, {i}, 1) = '+' AS DOUBLE) AS pos{i}" for i in range(1, 12))
+
+
+@check("sequence_frame", f"""SELECT t.lang, t.text, t.split, {_POSITIONS}, array_to_string(
+    CASE WHEN len(s.seq) > 24 THEN s.seq[len(s.seq) - 23:]
+    ELSE list_concat(s.seq, list_transform(range(24 - len(s.seq)), lambda i: 0)) END, ',') AS sequence
+    FROM three_way t JOIN (
+        SELECT k.lang, k.text, coalesce(list(r.idx ORDER BY w.place) FILTER (WHERE r.idx IS NOT NULL), []) AS seq
+        FROM three_way k LEFT JOIN ({_WORDS}) w ON w.lang = k.lang AND w.text = k.text
+        LEFT JOIN ({_RANKS}) r ON r.word = w.word GROUP BY k.lang, k.text) s
+    ON s.lang = t.lang AND s.text = t.text""")
+def sequence_frame(spark, folder):
+    rows = stage(sampling.split_three_way(kept(spark, folder, "meter"), ["lang"], KEY), "prepared")
+    frame = sequences.sequence_frame(rows, KEY, "doc_id", "pos", 11, max_features=1730)
+    return frame.withColumn("sequence", joined("sequence")).drop("meter")

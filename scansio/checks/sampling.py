@@ -36,9 +36,12 @@ _STANZA_QUOTAS = _quotas("SELECT stanza, count(*) AS n FROM labelled_stanzas GRO
                          "ceil(CAST(total AS DOUBLE) * CAST(0.25 AS DOUBLE))::BIGINT")
 
 
-@check("split_stratified", f"""SELECT s.stanza_id, s.stanza, CASE WHEN row_number() OVER (PARTITION BY s.stanza
+STANZA_SPLIT = f"""SELECT s.stanza_id, s.stanza, CASE WHEN row_number() OVER (PARTITION BY s.stanza
     ORDER BY md5('42|' || s.stanza_id)) <= q.quota THEN 'dev' ELSE 'train' END AS split
-    FROM labelled_stanzas s JOIN ({_STANZA_QUOTAS}) q ON q.stanza = s.stanza""")
+    FROM labelled_stanzas s JOIN ({_STANZA_QUOTAS}) q ON q.stanza = s.stanza"""
+
+
+@check("split_stratified", STANZA_SPLIT)
 def split_stratified(spark, folder):
     rows = fixtures.stanzas(spark, folder).withColumn("stanza", clean_label("stanza")).select("stanza_id", "stanza")
     return sampling.split_stratified(rows, [], "stanza", [F.col("stanza_id").cast("string")], 0.25)

@@ -145,11 +145,13 @@ def src_labelled(spark, folder):
     return readers.read_labelled(spark, path).select("text", joined("labels", " ").alias("labels"))
 
 
-@check("sink_reviewed", """SELECT raw AS line_text, CASE WHEN manually_checked THEN raw_pattern END
-    AS metrical_pattern FROM verses""")
+@check("sink_reviewed", """SELECT raw AS line_text, NULL AS metrical_pattern FROM verses WHERE NOT manually_checked
+    UNION ALL SELECT raw, raw_pattern FROM (SELECT *, lag(raw || chr(10) || raw_pattern)
+        OVER (PARTITION BY doc_id ORDER BY pos) AS previous FROM verses WHERE manually_checked)
+    WHERE previous IS NULL OR previous <> raw || chr(10) || raw_pattern""")
 def sink_reviewed(spark, folder):
     lines, pairs = new_path(spark, "lines"), new_path(spark, "pairs")
-    writers.write_reviewed(_annotated(spark, folder), lines, pairs)
+    writers.write_reviewed(_annotated(spark, folder), lines, pairs, "doc_id", "pos")
     text = spark.read.text(lines, lineSep="\n").select(
         F.col("value").alias("line_text"), F.lit(None).cast("string").alias("metrical_pattern"))
     return text.unionByName(spark.read.schema("line_text string, metrical_pattern string").csv(
@@ -195,19 +197,21 @@ def sink_metrics(spark, folder):
     return spark.read.schema("run string, measure string, value double").json(path)
 
 
-@check("src_run_log", f"""SELECT lang AS model_lang, lang AS data_lang, 'own/model' AS model, model AS accuracy
-    FROM ({_METRICS}) UNION ALL SELECT 'multi', 'multi', 'own/model', model FROM ({_METRICS})
-    UNION ALL SELECT lang, lang, 'baseline', baseline FROM ({_METRICS})""")
+@check("src_run_log", f"""SELECT lang AS model_lang, lang AS data_lang, 'accuracy' AS measure, 'own/model' AS model,
+    model AS accuracy FROM ({_METRICS}) UNION ALL
+    SELECT 'multi', 'multi', 'accuracy', 'own/model', model FROM ({_METRICS}) UNION ALL
+    SELECT lang, lang, 'test', 'own/model', model FROM ({_METRICS}) UNION ALL
+    SELECT lang, lang, 'sota', NULL, baseline FROM ({_METRICS})""")
 def src_run_log(spark, folder):
     path = new_path(spark, "log")
     scores = bounded(_metrics(spark, folder), "scores")
+    own = F.concat("lang", F.lit(":"), "lang")
 
-    def line(name, value, keys):
-        return F.concat(F.lit("- Accuracy ["), keys, F.lit("]: "), F.col(value).cast("string"), F.lit(f" ({name})"))
+    def line(label, keys, value, end=" (own/model)"):
+        return F.concat(F.lit(f"- {label} ["), keys, F.lit("]: "), F.col(value).cast("string"), F.lit(end))
 
-    own = F.concat("lang", F.lit(":"), "lang")
     lines = scores.select(F.explode(F.array(
-        F.lit("# heading"), line("own/model", "model", own), line("own/model", "model", F.lit("multi")),
-        F.lit(""), line("baseline", "baseline", own))).alias("value"))
+        F.lit("# heading"), line("Accuracy", own, "model"), line("Accuracy", F.lit("multi"), "model"), F.lit(""),
+        line("Accuracy TEST", own, "model"), line("SOTA", own, "baseline", ""))).alias("value"))
     lines.write.text(path, lineSep="\n")
     return readers.read_run_log(spark, path).drop(readers.ORDER)

@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 
 from scansio import schema as S
 from scansio.functions.meter import meter_length, strip_marks
-from scansio.functions.text import clean_text
+from scansio.functions.text import clean_label, clean_text
 from scansio.operators.dedup import dedup_first, remove_leakage
+from scansio.operators.features import label_index
 from scansio.operators.filters import drop_baseline, drop_irregular, keep_lengths, reviewed
 from scansio.operators.sampling import (
     cap_per_group, rebalance, rebalance_sizes, split_exact, split_stratified, split_three_way)
@@ -63,3 +64,21 @@ def prepare_rebalanced(pool: DataFrame, test: DataFrame, order: Sequence[str],
                            sizes=sizes.select("lang", F.col("dev").alias("size")))
     rest = parts.filter(F.col("part") == "test").withColumn("split", F.lit("test"))
     return drop_baseline(fit.unionByName(rest)).drop("part")
+
+
+def prepare_ngram(pool: DataFrame, order: Sequence[str], test: DataFrame | None = None,
+                  lengths: Sequence[int] = S.NGRAM_VERSE_LENGTHS, held: float = 0.15) -> DataFrame:
+    """Train and test rows of the n-gram baseline: next to a given test set, or with a share held out."""
+    if test is None:
+        rows = keep_lengths(clean_corpus(pool, order), lengths)
+        return split_exact(rows, ["lang"], TEXT_KEY, held, held="test")
+    given = keep_lengths(clean_corpus(test, order), lengths)
+    free = keep_lengths(remove_leakage(clean_corpus(pool, order, marked=True), given, TEXT_KEY), lengths)
+    return free.withColumn("split", F.lit("train")).unionByName(
+        given.withColumn("split", F.lit("test")), allowMissingColumns=True)
+
+
+def prepare_stanzas(stanzas: DataFrame, key: str, held: float = 0.25) -> DataFrame:
+    """Clean stanzas with their class number, split so that classes keep their shares."""
+    rows = stanzas.withColumn("text", clean_text("text")).withColumn("stanza", clean_label("stanza"))
+    return split_stratified(label_index(rows, "stanza"), [], "stanza", [F.col(key).cast("string")], held)

@@ -102,17 +102,23 @@ def parse_labelled(df: DataFrame, column: str) -> DataFrame:
 
 
 def read_run_log(spark: SparkSession, path: str) -> DataFrame:
-    """Accuracy lines of a score log, one run per line, all lines kept in order."""
+    """Accuracy lines of score logs, one run and measure per line, all lines kept in order."""
     return parse_run_log(spark.read.text(path, lineSep="\n").select("value", file_order().alias(ORDER)))
 
 
-def parse_run_log(lines: DataFrame) -> DataFrame:
-    pattern = r"Accuracy \[([^:\]]+)(?::([^\]]+))?\]: ([0-9.eE+-]+) \(([^)]*)\)"
+# Fixed values: `Accuracy [es:en]: 0.5 (model)`, the same with EVAL, TEST or SOTA
+# after the first word, and `SOTA [es:en]: 0.5`.  Without a data language the
+# figure is for all of them.
+RUN_LINE = r"(?:Accuracy(?: (EVAL|TEST|SOTA))?|(SOTA)) \[([^:\]]+)(?::([^\]]+))?\]: ([0-9.eE+-]+)(?: \(([^)]*)\))?"
+
 
+def parse_run_log(lines: DataFrame) -> DataFrame:
+    """``model_lang, data_lang, measure, model, accuracy`` of the lines that hold a figure."""
     def part(i: int) -> Column:
-        return F.regexp_extract("value", pattern, i)
+        return F.nullif(F.regexp_extract("value", RUN_LINE, i), F.lit(""))
 
-    return (lines.filter(F.col("value").rlike(pattern))
-            .select(part(1).alias("model_lang"),
-                    F.when(part(2) == "", "multi").otherwise(part(2)).alias("data_lang"),
-                    part(4).alias("model"), part(3).cast("double").alias("accuracy"), ORDER))
+    return (lines.filter(F.col("value").rlike(RUN_LINE))
+            .select(part(3).alias("model_lang"),
+                    F.coalesce(part(4), F.lit("multi")).alias("data_lang"),
+                    F.lower(F.coalesce(part(1), part(2), F.lit("accuracy"))).alias("measure"),
+                    part(6).alias("model"), part(5).cast("double").alias("accuracy"), ORDER))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scansio.functions.meter import stress_labels
+from scansio.operators.dedup import dedup_adjacent
+from scansio.operators.filters import reviewed, unreviewed
 
 # Quotes are doubled and blanks at the ends of a field are kept.
 CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -29,10 +31,14 @@ def write_labelled(rows: DataFrame, path: str) -> None:
     rows.select(labelled_line("text", "meter").alias("value")).write.text(path, lineSep="\n")
 
 
-def write_reviewed(rows: DataFrame, text_path: str, pairs_path: str) -> None:
-    """Unreviewed lines as text, reviewed ``(line, pattern)`` pairs as CSV."""
-    rows.filter(~F.col("manually_checked")).select("line_text").write.text(text_path, lineSep="\n")
-    (rows.filter("manually_checked").select("line_text", "metrical_pattern")
+def write_reviewed(rows: DataFrame, text_path: str, pairs_path: str, source: str, position: str) -> None:
+    """Unreviewed lines as text, reviewed ``(line, pattern)`` pairs as CSV.
+
+    A pair that repeats the one before it in its source is written once.
+    """
+    unreviewed(rows).select("line_text").write.text(text_path, lineSep="\n")
+    pairs = reviewed(rows).withColumn("pair", F.struct("line_text", "metrical_pattern"))
+    (dedup_adjacent(pairs, "pair", source, position).select("line_text", "metrical_pattern")
      .write.csv(pairs_path, quoteAll=True, **CSV))
 
 

@@ -65,10 +65,11 @@ def test_labelled_lines(spark, tmp_path):
 def test_run_log(spark, tmp_path):
     (tmp_path / "log.txt").write_text(
         "# heading\n\n- Accuracy [es:es]: 0.5 (own/model)\n- Accuracy [multi]: 0.25 (b)\n"
-        "- Accuracy [es:es]: 0.5 (own/model)\nAccuracy EVAL [x:y]: 1 (z)\n")
+        "- Accuracy [es:es]: 0.5 (own/model)\nAccuracy EVAL [x:y]: 1 (z)\nINFO:root:SOTA [x:y]: 1e-05\nAccuracy: 0.5\n")
     got = readers.read_run_log(spark, str(tmp_path)).orderBy("line_id").drop("line_id").collect()
-    assert [tuple(r) for r in got] == [("es", "es", "own/model", 0.5), ("multi", "multi", "b", 0.25),
-                                       ("es", "es", "own/model", 0.5)]
+    assert [tuple(r) for r in got] == [
+        ("es", "es", "accuracy", "own/model", 0.5), ("multi", "multi", "accuracy", "b", 0.25),
+        ("es", "es", "accuracy", "own/model", 0.5), ("x", "y", "eval", "z", 1.0), ("x", "y", "sota", None, 1e-05)]
 
 
 def test_splits_read_only_the_languages_asked_for(spark, tmp_path):
