@@ -35,7 +35,7 @@ _ENCODED = """SELECT k.lang, k.text, coalesce(list(v.idx ORDER BY w.place) FILTE
 
 
 def _encoded(spark, folder):
-    return features.encode_tokens(kept(spark, folder), KEY, "text", _vocabulary(spark, folder))
+    return features.encode_tokens(kept(spark, folder), KEY, "text", _vocabulary(spark, folder), partitioned=True)
 
 
 @check("encode_tokens", f"SELECT lang, text, array_to_string(seq, ',') AS sequence FROM ({_ENCODED})")

@@ -49,12 +49,16 @@ def vocabulary(df: DataFrame, text: str, source: str, position: str,
     return bounded(top.withColumn("idx", rank).select("word", "count", "idx"), "vocabulary")
 
 
-def encode_tokens(df: DataFrame, key: Sequence[str], text: str, vocab: DataFrame) -> DataFrame:
+def encode_tokens(df: DataFrame, key: Sequence[str], text: str, vocab: DataFrame,
+                  partitioned: bool = False) -> DataFrame:
     """Lines as vocabulary indexes in word order; unknown words are dropped.
 
-    Rows that are already partitioned by ``key`` (as after ``dedup_first``) are
-    not shuffled again: exploding and the broadcast lookup keep the partitioning.
+    Lines are shuffled whole, before they are exploded; the broadcast lookup
+    keeps that partitioning, so words never move.  Pass ``partitioned`` for rows
+    that come out of a shuffle on some of the ``key`` columns (``dedup_first``).
     """
+    if not partitioned:
+        df = df.repartition(*key)
     words = df.select(*key, F.posexplode_outer(tokenise(text)).alias("place", "word"))
     known = words.join(bounded(vocab.select("word", "idx"), "vocabulary"), "word", "left")
     item = F.when(F.col("idx").isNotNull(), F.struct("place", "idx"))

@@ -37,6 +37,8 @@ def test_leakage_reuses_the_partitioning(spark, data):
 def test_encoding_reuses_the_partitioning(spark, data):
     text = plan_text(QUERIES["encode_tokens"](spark, data))
     assert text.count("Exchange hashpartitioning(lang") == 1 and "BroadcastHashJoin" in text
+    frame = plan_text(QUERIES["sequence_frame"](spark, data))
+    assert frame.count("Exchange hashpartitioning") == 1 and "REPARTITION_BY_COL" in frame
 
 
 def test_token_counts_are_hash_aggregated(spark, data):

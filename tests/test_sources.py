@@ -80,3 +80,9 @@ def test_splits_read_only_the_languages_asked_for(spark, tmp_path):
     assert [tuple(r) for r in got.collect()] == [("a, “b”", "+", None, 1, "es", "train")]
     assert "(lang" in plan_text(got).split("PartitionFilters")[1]
     assert readers.read_splits(spark, path, ["multi"]).count() == 2
+
+
+def test_delimited_columns_are_taken_by_position(spark, tmp_path):
+    (tmp_path / "es.csv").write_text("line_text,metrical_pattern,tool\n\"Uno, dos\",+-,--\n")
+    row = readers.read_corpus(spark, str(tmp_path), S.ADSO_SCANNED).first()
+    assert (row.text, row.meter, row.sota, row.lang) == ("Uno, dos", "+-", "--", "es")
