@@ -16,6 +16,7 @@ NOT_WHITESPACE = (
 )
 WHITESPACE = f"[^{NOT_WHITESPACE}]+"
 ODD_WHITESPACE = f"[^ {NOT_WHITESPACE}]"
+ODD_ASCII_WHITESPACE = r"[\t-\r\x1c-\x1f]"
 # Characters deleted before and after `//`.
 CURLY_QUOTES = "“”"
 ANGLE_QUOTES_AND_STOPS = "«»,;."
@@ -51,10 +52,15 @@ def delete_marks(c: Column | str) -> Column:
 
 
 def squeeze_whitespace(c: Column | str) -> Column:
-    """Runs of Unicode whitespace to one space, none at the ends."""
+    """Runs of Unicode whitespace to one space, none at the ends.
+
+    Most lines hold single spaces only and are left as they are; a line of
+    one-byte characters is told apart by its length and needs a short pattern.
+    """
     c = _col(c)
-    untidy = c.contains("  ") | c.rlike(ODD_WHITESPACE)
-    return F.trim(F.when(untidy, F.regexp_replace(c, WHITESPACE, " ")).otherwise(c))
+    odd = (F.when(F.octet_length(c) == F.length(c), c.rlike(ODD_ASCII_WHITESPACE))
+           .otherwise(c.rlike(ODD_WHITESPACE)))
+    return F.trim(F.when(c.contains("  ") | odd, F.regexp_replace(c, WHITESPACE, " ")).otherwise(c))
 
 
 def clean_text(c: Column | str) -> Column:
@@ -94,7 +100,3 @@ def normalise_answer(c: Column | str) -> Column:
     """Lower-case, drop punctuation and English articles, squeeze whitespace."""
     plain = F.translate(F.lower(_col(c)), ASCII_PUNCTUATION, "")
     return once(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), squeeze_whitespace)
-
-
-def answer_tokens(c: Column | str) -> Column:
-    return F.filter(F.split(normalise_answer(c), " "), lambda w: w != "")

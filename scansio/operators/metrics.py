@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scansio.functions.binding import once
-from scansio.functions.text import answer_tokens, normalise_answer
+from scansio.functions.text import normalise_answer
 
 
 def _col(c: Column | str) -> Column:
@@ -63,8 +63,16 @@ def label_recall(gold: Column | str, pred: Column | str) -> Column:
 
 def token_f1(gold: Column | str, pred: Column | str) -> Column:
     """Token-overlap F1 of one row; without tokens on a side it is equality."""
-    def times(tokens: Column, word: Column) -> Column:
-        return F.size(F.filter(tokens, lambda x: x == word))
+    return overlap_f1(normalise_answer(gold), normalise_answer(pred))
+
+
+def overlap_f1(gold: Column | str, pred: Column | str) -> Column:
+    """``token_f1`` of answers that are normalised already."""
+    def tokens(c: Column | str) -> Column:
+        return F.filter(F.split(c, " "), lambda w: w != "")
+
+    def times(words: Column, word: Column) -> Column:
+        return F.size(F.filter(words, lambda x: x == word))
 
     def f1(pair: Column) -> Column:
         g, p = pair["g"], pair["p"]
@@ -75,7 +83,7 @@ def token_f1(gold: Column | str, pred: Column | str) -> Column:
         return (F.when(empty, (F.size(g) == F.size(p)).cast("double"))
                 .otherwise(common * 2.0 / (F.size(g) + F.size(p))))
 
-    return once(F.struct(answer_tokens(gold).alias("g"), answer_tokens(pred).alias("p")), f1)
+    return once(F.struct(tokens(gold).alias("g"), tokens(pred).alias("p")), f1)
 
 
 def normalised_hit(gold: Column | str, pred: Column | str) -> Column:
@@ -103,12 +111,14 @@ def flat_accuracy(label: Column | str, scores: Column | str) -> Column:
 def generative_scores(df: DataFrame, by: str = "prefix") -> DataFrame:
     """All measures of the generative route, per task prefix, in one pass."""
     first = F.get(F.col("all_predicted"), F.lit(0))
-    return df.groupBy(by).agg(
-        F.avg(token_f1("target_text", first)).alias("f1"),
-        F.avg(normalised_hit("target_text", first)).alias("exact"),
-        F.avg(top1_hit("target_text", "all_predicted")).alias("accuracy"),
-        F.sum(any_hit("target_text", "all_predicted")).cast("bigint").alias("any_hits"),
-        F.avg(any_hit("target_text", "all_predicted")).alias("any_rate"))
+    rows = df.select(
+        by, normalise_answer("target_text").alias("gold"), normalise_answer(first).alias("pred"),
+        top1_hit("target_text", "all_predicted").alias("top1"),
+        any_hit("target_text", "all_predicted").alias("any"))
+    return rows.groupBy(by).agg(
+        F.avg(overlap_f1("gold", "pred")).alias("f1"),
+        F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("exact"),
+        F.avg("top1").alias("accuracy"), F.sum("any").cast("bigint").alias("any_hits"), F.avg("any").alias("any_rate"))
 
 
 def split_counts(df: DataFrame) -> DataFrame:
