@@ -79,12 +79,12 @@ def embedding_matrix(spark, folder):
 
 
 _ROWS = """SELECT doc_id, pos, list_concat(list_transform(words, lambda w: length(w)::INTEGER), [2]) AS t,
-    max(len(words) + 1) OVER (PARTITION BY doc_id) AS width FROM verses WHERE length BETWEEN 4 AND 12"""
+    max(len(words) + 1) OVER (PARTITION BY doc_id) AS width FROM verses"""
 _FILL = "list_transform(range(width - len(t)), lambda i: 1)"
 
 
 def _batches(spark, folder):
-    rows = fixtures.verses(spark, folder).filter("length BETWEEN 4 AND 12")
+    rows = fixtures.verses(spark, folder)
     lengths = F.transform(F.split("text", " "), lambda w: F.length(w))
     return rows.select(*ORDER, F.concat(lengths, F.array(F.lit(2))).alias("tokens"))
 

@@ -54,11 +54,11 @@ def select_lang(spark, folder):
         filters.select_lang(rows, "multi").withColumn("wanted", F.lit("multi")))
 
 
-@check("union_langs", "SELECT lang, text FROM kept WHERE lang IN ('es', 'en', 'de')")
+@check("union_langs", "SELECT lang, text FROM kept")
 def union_langs(spark, folder):
     rows = kept(spark, folder).select("lang", "text")
-    spanish, english, german = (filters.select_lang(rows, x) for x in ("es", "en", "ge"))
-    return spanish.unionByName(english).unionByName(german)
+    spanish, english, german, french = (filters.select_lang(rows, x) for x in ("es", "en", "ge", "fr"))
+    return spanish.unionByName(english).unionByName(german).unionByName(french)
 
 
 @check("final_fit_rows", "SELECT lang, text FROM three_way WHERE split IN ('train', 'dev')")

@@ -1,6 +1,7 @@
 """Readers and writers: each query writes to the shared folder and reads back."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scansio import fixtures
 from scansio import schema as S
@@ -8,7 +9,7 @@ from scansio.checks.registry import KEY, check, joined, kept, pool, r6
 from scansio.functions.text import clean_text
 from scansio.operators import features, filters, metrics, sampling
 from scansio.operators.dedup import dedup_first
-from scansio.plans import corpus
+from scansio.plans import corpus, prepare
 from scansio.session import bounded, new_path
 from scansio.sources import readers, writers
 
@@ -42,7 +43,7 @@ def src_csv(spark, folder):
         F.col("raw").alias("verse"), F.col("meter").alias("annotated_pattern"),
         F.col("sota").alias("metricalizer_pattern"), "lang")
     rows.write.partitionBy("lang").csv(path, header=True, **writers.CSV)
-    table = readers.read_table(spark, path, S.PO_EMO.schema.add("lang", "string")).withColumnsRenamed(S.PO_EMO.renames)
+    table = readers.read_table(spark, path, T.StructType([*S.PO_EMO.schema, T.StructField("lang", T.StringType())])).withColumnsRenamed(S.PO_EMO.renames)
     cleaned = table.withColumn("text", clean_text("text"))
     return dedup_first(cleaned, KEY, [readers.ORDER]).select("lang", "text", "meter", "sota")
 
@@ -72,6 +73,43 @@ def src_splits(spark, folder):
     return readers.read_splits(spark, path, ["es", "de"])
 
 
+@check("files_to_splits", f"SELECT * FROM ({_SPLITS}) WHERE lang = 'de'")
+def files_to_splits(spark, folder):
+    """Corpus files with columns of their own in another order, read, prepared, written and read again."""
+    raw, splits = new_path(spark, "corpus"), new_path(spark, "splits")
+    (fixtures.verses(spark, folder).filter("lang = 'de'")
+     .select(F.col("sota").alias("metricalizer_pattern"), F.col("pos").alias("stanza"), F.col("raw").alias("verse"),
+             F.lit("x, y").alias("note"), F.col("meter").alias("annotated_pattern"))
+     .write.csv(raw, header=True, **writers.CSV))
+    corpus_rows = readers.read_corpus(spark, raw, S.PO_EMO)
+    writers.write_splits(prepare.prepare_three_way(corpus_rows, order=[readers.ORDER]), splits)
+    return readers.read_splits(spark, splits)
+
+
+@check("files_to_scores", """SELECT split, count(*) AS rows,
+    round(avg(coalesce((sota = meter)::INTEGER::DOUBLE, 0)), 6) AS accuracy
+    FROM (SELECT text, meter, CASE WHEN split = 'test' THEN sota END AS sota, split FROM three_way WHERE lang = 'de')
+    GROUP BY split""")
+def files_to_scores(spark, folder):
+    """The accuracy of the shipped baseline, from files; train and dev have none."""
+    return files_to_splits(spark, folder).groupBy("split").agg(
+        F.count("*").alias("rows"), r6(metrics.exact_match("meter", "sota")).alias("accuracy"))
+
+
+@check("lm_from_files", """SELECT value, CASE WHEN rn <= n * 75 // 100 THEN 'train' ELSE 'eval' END AS split
+    FROM (SELECT value, count(*) OVER () AS n, row_number() OVER (ORDER BY lang, doc_id, pos) AS rn
+    FROM (SELECT *, lag(value) OVER (PARTITION BY lang ORDER BY doc_id, pos) AS previous FROM squeezed)
+    WHERE previous IS NULL OR previous <> value)""")
+def lm_from_files(spark, folder):
+    """Raw files, one for each language, to text for a language model, all lines one group."""
+    raw, out = new_path(spark, "raw"), new_path(spark, "lm")
+    (fixtures.raw_lines(spark, folder).repartition("lang").sortWithinPartitions("lang", "doc_id", "pos")
+     .select("value", "lang").write.partitionBy("lang").text(raw, lineSep="\n"))
+    lines = corpus.numbered_lines(readers.read_raw_lines(spark, raw))
+    writers.write_lm_text(corpus.lm_corpus(lines, [], "source", "position"), out)
+    return spark.read.schema("value string, split string").text(out, lineSep="\n")
+
+
 @check("sink_splits", _SPLITS)
 def sink_splits(spark, folder):
     path = new_path(spark, "splits")

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scansio.operators.joins import join_null_safe
+
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key in the given order.
@@ -45,7 +47,7 @@ def dedup_adjacent(df: DataFrame, value: str, source: str, position: str,
     inside = F.lag(F.struct(F.col(value).alias("value"))).over(
         Window.partitionBy(source, "block").orderBy(position))
     return (rows.withColumn("inside", inside)
-            .join(edges, [source, "block"])
+            .transform(join_null_safe, edges, [source, "block"])
             .withColumn("previous", F.coalesce("inside", "before"))
             .filter(F.col("previous").isNull()
                     | ~F.col(value).eqNullSafe(F.col("previous.value")))

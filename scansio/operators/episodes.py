@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scansio.operators.joins import join_null_safe
 from scansio.operators.metrics import arg_max, hit
 from scansio.operators.sampling import LEAF_ROWS, SEED, hash_key
 from scansio.session import bounded, stage
@@ -29,7 +30,7 @@ def index_rows(pool: DataFrame, label: str, key: str, seed: int = SEED,
     before = F.sum("rows").over(Window.partitionBy(label).orderBy("cell")) - F.col("rows")
     shifts = sizes.select(label, "cell", before.alias("shift"))
     place = F.row_number().over(Window.partitionBy(label, "cell").orderBy("h")) - 1
-    return (rows.withColumn("place", place).join(bounded(shifts, "cells"), [label, "cell"])
+    return (rows.withColumn("place", place).transform(join_null_safe, bounded(shifts, "cells"), [label, "cell"])
             .withColumn("place", F.col("place") + F.col("shift")).drop("h", "cell", "shift"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scansio.functions.text import tokenise
+from scansio.operators.joins import join_null_safe
 from scansio.operators.metrics import vector_moments
 from scansio.session import bounded, stage
 
@@ -105,8 +106,8 @@ def gaussian(mean: Column, std: Column, *key: Column) -> Column:
 
 def embedding_matrix(vocab: DataFrame, vectors: DataFrame, vector: str = "vector") -> DataFrame:
     """One vector per vocabulary index: the known one, or a draw from N(mean, std) of the table."""
-    moments = vector_moments(vectors, vector).first()
-    width = vectors.agg(F.max(F.size(vector))).first()[0]
+    moments = vector_moments(vectors, vector, width=True).first()
+    width = moments["width"]
     found = vector_lookup(vocab, vectors)
     if not width:
         return found
@@ -133,11 +134,11 @@ def collate_tokens(df: DataFrame, batch: str, tokens: str, pad: int, left_pad: b
             F.raise_error(F.lit("a row does not end with the end marker")).cast("array<int>"))
     fill = F.array_repeat(F.lit(pad), F.col("width") - F.size(tokens))
     padded = F.concat(fill, row) if left_pad else F.concat(row, fill)
-    return df.join(width, batch).withColumn(tokens, padded).drop("width")
+    return join_null_safe(df, width, [batch]).withColumn(tokens, padded).drop("width")
 
 
 def label_index(df: DataFrame, column: str, index: str = "label") -> DataFrame:
-    """0-based index of a class in the sorted class names, from the class table."""
+    """0-based index of a class in the sorted class names, from the class table; a missing class comes first."""
     place = F.row_number().over(Window.orderBy(column)) - 1
     numbered = df.select(column).distinct().withColumn(index, place)
-    return df.join(bounded(numbered, "classes"), column)
+    return join_null_safe(df, bounded(numbered, "classes"), [column])

@@ -46,9 +46,9 @@ def macro_match(df: DataFrame, gold: str, pred: str, by: str = "lang") -> DataFr
 
 
 def label_set_match(gold: Column | str, pred: Column | str) -> Column:
-    """Share of rows whose label sets are equal."""
-    return F.avg((F.array_sort(F.array_distinct(_col(gold)))
-                  == F.array_sort(F.array_distinct(_col(pred)))).cast("double"))
+    """Share of rows whose label sets are equal; a missing set is wrong."""
+    same = F.array_sort(F.array_distinct(_col(gold))) == F.array_sort(F.array_distinct(_col(pred)))
+    return F.avg(F.coalesce(same, F.lit(False)).cast("double"))
 
 
 def label_precision(gold: Column | str, pred: Column | str) -> Column:
@@ -62,7 +62,7 @@ def label_recall(gold: Column | str, pred: Column | str) -> Column:
 
 
 def token_f1(gold: Column | str, pred: Column | str) -> Column:
-    """Token-overlap F1 of one row; without tokens on a side it is equality."""
+    """Token-overlap F1 of one row; without tokens on a side it is equality, a missing side is wrong."""
     return overlap_f1(normalise_answer(gold), normalise_answer(pred))
 
 
@@ -83,16 +83,16 @@ def overlap_f1(gold: Column | str, pred: Column | str) -> Column:
         return (F.when(empty, (F.size(g) == F.size(p)).cast("double"))
                 .otherwise(common * 2.0 / (F.size(g) + F.size(p))))
 
-    return once(F.struct(tokens(gold).alias("g"), tokens(pred).alias("p")), f1)
+    return F.coalesce(once(F.struct(tokens(gold).alias("g"), tokens(pred).alias("p")), f1), F.lit(0.0))
 
 
 def normalised_hit(gold: Column | str, pred: Column | str) -> Column:
-    return (normalise_answer(gold) == normalise_answer(pred)).cast("double")
+    return hit(normalise_answer(gold), normalise_answer(pred))
 
 
 def any_hit(gold: Column | str, candidates: Column | str) -> Column:
-    """1.0 where the gold value is among the candidates."""
-    return F.array_contains(_col(candidates), _col(gold)).cast("double")
+    """1.0 where the gold value is among the candidates; missing candidates are wrong."""
+    return F.coalesce(F.array_contains(_col(candidates), _col(gold)), F.lit(False)).cast("double")
 
 
 def top1_hit(gold: Column | str, candidates: Column | str) -> Column:
@@ -117,7 +117,7 @@ def generative_scores(df: DataFrame, by: str = "prefix") -> DataFrame:
         any_hit("target_text", "all_predicted").alias("any"))
     return rows.groupBy(by).agg(
         F.avg(overlap_f1("gold", "pred")).alias("f1"),
-        F.avg((F.col("gold") == F.col("pred")).cast("double")).alias("exact"),
+        exact_match("gold", "pred").alias("exact"),
         F.avg("top1").alias("accuracy"), F.sum("any").cast("bigint").alias("any_hits"), F.avg("any").alias("any_rate"))
 
 
@@ -141,7 +141,7 @@ def position_confusion(df: DataFrame, gold: str, pred: str, by: Sequence[str] =
     symbol.
     """
     symbols = F.zip_with(
-        F.split(gold, ""), F.split(pred, ""),
+        F.split(gold, ""), F.split(F.coalesce(F.col(pred), F.lit("")), ""),
         lambda g, p: F.struct(g.alias("gold"), F.coalesce(p, F.lit("")).alias("predicted")))
     cells = df.select(*by, F.posexplode(symbols).alias("place", "cell"))
     return (cells.filter("cell.gold <> ''")
@@ -155,18 +155,22 @@ def run_report(scores: DataFrame, measures: Sequence[str]) -> DataFrame:
             .agg(F.first("value")))
 
 
-def vector_moments(df: DataFrame, vector: str) -> DataFrame:
-    """Mean and population standard deviation over all components of all vectors.
+def vector_moments(df: DataFrame, vector: str, width: bool = False) -> DataFrame:
+    """Mean and population standard deviation over all components of all vectors, and on demand the widest.
 
     Each row is reduced to three numbers in place; components are never exploded.
+    One component is taken off all others first: sums of squares of small
+    differences lose nothing, whatever the size of the values.
     """
-    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    one = df.select(F.get(vector, F.lit(0)).cast("double").alias("x")).filter("x is not null").first()
+    pivot = F.lit(one["x"] if one else 0.0)
+    v = F.transform(F.col(vector), lambda x: x.cast("double") - pivot)
     zero = F.lit(0.0)
     sums = df.select(
         F.size(vector).cast("bigint").alias("n"),
         F.aggregate(v, zero, lambda s, x: s + x).alias("s"),
         F.aggregate(v, zero, lambda s, x: s + x * x).alias("q"))
-    total = sums.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"))
+    total = sums.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("q").alias("q"), F.max("n").alias("width"))
     mean = F.col("s") / F.col("n")
-    return total.select("n", mean.alias("mean"),
-                        F.sqrt(F.col("q") / F.col("n") - mean * mean).alias("std"))
+    return total.select("n", *["width"] * width, (mean + pivot).alias("mean"),
+                        F.sqrt(F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(0.0))).alias("std"))

@@ -7,22 +7,43 @@ k-th row.  Counts are combined on the map side, no row is moved, and the split
 itself is a comparison with the cut, a narrow projection.  A group that holds a
 third of all rows costs what any other group costs.
 
-Keys must be unique inside a group (rows are de-duplicated before sampling).
+Rows with equal keys are told apart by their place in the staged table, so sizes
+stay exact whether or not rows were de-duplicated first.  An empty list of group
+columns makes all rows one group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-from functools import reduce
-from operator import and_
+from collections.abc import Callable, Sequence
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scansio.operators.joins import join_null_safe
 from scansio.session import bounded, stage
 
 SEED = 42
 LEAF_ROWS = 1_000_000
+#: Draw order: the hash of the key, then the place in the staged table.
+DRAW = ["h", "turn"]
+#: Group column of rows that have none.
+ALL = "all_rows"
+
+
+def any_group(work: Callable) -> Callable:
+    """Let ``work(*frames, by, ...)`` take an empty ``by``: all rows are one group of a stored column."""
+    @wraps(work)
+    def run(*frames_by, **options):
+        at = next(i for i, x in enumerate(frames_by) if not isinstance(x, DataFrame))
+        frames, by, rest = frames_by[:at], list(frames_by[at]), frames_by[at + 1:]
+        if by:
+            return work(*frames, by, *rest, **options)
+        if options.get("sizes") is not None:
+            options["sizes"] = stage(options["sizes"].withColumn(ALL, F.lit(0)), "sizes")
+        frames = [f if ALL in f.columns else f.withColumn(ALL, F.lit(0)) for f in frames]
+        return work(*frames, [ALL], *rest, **options).drop(ALL)
+    return run
 
 
 def hash_key(*key: Column | str, seed: int = SEED) -> Column:
@@ -42,13 +63,6 @@ def id_digits(df: DataFrame, column: str) -> list[Column]:
     return [F.shiftright(F.col(column), s) for s in shifts]
 
 
-def _join(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where a missing key is a group like any other."""
-    renamed = right.withColumnsRenamed({c: f"by_{c}" for c in by})
-    same = [F.col(c).eqNullSafe(F.col(f"by_{c}")) for c in by]
-    return left.join(renamed, reduce(and_, same), how).drop(*[f"by_{c}" for c in by])
-
-
 def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Sequence[Column],
               targets: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """The order key of the k-th row of each group.
@@ -65,10 +79,10 @@ def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Se
         digit = f"digit{i}"
         rows = keep
         if prefix:
-            rows = _join(keep, cells.select(*by, *prefix).distinct(), by + prefix, "left_semi")
+            rows = join_null_safe(keep, cells.select(*by, *prefix).distinct(), by + prefix, "left_semi")
         counts = rows.groupBy(*by, *prefix, digit).agg(F.count("*").alias("cell_rows"))
         upto = F.sum("cell_rows").over(Window.partitionBy(*by, *prefix).orderBy(digit))
-        found = (_join(counts.withColumn("upto", upto), cells.drop("cell_rows"), by + prefix)
+        found = (join_null_safe(counts.withColumn("upto", upto), cells.drop("cell_rows"), by + prefix)
                  .filter((F.col("k") <= F.col("upto"))
                          & (F.col("k") > F.col("upto") - F.col("cell_rows")))
                  .withColumn("k", F.col("k") - F.col("upto") + F.col("cell_rows"))
@@ -78,7 +92,7 @@ def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Se
         if (cells.agg(F.max("cell_rows")).first()[0] or 0) <= leaf_rows:
             break
     rank = F.row_number().over(Window.partitionBy(*by, "target").orderBy(*order))
-    cuts = (_join(keep, cells, by + prefix).withColumn("rank", rank)
+    cuts = (join_null_safe(keep, cells, by + prefix).withColumn("rank", rank)
             .filter(F.col("rank") == F.col("k"))
             .select(*by, "target", F.struct(*order).alias("cut")))
     return bounded(cuts, "cuts")
@@ -104,7 +118,7 @@ def label_by_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], digits
     label = F.when(F.lit(False), rest)
     for name in names:
         label = label.when(here <= F.col(f"cut_{name}"), name)
-    return (_join(df, wide, by, "left").withColumn(column, label.otherwise(rest))
+    return (join_null_safe(df, wide, by, "left").withColumn(column, label.otherwise(rest))
             .drop(*[f"cut_{n}" for n in names]))
 
 
@@ -115,18 +129,19 @@ def part_size(rows: Column | str, fraction: float) -> Column:
 
 
 def with_hash(df: DataFrame, key: Sequence[str], seed: int = SEED) -> DataFrame:
-    """Stage the rows with their draw order ``h``."""
-    return stage(df.withColumn("h", hash_key(*key, seed=seed)), "draw")
+    """Stage the rows with their draw order."""
+    return stage(df.withColumn("h", hash_key(*key, seed=seed)).withColumn("turn", F.monotonically_increasing_id()), "draw")
 
 
+@any_group
 def split_exact(df: DataFrame, by: Sequence[str], key: Sequence[str], fraction: float,
                 held: str = "dev", rest: str = "train", seed: int = SEED,
                 leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Hold out ``ceil(n * fraction)`` rows of each group."""
     rows = with_hash(df, key, seed)
     sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, part_size("n", fraction).alias(held))
-    return label_by_rank(rows, by, ["h"], hash_digits("h"), sizes, [held], rest,
-                         leaf_rows=leaf_rows).drop("h")
+    return label_by_rank(rows, by, DRAW, hash_digits("h"), sizes, [held], rest,
+                         leaf_rows=leaf_rows).drop(*DRAW)
 
 
 def three_way_sizes(rows: Column | str, test: float = 0.15, dev: float = 0.176) -> list[Column]:
@@ -135,14 +150,15 @@ def three_way_sizes(rows: Column | str, test: float = 0.15, dev: float = 0.176)
     return [n_test.alias("test"), part_size(n - n_test, dev).alias("dev")]
 
 
+@any_group
 def split_three_way(df: DataFrame, by: Sequence[str], key: Sequence[str], test: float = 0.15,
                     dev: float = 0.176, seed: int = SEED, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Test, then dev from what is left, then train; both cuts from the same counts."""
     rows = with_hash(df, key, seed)
     sizes = (rows.groupBy(*by).agg(F.count("*").alias("n"))
              .select(*by, *three_way_sizes("n", test, dev)))
-    return label_by_rank(rows, by, ["h"], hash_digits("h"), sizes, ["test", "dev"], "train",
-                         leaf_rows=leaf_rows).drop("h")
+    return label_by_rank(rows, by, DRAW, hash_digits("h"), sizes, ["test", "dev"], "train",
+                         leaf_rows=leaf_rows).drop(*DRAW)
 
 
 def quotas(counts: DataFrame, by: Sequence[str], strata: str, size: Column, held: str) -> DataFrame:
@@ -165,6 +181,7 @@ def quotas(counts: DataFrame, by: Sequence[str], strata: str, size: Column, held
     return shares.select(*by, strata, (F.col("whole") + extra).alias(held))
 
 
+@any_group
 def split_stratified(df: DataFrame, by: Sequence[str], strata: str, key: Sequence[str],
                      fraction: float | None = None, sizes: DataFrame | None = None,
                      held: str = "dev", rest: str = "train", seed: int = SEED,
@@ -180,10 +197,10 @@ def split_stratified(df: DataFrame, by: Sequence[str], strata: str, key: Sequenc
     if sizes is None:
         size = part_size("total", fraction)
     else:
-        counts, size = _join(counts, sizes.withColumnRenamed("size", "wanted"), by), F.col("wanted")
+        counts, size = join_null_safe(counts, sizes.withColumnRenamed("size", "wanted"), by), F.col("wanted")
     shares = quotas(counts, by, strata, size, held)
-    return label_by_rank(rows, [*by, strata], ["h"], hash_digits("h"), shares, [held], rest,
-                         leaf_rows=leaf_rows).drop("h")
+    return label_by_rank(rows, [*by, strata], DRAW, hash_digits("h"), shares, [held], rest,
+                         leaf_rows=leaf_rows).drop(*DRAW)
 
 
 def cap_per_group(df: DataFrame, by: Sequence[str], key: Sequence[str], cap: int,
@@ -208,7 +225,9 @@ def rebalance_sizes(pool: DataFrame, test: DataFrame, by: Sequence[str], train:
     The share of train rows is cut to a whole number in double precision; dev
     and test get half of the rest each.  Too small a test set is an error.
     """
-    by = list(by)
+    by = list(by) or [ALL]
+    if by == [ALL]:
+        pool, test = pool.withColumn(ALL, F.lit(0)), test.withColumn(ALL, F.lit(0))
     sides = (pool.select(*by, F.lit(1).alias("p"), F.lit(0).alias("t"))
              .unionByName(test.select(*by, F.lit(0).alias("p"), F.lit(1).alias("t"))))
     counts = sides.groupBy(*by).agg(F.sum("p").alias("pool"), F.sum("t").alias("external"))
@@ -228,11 +247,14 @@ def rebalance_sizes(pool: DataFrame, test: DataFrame, by: Sequence[str], train:
 def rebalance(pool: DataFrame, test: DataFrame, sizes: DataFrame, by: Sequence[str],
               key: Sequence[str], seed: int = SEED, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Pool and test rows with ``part``: ``pool``, ``moved`` (test rows that join the pool), ``test``."""
-    drawn = label_by_rank(with_hash(test, key, seed), by, ["h"], hash_digits("h"),
-                          sizes.select(*by, "moved"), ["moved"], "test", "part", leaf_rows).drop("h")
-    return pool.withColumn("part", F.lit("pool")).unionByName(drawn, allowMissingColumns=True)
+    if not by:
+        by, test, sizes = [ALL], test.withColumn(ALL, F.lit(0)), stage(sizes, "sizes")
+    drawn = label_by_rank(with_hash(test, key, seed), by, DRAW, hash_digits("h"),
+                          sizes.select(*by, "moved"), ["moved"], "test", "part", leaf_rows).drop(*DRAW)
+    return pool.withColumn("part", F.lit("pool")).unionByName(drawn.drop(ALL), allowMissingColumns=True)
 
 
+@any_group
 def split_positional(df: DataFrame, by: Sequence[str], source: str, position: str,
                      percent: int = 75, first: str = "train", rest: str = "eval",
                      leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -247,6 +269,7 @@ def split_positional(df: DataFrame, by: Sequence[str], source: str, position: st
                          leaf_rows=leaf_rows)
 
 
+@any_group
 def split_positional_shuffled(df: DataFrame, by: Sequence[str], key: Sequence[str], percent: int = 75,
                               first: str = "train", rest: str = "eval", seed: int = SEED,
                               leaf_rows: int = LEAF_ROWS) -> DataFrame:
@@ -254,8 +277,8 @@ def split_positional_shuffled(df: DataFrame, by: Sequence[str], key: Sequence[st
     rows = with_hash(df, key, seed)
     sizes = (rows.groupBy(*by).agg(F.count("*").alias("n"))
              .select(*by, F.expr(f"n * {int(percent)} div 100").alias(first)))
-    return label_by_rank(rows, by, ["h"], hash_digits("h"), sizes, [first], rest,
-                         leaf_rows=leaf_rows).drop("h")
+    return label_by_rank(rows, by, DRAW, hash_digits("h"), sizes, [first], rest,
+                         leaf_rows=leaf_rows).drop(*DRAW)
 
 
 def class_partition(df: DataFrame, column: str, sizes: dict[str, int], rest: str,

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scansio.functions.text import squeeze_line
 from scansio.operators.dedup import dedup_adjacent
 from scansio.operators.filters import drop_junk
 from scansio.operators.sampling import split_positional
+from scansio.session import bounded, stage
 
 
 def clean_lines(lines: DataFrame, source: str, position: str, digits: bool = False) -> DataFrame:
@@ -19,6 +20,26 @@ def clean_lines(lines: DataFrame, source: str, position: str, digits: bool = Fal
     return dedup_adjacent(drop_junk(squeezed, "value", digits), "value", source, position)
 
 
+def numbered_lines(lines: DataFrame, order: str = "line_id") -> DataFrame:
+    """Lines of files with ``source``, the number of their file, and ``position``, their place in it.
+
+    Blocks of a file are counted, not its lines sorted: a line's place is the
+    lines of the blocks before and its place in its own.  The file and block
+    tables are as small as the list of splits.
+    """
+    rows = stage(lines, "lines")
+    blocks = rows.groupBy(F.col(f"{order}.file").alias("file"), F.col(f"{order}.block").alias("block")).agg(
+        F.count("*").alias("n"), F.min(f"{order}.row").alias("first"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
+    files = blocks.select("file").distinct().withColumn("source", F.row_number().over(Window.orderBy("file")) - 1)
+    places = bounded(blocks.withColumn("before", before).join(files, "file")
+                     .select("file", "block", "source", (F.col("before") - F.col("first")).alias("shift")), "blocks")
+    here = (F.col(f"{order}.file") == F.col("file")) & (F.col(f"{order}.block") == F.col("block"))
+    return rows.join(places, here).select(
+        *[c for c in lines.columns if c != order], F.col("source").cast("bigint").alias("source"),
+        (F.col(f"{order}.row") + F.col("shift")).alias("position"))
+
+
 def lm_corpus(lines: DataFrame, by: Sequence[str], source: str, position: str) -> DataFrame:
     """Cleaned lines of every language; the first 75 % train, the rest evaluate."""
     return split_positional(clean_lines(lines, source, position), by, source, position)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,44 +29,78 @@ def file_order() -> Column:
 
 def read_lines(spark: SparkSession, path: str, schema: T.StructType = S.ANNOTATED_LINE) -> DataFrame:
     """Annotated lines stored as JSON arrays, one array per file."""
-    return (spark.read.schema(schema).option("multiLine", True).json(path)
+    return (spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
             .withColumn(ORDER, file_order()))
 
 
 def read_table(spark: SparkSession, path: str, schema: T.StructType,
                line_breaks: bool = True) -> DataFrame:
-    """A delimited table with a header.
+    """The columns of ``schema`` of a delimited table, found by its header in any order.
 
     Quoted fields may hold line breaks, which keeps a file in one split; turn
-    ``line_breaks`` off for one-line fields so that large files are split.
+    ``line_breaks`` off for one-line fields so that large files are split.  A
+    missing column, files with different headers and broken rows are errors.
     """
-    return (spark.read.schema(schema)
-            .csv(path, header=True, multiLine=line_breaks, quote='"', escape='"')
-            .withColumn(ORDER, file_order()))
+    rows = _delimited(spark, path, line_breaks)
+    return rows.select(*_named(rows, schema), file_order().alias(ORDER))
+
+
+def _delimited(spark: SparkSession, path: str, line_breaks: bool, base: str | None = None) -> DataFrame:
+    reader = spark.read.option("enforceSchema", False).option("mode", "FAILFAST")
+    if base is not None:
+        reader = reader.option("basePath", base)
+    return reader.csv(path, header=True, multiLine=line_breaks, quote='"', escape='"')
+
 
+def _named(rows: DataFrame, schema: T.StructType, optional: tuple[str, ...] = ()) -> list[Column]:
+    """The columns of a schema by name; an optional one that is absent is null."""
+    absent = [f.name for f in schema if f.name not in rows.columns and f.name not in optional]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} among {', '.join(rows.columns)}")
+    return [(F.col(f"`{f.name}`") if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in schema]
 
-def read_corpus(spark: SparkSession, path: str, corpus: S.Corpus) -> DataFrame:
+
+def read_corpus(spark: SparkSession, path: str, corpus: S.Corpus, line_breaks: bool = True) -> DataFrame:
     """A corpus under its canonical column names."""
-    read = read_lines if corpus.format == "json" else read_table
-    rows = read(spark, path, corpus.schema)
+    if corpus.format == "json":
+        rows = read_lines(spark, path, corpus.schema)
+    else:
+        rows = read_table(spark, path, corpus.schema, line_breaks)
     return (rows.withColumnsRenamed(corpus.renames)
             .withColumn("corpus", F.lit(corpus.name))
             .withColumn("lang", F.lit(corpus.lang)))
 
 
 def read_splits(spark: SparkSession, path: str, langs: list[str] | None = None) -> DataFrame:
-    """Prepared splits under ``lang=/split=``; other languages are not listed or read."""
-    rows = (spark.read.schema(S.SPLIT_ROW)
-            .csv(path, header=True, multiLine=False, quote='"', escape='"'))
-    if langs and "multi" not in langs:
-        rows = rows.filter(F.col("lang").isin(langs))
-    return rows
+    """Prepared splits under ``lang=/split=``, by their header; other languages are not read.
+
+    A split may lack ``sota``, as train and dev do; a language may lack a split.
+    """
+    parts = []
+    for split in S.SPLITS:
+        try:
+            rows = _delimited(spark, f"{path}/lang=*/split={split}", False, base=path)
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            continue
+        if langs and "multi" not in langs:
+            rows = rows.filter(F.col("lang").isin(langs))
+        parts.append(rows.select(*_named(rows, S.SPLIT_ROW, optional=("sota",))))
+    if not parts:
+        raise FileNotFoundError(f"no lang=/split= folders in {path}")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def read_poem_map(spark: SparkSession, path: str) -> DataFrame:
-    """Poems of JSON objects ``id -> {text}``, one object per file; null poems are dropped."""
+    """Poems of JSON objects ``id -> {text}``, one object per file; null poems are dropped.
+
+    A file that is not such an object is an error.
+    """
     objects = spark.read.text(path, wholetext=True)
-    poems = objects.select(F.explode(F.from_json("value", S.POEM_MAP)).alias("poem_id", "poem"))
+    parsed = F.from_json("value", S.POEM_MAP, {"mode": "FAILFAST"})
+    poems = objects.select(F.explode(parsed).alias("poem_id", "poem"))
     return poems.filter(F.col("poem").isNotNull()).select("poem_id", F.col("poem.text").alias("text"))
 
 
@@ -78,13 +115,19 @@ def read_raw_lines(spark: SparkSession, path: str, extra: str | None = None) ->
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
     """Word vectors stored as ``word v1 v2 ...``; the last copy of a word wins.
 
-    The header line is the one with two fields.  A word repeated many times is
-    reduced to one row per map task before the shuffle.
+    Fields are parted by any white space.  A header is two whole numbers in the
+    first block of a file; any other line without a number behind its word is an
+    error.  A word repeated many times is reduced to one row per map task before
+    the shuffle.
     """
     rows = spark.read.text(path, lineSep="\n").select(
-        F.split(F.rtrim("value"), " ").alias("fields"), file_order().alias(ORDER))
-    vectors = rows.filter(F.size("fields") > 2).select(
-        F.get("fields", F.lit(0)).alias("word"),
+        F.array_remove(F.split("value", r"\s+"), "").alias("fields"), file_order().alias(ORDER))
+    header = ((F.col(f"{ORDER}.block") == 0) & (F.size("fields") == 2)
+              & F.forall("fields", lambda x: x.rlike(r"^\d+$")))
+    checked = F.when(F.size("fields") >= 2, F.get("fields", F.lit(0))).otherwise(
+        F.raise_error(F.lit("a line holds no vector")).cast("string"))
+    vectors = rows.filter(~header).select(
+        checked.alias("word"),
         F.slice("fields", F.lit(2), F.size("fields") - 1).cast("array<float>").alias("vector"),
         ORDER)
     return vectors.groupBy("word").agg(F.max_by("vector", ORDER).alias("vector"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scansio import schema as S
 from scansio.functions.meter import stress_labels
 from scansio.operators.dedup import dedup_adjacent
 from scansio.operators.filters import reviewed, unreviewed
@@ -14,8 +15,16 @@ CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTra
 
 
 def write_splits(rows: DataFrame, path: str, format: str = "csv") -> None:
-    """Train, dev and test rows under ``lang=/split=``."""
-    writer = rows.write.partitionBy("lang", "split")
+    """Train, dev and test rows under ``lang=/split=``: the columns of ``SPLIT_ROW``, whatever else there is.
+
+    Rows without ``sota`` get an empty one; another missing column is an error.
+    """
+    if "sota" not in rows.columns:
+        rows = rows.withColumn("sota", F.lit(None).cast("string"))
+    absent = [c for c in S.SPLIT_ROW.names if c not in rows.columns]
+    if absent:
+        raise ValueError(f"no column {', '.join(absent)} among {', '.join(rows.columns)}")
+    writer = rows.select(*S.SPLIT_ROW.names).write.partitionBy("lang", "split")
     if format == "csv":
         writer.csv(path, header=True, **CSV)
     else:

@@ -1,7 +1,10 @@
 import json
 
+import pytest
+
 from scansio import schema as S
 from scansio.operators import dedup
+from scansio.plans import corpus
 from scansio.sources import readers, writers
 from tests.plans import plan_text
 
@@ -82,7 +85,60 @@ def test_splits_read_only_the_languages_asked_for(spark, tmp_path):
     assert readers.read_splits(spark, path, ["multi"]).count() == 2
 
 
-def test_delimited_columns_are_taken_by_position(spark, tmp_path):
-    (tmp_path / "es.csv").write_text("line_text,metrical_pattern,tool\n\"Uno, dos\",+-,--\n")
+def test_delimited_columns_are_taken_by_name(spark, tmp_path):
+    (tmp_path / "es.csv").write_text("id,rantanplan,line_text,metrical_pattern\n7,--,\"Uno, dos\",+-\n")
     row = readers.read_corpus(spark, str(tmp_path), S.ADSO_SCANNED).first()
     assert (row.text, row.meter, row.sota, row.lang) == ("Uno, dos", "+-", "--", "es")
+    with pytest.raises(ValueError, match="no column verse"):
+        readers.read_corpus(spark, str(tmp_path), S.PO_EMO)
+
+
+def test_splits_without_a_baseline(spark, tmp_path):
+    """The layout of prepared files: train and dev have no baseline column."""
+    for split, head, line in (("train", "text,meter,length", "a,++,2"), ("test", "text,meter,sota,length", "b,+-,--,2")):
+        (tmp_path / "lang=es" / f"split={split}").mkdir(parents=True)
+        (tmp_path / "lang=es" / f"split={split}" / "f.csv").write_text(f"{head}\n{line}\n")
+    got = sorted(map(tuple, readers.read_splits(spark, str(tmp_path)).collect()))
+    assert got == [("a", "++", None, 2, "es", "train"), ("b", "+-", "--", 2, "es", "test")]
+    with pytest.raises(FileNotFoundError):
+        readers.read_splits(spark, str(tmp_path / "lang=es"))
+
+
+def test_written_splits_hold_the_contract(spark, tmp_path):
+    rows = spark.createDataFrame([("x", "a", "+", 1, "es", "train", ("f", 1))],
+                                 "corpus string, text string, meter string, length int, lang string, split string, "
+                                 "line_id struct<file:string,row:int>")
+    writers.write_splits(rows, str(tmp_path / "s"))
+    assert [tuple(r) for r in readers.read_splits(spark, str(tmp_path / "s")).collect()] == [("a", "+", None, 1, "es", "train")]
+    with pytest.raises(ValueError, match="no column meter"):
+        writers.write_splits(rows.drop("meter"), str(tmp_path / "t"))
+
+
+@pytest.mark.parametrize("name, text, read", [
+    ("a.json", '[{"line_text": "x", "manually_checked": tru]', readers.read_lines),
+    ("p.json", '{"1": {"text": "a"}, "2": {"te', lambda s, p: readers.read_poem_map(s, p)),
+    ("v.vec", "9 2\nword 1 2\nalone\n", readers.read_vectors),
+])
+def test_broken_files_fail(spark, tmp_path, name, text, read):
+    (tmp_path / name).write_text(text)
+    with pytest.raises(Exception):
+        read(spark, str(tmp_path)).collect()
+
+
+def test_vectors_with_any_white_space(spark, tmp_path):
+    (tmp_path / "v.vec").write_text("3 1\n a\t1.5\nb  2\n7 3.0\n")
+    assert {r.word: list(r.vector) for r in readers.read_vectors(spark, str(tmp_path)).collect()} == {
+        "a": [1.5], "b": [2.0], "7": [3.0]}
+
+
+def test_places_of_lines_across_blocks(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.txt").write_text("\n".join(f"{name} line {k}" for k in range(400)) + "\n")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "700")
+    try:
+        lines = corpus.numbered_lines(readers.read_raw_lines(spark, str(tmp_path)))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    got = {(r.source, r.position): r.value for r in lines.collect()}
+    assert got == {(i, k): f"{name} line {k}" for i, name in enumerate("ab") for k in range(400)}
