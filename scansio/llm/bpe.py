@@ -101,10 +101,14 @@ def merge_heaped(piece: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
+def packed(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids])
+
+
 class Codes(dict):
-    """Match to ids as little-endian unsigned 32-bit numbers, worked out when first asked for."""
+    """Part of a text to its ids as little-endian unsigned 32-bit numbers, worked out when first asked for."""
 
-    def __init__(self, encode: Callable[[str], list[int]]):
+    def __init__(self, encode: Callable[[str], bytes]):
         super().__init__()
         self.encode = encode
         self.older: dict[str, bytes] = {}
@@ -112,7 +116,7 @@ class Codes(dict):
     def __missing__(self, match: str) -> bytes:
         code = self.older.get(match)
         if code is None:
-            code = b"".join([i.to_bytes(4, "little") for i in self.encode(match)])
+            code = self.encode(match)
         if len(match) <= 64:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
@@ -130,7 +134,7 @@ class Encoder:
         for token, rank in self.ranks.items():
             self.token[rank] = token
         self.matches = regex.compile(pattern).findall
-        self.code = Codes(lambda match: self.encode_bytes(match.encode())).__getitem__
+        self.code = Codes(lambda match: packed(self.encode_bytes(match.encode()))).__getitem__
 
     # one match
 

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scansio.llm.bpe import Codes
+from scansio.llm.bpe import Codes, packed
 from scansio.llm.common import by_slice
 from scansio.session import stage
 
@@ -36,19 +36,50 @@ PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids binary"
 
 # pieces
 
+def letters() -> dict[int, str]:
+    """The letter by which the tokenizer's vocabulary writes each byte.
+
+    Visible Latin-1 characters stand for themselves, the other bytes follow from
+    256 on in their order.
+    """
+    visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    rest = iter(range(256, 512))
+    return {b: chr(b if b in visible else next(rest)) for b in range(256)}
+
+
 class Words:
-    """Ids of a text by a tokenizer file, one match of its pattern at a time."""
+    """Ids of a text by a tokenizer file, each part of it worked out once.
+
+    Where no two white-space characters are neighbours, a blank always begins a
+    match and a line feed always is one, so the text falls into parts at blanks
+    and line feeds, of which most have been seen.  Other texts, and parts that
+    are new, are cut by the pattern.
+    """
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        model, write = tokenizer.model, letters()
         self.matches = regex.compile(pattern).findall
-        self.code = Codes(lambda match: tokenizer.encode(match, add_special_tokens=False).ids).__getitem__
+        self.neighbours = regex.compile(r"\s\s").search
+        self.code = Codes(lambda match: packed(
+            [t.id for t in model.tokenize(match.encode().decode("latin-1").translate(write))])).__getitem__
+        self.first = Codes(self.cut).__getitem__
+        self.after_blank = Codes(lambda part: self.cut(" " + part)).__getitem__
+        self.line_feed = self.cut("\n")
+
+    def cut(self, text: str) -> bytes:
+        return b"".join(map(self.code, self.matches(text)))
+
+    def line(self, line: str) -> bytes:
+        first, *rest = line.split(" ")
+        return self.first(first) + b"".join(map(self.after_blank, rest))
 
     def ids(self, text: str) -> bytes:
-        return b"".join(map(self.code, self.matches(text)))
+        if self.neighbours(text):
+            return self.cut(text)
+        return self.line_feed.join(map(self.line, text.split("\n")))
 
 
 @lru_cache(maxsize=2)
