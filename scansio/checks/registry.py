@@ -137,7 +137,8 @@ def external(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return keep_lengths(firsts(spark, folder, *columns, where="source = 'b'"))
 
 
-def pool(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
-    """Lines of the first corpus that do not occur in the external test set."""
-    free = remove_leakage(firsts(spark, folder, *columns, where="source = 'a'"), external(spark, folder), KEY)
+def pool(spark: SparkSession, folder: str, *columns: str, held: DataFrame | None = None) -> DataFrame:
+    """Lines of the first corpus that do not occur in the external test set, which may be given."""
+    held = external(spark, folder) if held is None else held
+    free = remove_leakage(firsts(spark, folder, *columns, where="source = 'a'"), held, KEY)
     return keep_lengths(free)

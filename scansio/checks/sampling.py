@@ -66,7 +66,8 @@ _PARTS = f"""SELECT lang, text, length, 'pool' AS part FROM pool UNION ALL
 
 
 def _rebalanced(spark, folder):
-    inside, outside = stage(pool(spark, folder), "pool"), stage(external(spark, folder), "external")
+    outside = stage(external(spark, folder), "external")
+    inside = stage(pool(spark, folder, held=outside), "pool")
     sizes = stage(sampling.rebalance_sizes(inside, outside, ["lang"]), "sizes")
     return sampling.rebalance(inside, outside, sizes, ["lang"], KEY), sizes
 

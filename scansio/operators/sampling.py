@@ -2,8 +2,8 @@
 
 A draw is the order of ``md5(seed|key)``.  An exact split needs the key of the
 k-th row in that order, not the order itself: ``rank_cuts`` finds it by counting
-rows per leading digits of the key and looking only into the cell that holds the
-k-th row.  Counts are combined on the map side, no row is moved, and the split
+rows per leading digits of the key (group sizes come from the same counts) and
+looking only into the cell that holds the k-th row.  Counts are combined on the map side, no row is moved, and the split
 itself is a comparison with the cut, a narrow projection.  A group that holds a
 third of all rows costs what any other group costs.
 
@@ -52,8 +52,8 @@ def hash_key(*key: Column | str, seed: int = SEED) -> Column:
 
 
 def hash_digits(h: str) -> list[Column]:
-    """Leading digits of a hash, 16 bits at a time."""
-    return [F.substring(h, 1 + 4 * i, 4) for i in range(4)]
+    """Leading digits of a hash, 12 bits at a time."""
+    return [F.substring(h, 1 + 3 * i, 3) for i in range(5)]
 
 
 def id_digits(df: DataFrame, column: str) -> list[Column]:
@@ -64,61 +64,66 @@ def id_digits(df: DataFrame, column: str) -> list[Column]:
 
 
 def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Sequence[Column],
-              targets: DataFrame, leaf_rows: int = LEAF_ROWS) -> DataFrame:
-    """The order key of the k-th row of each group.
-
-    ``targets`` holds ``by..., target, k``; the result ``by..., target, cut``.
-    ``digits`` are leading parts of the order key, each with at most 65,536
-    values once the earlier ones are fixed.  Digits are used until every cell
-    left holds at most ``leaf_rows`` rows, which are then ranked.
+              sizes: DataFrame | Sequence[Column], names: Sequence[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """The order keys with which the named parts of each group end: ``by..., cut_<name>...``.
+
+    ``sizes`` says how many rows each part has: expressions of ``n``, the rows
+    of the group, or a table ``by..., names...``.  The first pass counts rows per
+    group and first digit, which gives group sizes as well as cells.  ``digits``
+    are leading parts of the order key, each with at most 65,536 values once the
+    earlier ones are fixed.  They are used until every cell left holds at most
+    ``leaf_rows`` rows, which are then ranked.
     """
-    by = list(by)
+    by, group = list(by), Window.partitionBy(*by)
     keep = df.select(*by, *order, *[d.alias(f"digit{i}") for i, d in enumerate(digits)])
-    cells, prefix = targets, []
-    for i in range(len(digits)):
-        digit = f"digit{i}"
-        rows = keep
-        if prefix:
-            rows = join_null_safe(keep, cells.select(*by, *prefix).distinct(), by + prefix, "left_semi")
-        counts = rows.groupBy(*by, *prefix, digit).agg(F.count("*").alias("cell_rows"))
-        upto = F.sum("cell_rows").over(Window.partitionBy(*by, *prefix).orderBy(digit))
-        found = (join_null_safe(counts.withColumn("upto", upto), cells.drop("cell_rows"), by + prefix)
-                 .filter((F.col("k") <= F.col("upto"))
-                         & (F.col("k") > F.col("upto") - F.col("cell_rows")))
-                 .withColumn("k", F.col("k") - F.col("upto") + F.col("cell_rows"))
-                 .drop("upto"))
-        prefix = prefix + [digit]
-        cells = bounded(found, "cells")
-        if (cells.agg(F.max("cell_rows")).first()[0] or 0) <= leaf_rows:
+
+    def ends_here(cells: DataFrame) -> DataFrame:
+        """Cells that hold the k-th row, with k counted from the start of the cell."""
+        before = F.col("upto") - F.col("cell_rows")
+        return (cells.filter((F.col("k") <= F.col("upto")) & (F.col("k") > before))
+                .withColumn("k", F.col("k") - before).drop("upto"))
+
+    counts = (keep.groupBy(*by, "digit0").agg(F.count("*").alias("cell_rows"))
+              .withColumn("upto", F.sum("cell_rows").over(group.orderBy("digit0"))))
+    if isinstance(sizes, DataFrame):
+        counts = join_null_safe(counts, sizes.select(*by, *names), by)
+    else:
+        counts = counts.withColumn("n", F.sum("cell_rows").over(group)).select("*", *sizes)
+    total, ends = F.lit(0), []
+    for name in names:
+        total = total + F.col(name)
+        ends.append(F.struct(F.lit(name).alias("target"), total.cast("bigint").alias("k")))
+    cells = bounded(ends_here(counts.select(*by, "digit0", "cell_rows", "upto", F.inline(F.array(*ends)))), "cells")
+    prefix = ["digit0"]
+    for i in range(1, len(digits)):
+        if cells.filter(F.col("cell_rows") > leaf_rows).isEmpty():
             break
+        rows = join_null_safe(keep, cells.select(*by, *prefix).distinct(), by + prefix, "left_semi")
+        upto = F.sum("cell_rows").over(Window.partitionBy(*by, *prefix).orderBy(f"digit{i}"))
+        counts = (rows.groupBy(*by, *prefix, f"digit{i}").agg(F.count("*").alias("cell_rows"))
+                  .withColumn("upto", upto))
+        cells = bounded(ends_here(join_null_safe(counts, cells.drop("cell_rows"), by + prefix)), "cells")
+        prefix = prefix + [f"digit{i}"]
     rank = F.row_number().over(Window.partitionBy(*by, "target").orderBy(*order))
-    cuts = (join_null_safe(keep, cells, by + prefix).withColumn("rank", rank)
-            .filter(F.col("rank") == F.col("k"))
-            .select(*by, "target", F.struct(*order).alias("cut")))
-    return bounded(cuts, "cuts")
+    last = join_null_safe(keep, cells, by + prefix).withColumn("rank", rank).filter(F.col("rank") == F.col("k"))
+    cuts = [F.first(F.when(F.col("target") == name, F.struct(*order)), ignorenulls=True).alias(f"cut_{name}")
+            for name in names]
+    return bounded(last.groupBy(*by).agg(*cuts), "cuts")
 
 
 def label_by_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Sequence[Column],
-                  sizes: DataFrame, names: Sequence[str], rest: str, column: str = "split",
+                  sizes: DataFrame | Sequence[Column], names: Sequence[str], rest: str, column: str = "split",
                   leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Name the first ``sizes[names[0]]`` rows of each group after the first name, and so on.
 
-    ``df`` is scanned several times, so pass a staged table.
+    ``df`` is scanned three times, so pass a staged table.
     """
-    by = list(by)
-    total, stack = F.lit(0), []
-    for name in names:
-        total = total + F.col(name)
-        stack.append(F.struct(F.lit(name).alias("target"), total.cast("bigint").alias("k")))
-    targets = sizes.select(*by, F.explode(F.array(*stack)).alias("t")).select(*by, "t.*")
-    cuts = rank_cuts(df, by, order, digits, targets, leaf_rows)
-    wide = bounded(cuts.groupBy(*by).pivot("target", list(names)).agg(F.first("cut"))
-                   .withColumnsRenamed({n: f"cut_{n}" for n in names}), "cuts")
+    cuts = rank_cuts(df, by, order, digits, sizes, names, leaf_rows)
     here = F.struct(*order)
     label = F.when(F.lit(False), rest)
     for name in names:
         label = label.when(here <= F.col(f"cut_{name}"), name)
-    return (join_null_safe(df, wide, by, "left").withColumn(column, label.otherwise(rest))
+    return (join_null_safe(df, cuts, by, "left").withColumn(column, label.otherwise(rest))
             .drop(*[f"cut_{n}" for n in names]))
 
 
@@ -139,8 +144,7 @@ def split_exact(df: DataFrame, by: Sequence[str], key: Sequence[str], fraction:
                 leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Hold out ``ceil(n * fraction)`` rows of each group."""
     rows = with_hash(df, key, seed)
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n")).select(*by, part_size("n", fraction).alias(held))
-    return label_by_rank(rows, by, DRAW, hash_digits("h"), sizes, [held], rest,
+    return label_by_rank(rows, by, DRAW, hash_digits("h"), [part_size("n", fraction).alias(held)], [held], rest,
                          leaf_rows=leaf_rows).drop(*DRAW)
 
 
@@ -155,9 +159,7 @@ def split_three_way(df: DataFrame, by: Sequence[str], key: Sequence[str], test:
                     dev: float = 0.176, seed: int = SEED, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Test, then dev from what is left, then train; both cuts from the same counts."""
     rows = with_hash(df, key, seed)
-    sizes = (rows.groupBy(*by).agg(F.count("*").alias("n"))
-             .select(*by, *three_way_sizes("n", test, dev)))
-    return label_by_rank(rows, by, DRAW, hash_digits("h"), sizes, ["test", "dev"], "train",
+    return label_by_rank(rows, by, DRAW, hash_digits("h"), three_way_sizes("n", test, dev), ["test", "dev"], "train",
                          leaf_rows=leaf_rows).drop(*DRAW)
 
 
@@ -193,12 +195,12 @@ def split_stratified(df: DataFrame, by: Sequence[str], strata: str, key: Sequenc
     """
     by = list(by)
     rows = with_hash(df, key, seed)
-    counts = bounded(rows.groupBy(*by, strata).agg(F.count("*").alias("n")), "strata")
+    counts = rows.groupBy(*by, strata).agg(F.count("*").alias("n"))
     if sizes is None:
         size = part_size("total", fraction)
     else:
         counts, size = join_null_safe(counts, sizes.withColumnRenamed("size", "wanted"), by), F.col("wanted")
-    shares = quotas(counts, by, strata, size, held)
+    shares = bounded(quotas(counts, by, strata, size, held), "shares")
     return label_by_rank(rows, [*by, strata], DRAW, hash_digits("h"), shares, [held], rest,
                          leaf_rows=leaf_rows).drop(*DRAW)
 
@@ -263,8 +265,7 @@ def split_positional(df: DataFrame, by: Sequence[str], source: str, position: st
     Counted per block of source ids, so no row is sorted or moved.
     """
     rows = stage(df, "lines")
-    sizes = (rows.groupBy(*by).agg(F.count("*").alias("n"))
-             .select(*by, F.expr(f"n * {int(percent)} div 100").alias(first)))
+    sizes = [F.expr(f"n * {int(percent)} div 100").alias(first)]
     return label_by_rank(rows, by, [source, position], id_digits(rows, source), sizes, [first], rest,
                          leaf_rows=leaf_rows)
 
@@ -275,8 +276,7 @@ def split_positional_shuffled(df: DataFrame, by: Sequence[str], key: Sequence[st
                               leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """As ``split_positional`` on lines put in draw order first."""
     rows = with_hash(df, key, seed)
-    sizes = (rows.groupBy(*by).agg(F.count("*").alias("n"))
-             .select(*by, F.expr(f"n * {int(percent)} div 100").alias(first)))
+    sizes = [F.expr(f"n * {int(percent)} div 100").alias(first)]
     return label_by_rank(rows, by, DRAW, hash_digits("h"), sizes, [first], rest,
                          leaf_rows=leaf_rows).drop(*DRAW)
 
