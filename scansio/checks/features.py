@@ -6,6 +6,7 @@ from scansio import fixtures
 from scansio.checks.registry import KEY, ORDER, check, joined, kept, pool, r6
 from scansio.functions.text import clean_label
 from scansio.operators import features
+from scansio.operators.metrics import vector_moments
 
 
 def _vocabulary(spark, folder):
@@ -72,10 +73,19 @@ def vector_coverage(spark, folder):
     return features.vector_coverage(_lookup(spark, folder)).withColumn("coverage", r6("coverage"))
 
 
-@check("embedding_matrix")
+@check("embedding_matrix", """SELECT word, idx, vector IS NOT NULL AS known,
+    (SELECT max(len(vector)) FROM looked_up)::INTEGER AS width,
+    round(list_sum(list_transform(vector, lambda x: x::DOUBLE)), 6) AS total, true AS plausible FROM looked_up""")
 def embedding_matrix(spark, folder):
+    """Known vectors as they are; drawn ones as wide, and within eight deviations of the mean of the table."""
     vocab = _vocabulary(spark, folder)
-    return features.embedding_matrix(vocab, fixtures.vectors(spark, folder, vocab))
+    vectors = fixtures.vectors(spark, folder, vocab)
+    moments = vector_moments(vectors, "vector").first()
+    matrix = features.embedding_matrix(vocab, vectors)
+    total = F.aggregate(F.transform("vector", lambda x: x.cast("double")), F.lit(0.0), lambda s, x: s + x)
+    near = F.forall("vector", lambda x: F.abs(x - F.lit(moments["mean"])) <= F.lit(8 * moments["std"]))
+    return matrix.select("word", "idx", "known", F.size("vector").alias("width"),
+                         F.when(F.col("known"), r6(total)).alias("total"), (F.col("known") | near).alias("plausible"))
 
 
 _ROWS = """SELECT doc_id, pos, list_concat(list_transform(words, lambda w: length(w)::INTEGER), [2]) AS t,

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scansio import fixtures
 from scansio.checks.registry import KEY, check, kept, r6
 from scansio.functions import meter as M
-from scansio.operators import filters, metrics, runs, sampling
+from scansio.operators import metrics, runs, sampling
 from scansio.plans import evaluate
 
 
@@ -213,14 +213,6 @@ def position_confusion(spark, folder):
     round(avg((sota = meter)::INTEGER::DOUBLE) FILTER (WHERE split = 'test'), 6) AS sota
     FROM three_way GROUP BY lang""")
 def run_report(spark, folder):
-    rows = filters.drop_baseline(
-        sampling.split_three_way(kept(spark, folder, "meter", "pred", "sota"), ["lang"], KEY))
-    per_split = rows.filter("split <> 'train'").groupBy("lang", "split").agg(
-        metrics.exact_match("meter", "pred").alias("model"), metrics.exact_match("meter", "sota").alias("sota"))
-    scores = per_split.select(
-        F.lit("multi").alias("model_lang"), F.col("lang").alias("data_lang"),
-        F.inline(F.array(
-            F.struct(F.when(F.col("split") == "dev", "eval_accuracy").otherwise("test_accuracy").alias("measure"),
-                     r6("model").alias("value")),
-            F.struct(F.when(F.col("split") == "test", "sota").alias("measure"), r6("sota").alias("value")))))
-    return metrics.run_report(scores.filter("measure IS NOT NULL"), ["eval_accuracy", "test_accuracy", "sota"])
+    rows = sampling.split_three_way(kept(spark, folder, "meter", "pred", "sota"), ["lang"], KEY)
+    return evaluate.run_report(rows, "multi").select(
+        "model_lang", "data_lang", *[r6(m).alias(m) for m in ("eval_accuracy", "test_accuracy", "sota")])

@@ -1,46 +1,78 @@
-"""Distributed models.  Fitted values are not SQL, so these have no oracle."""
+"""Distributed models.
+
+Fitted numbers are not SQL.  What must hold of them is: every row of the test
+part is scored, scores are probabilities, fits repeat, saved models score alike,
+and a word that decides the answer is learned.  SQL states each as true.
+"""
 
 from pyspark.sql import functions as F
 
 from scansio import fixtures
-from scansio.checks.registry import KEY, check, joined, kept
-from scansio.functions.meter import threshold_labels
+from scansio.checks.registry import KEY, check, kept
+from scansio.checks.sampling import STANZA_SPLIT
 from scansio.functions.text import clean_label, clean_text
 from scansio.operators import models, sampling
+from scansio.operators.metrics import exact_match
+from scansio.plans import baseline
 from scansio.session import stage
 
 BUCKETS = 1 << 14
 POSITIONS = list(range(1, 13))
 
+#: The test part: the first quarter of each language in draw order.
+_TEST = """SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n,
+    row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || lang || '|' || text)) AS rn FROM kept)
+    WHERE rn <= ceil(n::DOUBLE * 0.25::DOUBLE)"""
 
-def _split(spark, folder):
-    rows = stage(sampling.split_exact(kept(spark, folder, "meter"), ["lang"], KEY, 0.25, held="test"), "fit")
-    return rows.filter("split = 'train'"), rows.filter("split = 'test'").drop("split")
 
+def _rows(spark, folder):
+    """Verse lines split into train and test rows."""
+    return stage(sampling.split_exact(kept(spark, folder, "meter"), ["lang"], KEY, 0.25, held="test"), "fit")
 
-def _ova(spark, folder):
-    train, test = _split(spark, folder)
-    return models.fit_ova(train, "text", "meter", POSITIONS, BUCKETS, max_iter=10), test
 
+def _split(rows):
+    return rows.filter("split = 'train'"), rows.filter("split = 'test'").drop("split")
 
-@check("ova_scores")
-def ova_scores(spark, folder):
-    model, test = _ova(spark, folder)
-    return models.ova_scores(model, test, "text", POSITIONS).select("lang", "text", "meter", "scores")
 
+def _planted(rows):
+    """A word in front says whether the first syllable is stressed."""
+    word = F.when(F.col("meter").startswith("+"), "zzplus").otherwise("zzminus")
+    return rows.withColumn("text", F.concat_ws(" ", word, "text"))
 
-@check("ova_predictions")
-def ova_predictions(spark, folder):
-    model, test = _ova(spark, folder)
+
+@check("ova_scores", f"SELECT lang, text, meter, 12 AS positions, true AS probabilities FROM ({_TEST})")
+def ova_scores(spark, folder):
+    train, test = _split(_rows(spark, folder))
+    model = models.fit_ova(train, "text", "meter", POSITIONS, BUCKETS, max_iter=10)
     scores = models.ova_scores(model, test, "text", POSITIONS)
-    return scores.select("lang", "text", joined(threshold_labels("scores"), " ").alias("labels"))
+    return scores.select("lang", "text", "meter", F.size("scores").alias("positions"),
+                         F.forall("scores", lambda s: s.between(0.0, 1.0)).alias("probabilities"))
 
 
-@check("model_round_trip", """SELECT lang, text, true AS same FROM (SELECT *, count(*) OVER (PARTITION BY lang) AS n,
-    row_number() OVER (PARTITION BY lang ORDER BY md5('42|' || lang || '|' || text)) AS rn FROM kept)
-    WHERE rn <= ceil(n::DOUBLE * 0.25::DOUBLE)""")
+@check("ova_predictions", f"SELECT lang, text, true AS repeated FROM ({_TEST})")
+def ova_predictions(spark, folder):
+    """Scores of two fits on the same features, and their label sets where no score is at the threshold."""
+    train, test = _split(_rows(spark, folder))
+    features = models.ova_features(train, "text", "meter", POSITIONS, BUCKETS)
+    one, two = (models.fit_positions(features, POSITIONS, BUCKETS, max_iter=10) for _ in range(2))
+    first, second = (models.ova_scores(m, test, "text", POSITIONS).select(*KEY, "scores") for m in (one, two))
+    pairs = F.arrays_zip("scores", "again")
+    return first.join(second.withColumnRenamed("scores", "again"), KEY).select(
+        *KEY, F.forall(pairs, lambda p: F.abs(p["scores"] - p["again"]) < 1e-6).alias("repeated"))
+
+
+@check("ngram_report", f"""SELECT lang, count(*) AS samples, true AS found FROM ({_TEST}) GROUP BY lang""")
+def ngram_report(spark, folder):
+    """The n-gram baseline from lines to precision, recall and set match, on the syllable that a word decides."""
+    rows = _planted(_rows(spark, folder)).withColumn("meter", F.substring("meter", 1, 1))
+    report = baseline.ngram_report(baseline.ngram_predictions(rows, [1], BUCKETS, max_iter=10))
+    measures = [F.coalesce(F.col(m), F.lit(1.0)) for m in ("precision", "recall", "accuracy")]
+    return report.select("lang", "samples", (F.least(*measures) >= 0.95).alias("found"))
+
+
+@check("model_round_trip", f"SELECT lang, text, true AS same FROM ({_TEST})")
 def model_round_trip(spark, folder):
-    train, test = _split(spark, folder)
+    train, test = _split(_rows(spark, folder))
     model = models.fit_ova(train, "text", "meter", POSITIONS[:1], BUCKETS, max_iter=10)
     again = models.save_and_reload(model, spark)
     before, after = (models.ova_scores(m, test, "text", POSITIONS[:1]).select("lang", "text", "scores") for m in (model, again))
@@ -48,21 +80,34 @@ def model_round_trip(spark, folder):
         "lang", "text", (F.col("scores") == F.col("reloaded")).alias("same"))
 
 
-@check("stanza_predictions")
+@check("stanza_predictions", f"""SELECT s.stanza_id, s.stanza, c.label, true AS known, true AS learned
+    FROM ({STANZA_SPLIT}) s JOIN (SELECT stanza, (row_number() OVER (ORDER BY stanza) - 1)::INTEGER AS label
+    FROM (SELECT DISTINCT stanza FROM labelled_stanzas)) c ON c.stanza = s.stanza WHERE s.split = 'dev'""")
 def stanza_predictions(spark, folder):
+    """Class numbers of held-out stanzas; the classifier must beat the share of the commonest class."""
     rows = fixtures.stanzas(spark, folder).select(
         "stanza_id", clean_text("text").alias("text"), clean_label("stanza").alias("stanza"))
-    drawn = sampling.split_stratified(rows, [], "stanza", [F.col("stanza_id").cast("string")], 0.25)
-    model = models.fit_classifier(drawn.filter("split = 'train'"), "text", "stanza", BUCKETS, max_iter=10)
-    return models.classify(model, drawn.filter("split = 'dev'"), "text").select(
-        "stanza_id", "stanza", "label", "predicted")
+    drawn = stage(sampling.split_stratified(rows, [], "stanza", [F.col("stanza_id").cast("string")], 0.25), "stanzas")
+    train, held = drawn.filter("split = 'train'"), drawn.filter("split = 'dev'")
+    model = models.fit_classifier(train, "text", "stanza", BUCKETS, max_iter=10)
+    scored = models.classify(model, held, "text")
+    accuracy = scored.agg(exact_match("label", "predicted")).first()[0]
+    sizes = held.groupBy("stanza").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
+    return scored.select(
+        "stanza_id", "stanza", "label", F.col("predicted").between(0, len(model.stages[0].labels) - 1).alias("known"),
+        F.lit(accuracy * sizes[1] > sizes[0]).alias("learned"))
+
+
+_CHOICES = [{"reg": 1e-4, "max_iter": 0}, {"reg": 1e-4, "max_iter": 10}]
 
 
-@check("sweep_best")
+@check("sweep_best", f"""SELECT lang, '{str(_CHOICES[1]).replace("'", "''")}' AS parameters, true AS learned
+    FROM kept GROUP BY lang""")
 def sweep_best(spark, folder):
-    train, test = _split(spark, folder)
-    choices = [{"reg": reg, "max_iter": 10} for reg in (1e-4, 1e-2)]
-    return models.sweep_best(models.sweep(train, test, "text", "meter", 1, choices, BUCKETS))
+    """A sweep with a planted winner: without iterations only the commonest answer can be given."""
+    train, test = _split(_planted(_rows(spark, folder)))
+    best = models.sweep_best(models.sweep(train, test, "text", "meter", 1, _CHOICES, BUCKETS))
+    return best.select("lang", "parameters", (F.col("accuracy") >= 0.95).alias("learned"))
 
 
 def _word_lengths():

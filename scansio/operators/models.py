@@ -39,17 +39,22 @@ def ova_frame(df: DataFrame, text: str, pattern: str, positions: Sequence[int],
         {f"pos{p}": F.get(labels, F.lit(p - 1)).cast("double") for p in positions})
 
 
-def fit_ova(train: DataFrame, text: str, pattern: str, positions: Sequence[int], buckets: int = BUCKETS,
-            n: int = 3, max_iter: int = 20, reg: float = 1e-4) -> PipelineModel:
-    """One logistic regression per syllable over hashed n-grams.
+def ova_features(train: DataFrame, text: str, pattern: str, positions: Sequence[int], buckets: int = BUCKETS,
+                 n: int = 3) -> DataFrame:
+    """Hashed n-grams and labels, staged: every fit scans this table."""
+    hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=buckets)
+    rows = hashing.transform(ova_frame(train, text, pattern, positions, n))
+    return stage(rows.select("features", *[f"pos{p}" for p in positions]), "features")
+
+
+def fit_positions(features: DataFrame, positions: Sequence[int], buckets: int = BUCKETS, max_iter: int = 20,
+                  reg: float = 1e-4) -> PipelineModel:
+    """One logistic regression per syllable on staged features.
 
-    Features are hashed once and staged; every fit scans that table.  Gradients
-    of wide feature spaces are summed in a tree, not on the driver at once.
+    Gradients of wide feature spaces are summed in a tree, not on the driver at once.
     """
     hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=buckets)
-    rows = ova_frame(train, text, pattern, positions, n)
     labels = [f"pos{p}" for p in positions]
-    features = stage(hashing.transform(rows).select("features", *labels), "features")
     models = [
         LogisticRegression(featuresCol="features", labelCol=label, predictionCol=f"{label}_hat",
                            probabilityCol=f"{label}_probability", rawPredictionCol=f"{label}_raw",
@@ -59,6 +64,12 @@ def fit_ova(train: DataFrame, text: str, pattern: str, positions: Sequence[int],
     return PipelineModel([hashing, *models])
 
 
+def fit_ova(train: DataFrame, text: str, pattern: str, positions: Sequence[int], buckets: int = BUCKETS,
+            n: int = 3, max_iter: int = 20, reg: float = 1e-4) -> PipelineModel:
+    """One logistic regression per syllable over hashed n-grams; features are hashed once."""
+    return fit_positions(ova_features(train, text, pattern, positions, buckets, n), positions, buckets, max_iter, reg)
+
+
 def ova_scores(model: PipelineModel, df: DataFrame, text: str, positions: Sequence[int],
                n: int = 3) -> DataFrame:
     """Probability of stress per position as one array."""
@@ -99,15 +110,18 @@ def sweep(train: DataFrame, held: DataFrame, text: str, pattern: str, position:
           grid: Sequence[dict], buckets: int = BUCKETS) -> DataFrame:
     """Fit each combination and score it on held-out rows: one run per combination.
 
-    The fits follow one another; each of them is distributed.
+    The fits follow one another; each of them is distributed.  Combinations with
+    the same ``n`` share one table of features.
     """
-    spark = train.sparkSession
-    runs = None
+    runs, features = None, {}
     gold = F.get(encode_meter(pattern, position), F.lit(position - 1))
     for number, choice in enumerate(grid):
-        model = fit_ova(train, text, pattern, [position], buckets, **choice)
+        n, options = choice.get("n", 3), {k: v for k, v in choice.items() if k != "n"}
+        if n not in features:
+            features[n] = ova_features(train, text, pattern, [position], buckets, n)
+        model = fit_positions(features[n], [position], buckets, **options)
         guess = (F.get("scores", F.lit(0)) >= 0.5).cast("int")
-        score = ova_scores(model, held, text, [position], choice.get("n", 3)).groupBy("lang").agg(
+        score = ova_scores(model, held, text, [position], n).groupBy("lang").agg(
             exact_match(gold, guess).alias("accuracy"))
         run = score.select(F.lit(number).alias("run"), "lang", F.lit(str(choice)).alias("parameters"), "accuracy")
         runs = run if runs is None else runs.unionByName(run)

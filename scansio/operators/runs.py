@@ -14,6 +14,8 @@ MULTILINGUAL_MODELS = [
     "roberta,roberta-base", "roberta,roberta-large", "xlmroberta,xlm-roberta-base",
     "xlmroberta,xlm-roberta-large", "electra,google/electra-base-discriminator",
 ]
+#: The second list has two models more.
+RECURRENT_MODELS = [*MULTILINGUAL_MODELS, "albert,albert-base-v2", "albert,albert-large-v2"]
 SWEEPS: dict[str, dict[str, list]] = {
     "multi": {
         "model_name": ["bert:bert-base-multilingual-cased", "roberta:roberta-base",

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scansio.functions.meter import LABEL_WIDTH, decode_meter, encode_meter, fit_to_gold
+from scansio.operators import metrics
 from scansio.operators.metrics import hit
 
 
@@ -32,3 +33,21 @@ def score(df: DataFrame, models: dict[str, str], by: Sequence[str] = ("lang",))
     pool = groups.rollup(*by).agg(F.sum("rows").alias("rows"), *[F.sum(m).alias(m) for m in models])
     long = pool.unpivot([*by, "rows"], list(models), "model", "hits")
     return long.select(*by, "model", "rows", (F.col("hits") / F.col("rows")).alias("accuracy"))
+
+
+def run_report(df: DataFrame, model_lang: str, gold: str = "meter", pred: str = "pred", baseline: str = "sota",
+               lang: str = "lang") -> DataFrame:
+    """One row per data language of a run: accuracy on dev and on test, and of the shipped baseline on test.
+
+    ``df`` holds scored rows with ``split``.  One pass over the rows; what is
+    spread over columns afterwards is one row per language and split.
+    """
+    per_split = df.filter(F.col("split").isin("dev", "test")).groupBy(lang, "split").agg(
+        metrics.exact_match(gold, pred).alias("model"), metrics.exact_match(gold, baseline).alias("baseline"))
+    scores = per_split.select(
+        F.lit(model_lang).alias("model_lang"), F.col(lang).alias("data_lang"),
+        F.inline(F.array(
+            F.struct(F.when(F.col("split") == "dev", "eval_accuracy").otherwise("test_accuracy").alias("measure"),
+                     F.col("model").alias("value")),
+            F.struct(F.when(F.col("split") == "test", "sota").alias("measure"), F.col("baseline").alias("value")))))
+    return metrics.run_report(scores.filter("measure IS NOT NULL"), ["eval_accuracy", "test_accuracy", "sota"])
