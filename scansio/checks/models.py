@@ -63,11 +63,11 @@ def ova_predictions(spark, folder):
 
 @check("ngram_report", f"""SELECT lang, count(*) AS samples, true AS found FROM ({_TEST}) GROUP BY lang""")
 def ngram_report(spark, folder):
-    """The n-gram baseline from lines to precision, recall and set match, on the syllable that a word decides."""
-    rows = _planted(_rows(spark, folder)).withColumn("meter", F.substring("meter", 1, 1))
-    report = baseline.ngram_report(baseline.ngram_predictions(rows, [1], BUCKETS, max_iter=10))
-    measures = [F.coalesce(F.col(m), F.lit(1.0)) for m in ("precision", "recall", "accuracy")]
-    return report.select("lang", "samples", (F.least(*measures) >= 0.95).alias("found"))
+    """The n-gram baseline from lines to precision, recall and set match; a word in front decides each syllable."""
+    marks = F.transform(F.split("meter", ""), lambda s, i: F.concat(F.lit("zz"), i, F.when(s == "+", "on").otherwise("off")))
+    rows = _rows(spark, folder).withColumn("text", F.concat_ws(" ", F.array_join(marks, " "), "text"))
+    report = baseline.ngram_report(baseline.ngram_predictions(rows, POSITIONS, BUCKETS, max_iter=10))
+    return report.select("lang", "samples", (F.least("precision", "recall", "accuracy") >= 0.95).alias("found"))
 
 
 @check("model_round_trip", f"SELECT lang, text, true AS same FROM ({_TEST})")

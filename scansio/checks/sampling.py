@@ -132,16 +132,24 @@ def class_partition(spark, folder):
     return _parts(spark, folder)
 
 
+_HASH = "md5('42|' || {0}.episode || '|' || {0}.part || '|' || {1})"
+_NUMBER = f"('0x' || substr({_HASH.format('t', 'i')}, 1, 8))::BIGINT % (t.classes - 2 + i)"
+_MEMBERS = f"""SELECT c.label, c.part, z.size, row_number() OVER (PARTITION BY c.part ORDER BY c.label) - 1 AS number
+    FROM ({_CLASSES}) c JOIN (SELECT label, count(*) AS size FROM embeddings GROUP BY label) z ON z.label = c.label"""
+
+
 def _draws(shots):
     return f"""SELECT d.episode, d.part, d.slot, d.label, e.vec_id, e.embedding,
         CASE WHEN d.pick < {shots} THEN 'support' ELSE 'query' END AS role FROM (
-        SELECT t.episode, t.part, t.slot, t.label, k.pick, (('0x' || substr(t.h, 9, 8))::BIGINT + k.pick) % t.size
-            AS place FROM (
-        SELECT v.vec_id AS episode, c.part, c.label, z.size, md5('42|' || v.vec_id || '|' || c.label) AS h,
-            (row_number() OVER (PARTITION BY v.vec_id, c.part ORDER BY md5('42|' || v.vec_id || '|' || c.label))
-             - 1)::INTEGER AS slot
-        FROM embeddings v, ({_CLASSES}) c JOIN (SELECT label, count(*) AS size FROM embeddings GROUP BY label) z
-            ON z.label = c.label) t, (SELECT unnest(range({shots + 1})) AS pick) k WHERE t.slot < 3) d
+        SELECT s.episode, s.part, s.slot, m.label, k.pick,
+            (('0x' || substr({_HASH.format('s', 's.slot')}, 9, 8))::BIGINT + k.pick) % m.size AS place FROM (
+        SELECT episode, part, unnest(numbers) AS number, unnest([0, 1, 2])::INTEGER AS slot FROM (
+        SELECT t.episode, t.part, list_reduce([0, 1, 2], lambda seen, i: list_append(seen,
+            CASE WHEN list_contains(seen, {_NUMBER}) THEN t.classes - 3 + i ELSE {_NUMBER} END), []::BIGINT[]) AS numbers
+        FROM (SELECT v.vec_id AS episode, c.part, c.classes FROM embeddings v,
+            (SELECT part, count(*) AS classes FROM ({_MEMBERS}) GROUP BY part) c) t)) s
+        JOIN ({_MEMBERS}) m ON m.part = s.part AND m.number = s.number,
+        (SELECT unnest(range({shots + 1})) AS pick) k) d
         JOIN (SELECT label, vec_id, embedding, row_number() OVER (PARTITION BY label
             ORDER BY md5('42|' || vec_id)) - 1 AS place FROM embeddings) e
         ON e.label = d.label AND e.place = d.place"""

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scansio.functions.binding import once
 from scansio.operators.joins import join_null_safe
 from scansio.operators.metrics import arg_max, hit
 from scansio.operators.sampling import LEAF_ROWS, SEED, hash_key
@@ -38,31 +39,41 @@ def draw_episodes(tasks: DataFrame, classes: DataFrame, label: str, ways: int, s
                   queries: int = 1, seed: int = SEED) -> DataFrame:
     """Which row of which class each task uses: ``episode, part, slot, label, place, role``.
 
-    ``classes`` holds ``label, part, size``.  The classes of a part travel as one
-    array, one row per part; each task takes the ``ways`` classes that come first
-    in its own draw order and consecutive places from a drawn start, so rows of a
-    class are distinct and no task is shuffled.  A part needs at least ``ways``
-    classes of ``shots + queries`` rows; smaller classes are an error.
+    ``classes`` holds ``label, part, size``; the classes of a part are numbered
+    by name.  A task draws ``ways`` distinct numbers by Floyd's rule: the i-th is
+    a hash modulo ``classes - ways + i + 1``, and a number drawn before is
+    replaced by the largest one of that range.  So a task costs ``ways`` hashes,
+    however many classes there are, and an equi-join finds the classes.  The rows
+    of a class are consecutive places from a drawn start.  A part needs at least
+    ``ways`` classes of ``shots + queries`` rows; smaller classes are an error.
     """
-    member = F.struct(F.col(label).alias("label"), "size")
-    members = bounded(classes.groupBy("part").agg(
-        F.collect_list(member).alias("members"), F.min("size").alias("least")), "members")
-    parts = members.select("part", F.size("members").alias("classes"), "least").collect()
+    number = F.row_number().over(Window.partitionBy("part").orderBy(label)) - 1
+    numbered = stage(classes.select(label, "part", "size", number.cast("bigint").alias("number")), "classes")
+    parts = numbered.groupBy("part").agg(F.count("*").alias("classes"), F.min("size").alias("least")).collect()
     for part in parts:
         if part.least < shots + queries:
             raise ValueError(f"a class of part {part.part} has fewer than {shots + queries} rows")
         if part.classes < ways:
             raise ValueError(f"part {part.part} has fewer than {ways} classes")
-    each = F.explode(F.array(*[F.lit(part.part) for part in parts]))
-    rows = tasks.select("episode", each.alias("part")).join(members, "part")
-    drawn = F.array_sort(F.transform("members", lambda m: F.struct(
-        hash_key(F.col("episode").cast("string"), m["label"].cast("string"), seed=seed).alias("h"),
-        m["label"].alias("label"), m["size"].alias("size"))))
-    slots = rows.select("episode", "part", F.posexplode(F.slice(drawn, 1, ways)).alias("slot", "m"))
-    start = F.conv(F.substring("m.h", 9, 8), 16, 10).cast("bigint")
+    each = [F.struct(F.lit(p.part).alias("part"), F.lit(p.classes).cast("bigint").alias("classes")) for p in parts]
+    rows = tasks.select("episode", F.explode(F.array(*each)).alias("p")).select("episode", "p.part", "p.classes")
+
+    def drawn(slot, start):
+        """Eight hex digits of the hash of a slot, as a number."""
+        h = hash_key(F.col("episode").cast("string"), "part", slot.cast("string"), seed=seed)
+        return F.conv(F.substring(h, start, 8), 16, 10).cast("bigint")
+
+    def add(numbers, slot):
+        last = F.col("classes") - ways + slot
+        return once(F.pmod(drawn(slot, 1), last + 1),
+                    lambda n: F.array_append(numbers, F.when(F.array_contains(numbers, n), last).otherwise(n)))
+
+    numbers = F.aggregate(F.sequence(F.lit(0), F.lit(ways - 1)), F.array().cast("array<bigint>"), add)
+    slots = rows.select("episode", "part", F.posexplode(numbers).alias("slot", "number")).join(
+        numbered, ["part", "number"])
     picks = F.sequence(F.lit(0), F.lit(shots + queries - 1))
-    return (slots.select("episode", "part", "slot", F.col("m.label").alias(label),
-                         F.col("m.size").alias("size"), start.alias("start"), F.explode(picks).alias("pick"))
+    return (slots.select("episode", "part", "slot", label, "size", drawn(F.col("slot"), 9).alias("start"),
+                         F.explode(picks).alias("pick"))
             .select("episode", "part", "slot", label,
                     F.pmod(F.col("start") + F.col("pick"), F.col("size")).alias("place"),
                     F.when(F.col("pick") < shots, "support").otherwise("query").alias("role")))

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BOUNDED_ROWS = 100_000
+BOUNDED_BYTES = 64 << 20
 
 
 def session(app: str = "scansio", master: str | None = None, **conf: str) -> SparkSession:
@@ -76,13 +77,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded(df: DataFrame, name: str, max_rows: int = BOUNDED_ROWS) -> DataFrame:
-    """A small table, broadcast when it has at most ``max_rows`` rows.
+    """A small table, broadcast when it has at most ``max_rows`` rows and ``BOUNDED_BYTES`` bytes.
 
     At most ``max_rows + 1`` rows reach the driver.  A larger table is staged
     and left to Catalyst, which sees its true size.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= BOUNDED_BYTES:
         return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
     return stage(df, name)
 

@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scansio.operators import episodes, features, sampling
+from tests.plans import plan_text
 
 
 def lines(spark, *texts):
@@ -92,6 +93,19 @@ def test_episodes_have_distinct_rows(spark):
         episodes.episode_rows(df, tasks, parts, "label", "id", ways=9, shots=1)
 
 
+def test_episodes_of_many_classes(spark):
+    """A task draws a few numbers, whatever the number of classes; every class is drawn now and then."""
+    classes = spark.range(10_000).select(F.col("id").alias("label"), F.lit("train").alias("part"), F.lit(9).alias("size"))
+    tasks = spark.range(20_000).withColumnRenamed("id", "episode")
+    draws = episodes.draw_episodes(tasks, classes, "label", ways=5, shots=1, queries=1).cache()
+    assert "array_sort" not in plan_text(draws) and "collect_list" not in plan_text(draws)
+    each = draws.groupBy("episode").agg(F.count_distinct("label").alias("labels"), F.count_distinct("slot").alias("slots"))
+    assert each.filter("labels = 5 and slots = 5").count() == 20_000
+    assert draws.select("label").distinct().count() > 9_900
+    few = episodes.draw_episodes(tasks.limit(50), classes.limit(5), "label", ways=5, shots=1)
+    assert few.groupBy("episode").agg(F.count_distinct("label").alias("n")).filter("n = 5").count() == 50
+
+
 def test_centroids_find_separated_classes(spark):
     df = spark.range(300).select(
         "id", (F.col("id") % 5).cast("int").alias("label"),
