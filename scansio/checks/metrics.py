@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from scansio import fixtures
 from scansio.checks.registry import KEY, check, kept, r6
 from scansio.functions import meter as M
+from scansio.functions.text import normalise_answer
 from scansio.operators import metrics, runs, sampling
 from scansio.plans import evaluate
 
@@ -129,6 +130,14 @@ def token_f1(spark, folder):
     return rows.select("lang", "text", r6(metrics.token_f1("target_text", F.expr(_FIRST))).alias("f1"))
 
 
+@check("normalised_text", """SELECT lang, text, array_to_string(list_filter(string_split(regexp_replace(
+    translate(lower(text), '!"#$%&''()*+,-./:;<=>?@[\\]^_`{|}~', ''), '\\s+', ' ', 'g'), ' '),
+    lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ') AS answer FROM kept""")
+def normalised_text(spark, folder):
+    """Verse text, accents and all, as the answer measures compare it."""
+    return kept(spark, folder).select("lang", "text", normalise_answer("text").alias("answer"))
+
+
 @check("normalised_exact", f"SELECT lang, round(avg(exact), 6) AS exact FROM ({_F1}) GROUP BY lang")
 def normalised_exact(spark, folder):
     return _generative(spark, folder).groupBy("lang").agg(

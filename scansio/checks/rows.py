@@ -1,5 +1,8 @@
 """Filters, joins, sets and run tables."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scansio import fixtures
@@ -118,6 +121,27 @@ def grid(spark, folder):
     return _runs(spark, folder)
 
 
+_PUBLISHED = """(VALUES ('multi', 12), ('multi_large', 12), ('en2', 14), ('es', 4), ('en', 4), ('de', 4), ('tuned', 7),
+    ('recurrent', 9)) s(sweep, runs)"""
+
+
+@check("published_grids", f"""SELECT lang, sweep, runs::BIGINT AS runs, runs::BIGINT AS names, n AS train_rows
+    FROM (SELECT lang, count(*) AS n FROM kept GROUP BY lang), {_PUBLISHED}""")
+def published_grids(spark, folder):
+    """The published sweeps on the languages of the tables, each run with its name."""
+    sizes = bounded(kept(spark, folder).groupBy("lang").agg(F.count("*").alias("train_rows")), "langs")
+    lists = {"tuned": runs.MULTILINGUAL_MODELS, "recurrent": runs.RECURRENT_MODELS}
+    grids = {name: {k: v for k, v in grid.items() if k != "lang"} | runs.SWEEP_CONSTANTS
+             for name, grid in runs.SWEEPS.items()} | {name: {"model_name": models} for name, models in lists.items()}
+    parts = []
+    for sweep, parameters in grids.items():
+        rows = runs.expand_grid(sizes.withColumn("sweep", F.lit(sweep)), parameters)
+        name = runs.run_name("sweep", "lang", *[F.col(p).cast("string") for p in parameters])
+        parts.append(rows.select("lang", "sweep", "train_rows", name.alias("run")))
+    return reduce(DataFrame.unionByName, parts).groupBy("lang", "sweep", "train_rows").agg(
+        F.count("*").alias("runs"), F.count_distinct("run").alias("names"))
+
+
 @check("pending_runs", f"""SELECT run, lang FROM ({_RUNS}) WHERE NOT (epochs = 10 AND train_rows >= 1400)""")
 def pending_runs(spark, folder):
     rows = _runs(spark, folder)

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from scansio.functions.text import delete_marks, squeeze_whitespace
-from scansio.session import spread
 
 # Stated so that no read opens a file to learn its columns.
 SCHEMAS = {
@@ -19,6 +18,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{folder}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal out a scan of fewer splits than cores: a test table may be one row group, which one task would clean.
+
+    A scan of many splits is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
+
+
 def documents(spark: SparkSession, folder: str, *columns: str) -> DataFrame:
     return spread(table(spark, folder, "documents").select("doc_id", "lang", "text", *columns), "doc_id")
 

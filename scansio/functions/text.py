@@ -99,4 +99,4 @@ def tokenise(c: Column | str) -> Column:
 def normalise_answer(c: Column | str) -> Column:
     """Lower-case, drop punctuation and English articles, squeeze whitespace."""
     plain = F.translate(F.lower(_col(c)), ASCII_PUNCTUATION, "")
-    return once(F.regexp_replace(plain, r"\b(a|an|the)\b", " "), squeeze_whitespace)
+    return once(F.regexp_replace(plain, r"(?U)\b(a|an|the)\b", " "), squeeze_whitespace)

@@ -14,7 +14,7 @@ MULTILINGUAL_MODELS = [
     "roberta,roberta-base", "roberta,roberta-large", "xlmroberta,xlm-roberta-base",
     "xlmroberta,xlm-roberta-large", "electra,google/electra-base-discriminator",
 ]
-#: The second list has two models more.
+# The second list has two models more.
 RECURRENT_MODELS = [*MULTILINGUAL_MODELS, "albert,albert-base-v2", "albert,albert-large-v2"]
 SWEEPS: dict[str, dict[str, list]] = {
     "multi": {
@@ -58,6 +58,13 @@ SWEEPS: dict[str, dict[str, list]] = {
     },
 }
 
+# Parameters that are the same in all published sweeps.
+SWEEP_CONSTANTS = {
+    "warmup_ratio": [0.1], "weight_decay": [0.01], "max_seq_length": [24], "num_labels": [12],
+    "eval_batch_size": [8], "train_batch_size": [8], "seed": [2021],
+}
+
+
 
 def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c

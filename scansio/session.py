@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,9 +65,33 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
 
+#: Paths given out inside each open ``staging`` block, innermost last.
+_OPEN: list[list[str]] = []
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _OPEN:
+        _OPEN[-1].append(path)
+    return path
+
+
+@contextmanager
+def staging(spark: SparkSession) -> Iterator[None]:
+    """Delete what is staged inside the block when it ends.
+
+    Write or collect results inside: a DataFrame that reads a staged table is of
+    no use afterwards.
+    """
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+        for path in _OPEN.pop():
+            place = hadoop.Path(path)
+            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
@@ -86,15 +112,3 @@ def bounded(df: DataFrame, name: str, max_rows: int = BOUNDED_ROWS) -> DataFrame
     if head.num_rows <= max_rows and head.nbytes <= BOUNDED_BYTES:
         return F.broadcast(df.sparkSession.createDataFrame(head, schema=df.schema))
     return stage(df, name)
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread a scan that has fewer partitions than the session has cores.
-
-    One unsplittable file (a single row group, a gzip stream) would otherwise
-    be cleaned by a single task.  A scan of many splits is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, key)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from scansio.plans import corpus, evaluate, prepare, sequences
+from scansio.plans import baseline, corpus, evaluate, prepare, sequences
 
 SCHEMA = "lang string, text string, meter string, sota string, manually_checked boolean, line_id int"
 
@@ -96,3 +96,23 @@ def test_sequences_use_the_train_vocabulary(spark):
     frame = sequences.sequence_frame(df, ["lang", "text"], "doc", "pos", 3, max_length=4).orderBy("text").collect()
     assert [r.sequence for r in frame] == [[2, 0, 0, 0], [1, 2, 0, 0]]
     assert [(r.pos1, r.pos2, r.pos3) for r in frame] == [(0.0, 1.0, 0.0), (1.0, 0.0, 0.0)]
+
+
+def test_report_of_a_run(spark):
+    df = spark.createDataFrame(
+        [("es", "dev", "+-", "+-", None), ("es", "dev", "+-", None, None), ("es", "test", "+-", "+-", "--"),
+         ("en", "test", "+-", "--", "+-"), ("es", "train", "+-", "+-", "+-")],
+        "lang string, split string, meter string, pred string, sota string")
+    got = {r.data_lang: tuple(r)[2:] for r in evaluate.run_report(df, "multi").collect()}
+    assert got == {"es": (0.5, 1.0, 0.0), "en": (None, 0.0, 1.0)}
+
+
+def test_ngram_baseline_end_to_end(spark):
+    """A word decides both syllables; held-out lines get their label sets."""
+    rows = spark.range(300).select(
+        F.lit("es").alias("lang"), F.when(F.col("id") % 2 == 0, "+-").otherwise("-+").alias("meter"),
+        F.concat(F.when(F.col("id") % 2 == 0, "sol w").otherwise("mar w"), F.col("id") % 13).alias("text"),
+        F.when(F.col("id") % 5 == 0, "test").otherwise("train").alias("split"))
+    predictions = baseline.ngram_predictions(rows, [1, 2], buckets=1 << 10)
+    report = baseline.ngram_report(predictions).first()
+    assert report.samples == 60 and min(report.precision, report.recall, report.accuracy) >= 0.95

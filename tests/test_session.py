@@ -1,6 +1,9 @@
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from scansio import fixtures
 from scansio import session as S
 from tests.plans import plan_text
 
@@ -25,8 +28,8 @@ def test_only_bounded_tables_are_broadcast(spark):
 
 def test_scans_of_many_splits_are_not_spread(spark):
     many = spark.range(100, numPartitions=16)
-    assert S.spread(many, "id") is many
-    assert "REPARTITION" in plan_text(S.spread(spark.range(0, 100, 1, 1), "id"))
+    assert fixtures.spread(many, "id") is many
+    assert "REPARTITION" in plan_text(fixtures.spread(spark.range(0, 100, 1, 1), "id"))
 
 
 def test_cluster_needs_a_shared_folder():
@@ -54,6 +57,24 @@ def test_bounded_keeps_types(spark):
     assert S.bounded(df, "t").collect() == df.collect()
 
 
+def test_staged_tables_are_deleted_by_their_owner(spark):
+    outside = S.stage(spark.range(3), "outside")
+    with S.staging(spark):
+        inner = S.stage(spark.range(4), "inside")
+        path, total = inner.inputFiles()[0].removeprefix("file://"), inner.count()
+        assert os.path.exists(path)
+    assert total == 4 and not os.path.exists(os.path.dirname(path)) and outside.count() == 3
+    with pytest.raises(ValueError, match="stop"), S.staging(spark):
+        path = S.stage(spark.range(4), "inside").inputFiles()[0].removeprefix("file://")
+        raise ValueError("stop")
+    assert not os.path.exists(path)
+
+
+def test_large_rows_are_staged(spark, monkeypatch):
+    monkeypatch.setattr(S, "BOUNDED_BYTES", 1000)
+    assert "FileScan" in plan_text(S.bounded(spark.range(1000), "wide"))
+
+
 def test_sized_settings():
     assert S.sized_settings(1 << 30)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "200"
     assert S.sized_settings(100 << 40)["spark.sql.adaptive.coalescePartitions.initialPartitionNum"] == "409600"

@@ -51,6 +51,7 @@ def test_tokens(spark):
     assert apply(spark, ["L'Amour, est-il? (oui)"], X.tokenise) == [["l'amour", "est", "il", "oui"]]
     assert apply(spark, ["...", ""], X.tokenise) == [[], []]
     assert apply(spark, ["The cat, a dog & an  Owl!"], X.normalise_answer) == ["cat dog owl"]
+    assert apply(spark, ["España, a año; theía an"], X.normalise_answer) == ["españa año theía"]
 
 
 def test_stream_takes_the_same_expressions(spark, tmp_path):
