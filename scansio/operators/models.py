@@ -80,14 +80,19 @@ def ova_scores(model: PipelineModel, df: DataFrame, text: str, positions: Sequen
 
 def fit_classifier(train: DataFrame, text: str, label: str, buckets: int = BUCKETS, n: int = 2,
                    max_iter: int = 20, reg: float = 1e-4) -> PipelineModel:
-    """Single-label text classifier; class numbers follow the sorted class names."""
+    """Single-label text classifier; class numbers follow the sorted class names.
+
+    A class that only appears later has the number behind the last one; it is
+    never predicted, so the fit must not see it announced in the column metadata.
+    """
     rows = train.withColumn("terms", word_ngrams(text, n))
     stages = [
         StringIndexer(inputCol=label, outputCol="label", stringOrderType="alphabetAsc", handleInvalid="keep"),
         HashingTF(inputCol="terms", outputCol="features", numFeatures=buckets),
     ]
     prepare = Pipeline(stages=stages).fit(rows)
-    features = stage(prepare.transform(rows).select("features", "label"), "features")
+    seen = F.col("label").alias("label", metadata={})
+    features = stage(prepare.transform(rows).select("features", seen), "features")
     fitted = LogisticRegression(maxIter=max_iter, regParam=reg, family="multinomial", aggregationDepth=3,
                                 standardization=False).fit(features)
     return PipelineModel([*prepare.stages, fitted])

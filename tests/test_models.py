@@ -40,6 +40,9 @@ def test_classifier_beats_the_majority(spark):
     got = models.classify(model, planted(spark), "text")
     assert got.agg(exact_match("label", "predicted")).first()[0] >= 0.95
     assert {(r.meter, r.label) for r in got.select("meter", "label").distinct().collect()} == {("+-", 0), ("-+", 1)}
+    assert model.stages[-1].numClasses == 2
+    later = models.classify(model, planted(spark, 4).withColumn("meter", F.lit("--")), "text").collect()
+    assert all(r.label == 2 and r.predicted < 2 for r in later)
 
 
 def test_sweep_prefers_the_better_run(spark):
