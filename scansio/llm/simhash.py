@@ -33,18 +33,23 @@ STEP = 1 << 18
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def fingerprint(text: str | None, words: int) -> bytes:
-    """Eight bytes; a bit is set if more than half of all shingles' hashes have it."""
+def hashes_of(text: str | None, words: int) -> bytes:
+    """The hashes of all shingles, eight bytes each; a text of fewer words is one shingle."""
     parts = (text or "").encode().translate(LOWER).split()
     if not parts:
-        return bytes(8)
+        return b""
     joined = b" ".join(parts)
     ends = np.cumsum([len(p) + 1 for p in parts]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     width = min(words, len(parts))
     digest = xxhash.xxh64_digest
     spans = zip(starts[:len(parts) - width + 1].tolist(), ends[width - 1:].tolist())
-    hashes = np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in spans]), np.uint8)
+    return b"".join([digest(joined[a:b], SEED) for a, b in spans])
+
+
+def fingerprint(text: str | None, words: int) -> bytes:
+    """Eight bytes; a bit is set if more than half of all shingles' hashes have it."""
+    hashes = np.frombuffer(hashes_of(text, words), np.uint8)
     n = len(hashes) // 8
     counts = np.zeros(64, np.int64)
     for k in range(0, n, 65_280):  # bits of a part add up below 2^16
@@ -217,21 +222,26 @@ def digests(docs: DataFrame) -> DataFrame:
         "doc_id", hexadecimal(F.col("hash")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, errors: int = 3) -> DataFrame:
-    """``docs`` with one document of each component, that of the smallest doc_id; all columns stay.
+def first_of_each(docs: DataFrame, marked: DataFrame) -> DataFrame:
+    """``docs`` with one document of each component of ``marked`` (doc_id, text_hash, component).
 
-    Of documents with equal ids in a component the one whose text has the
-    smallest hash stays, of repeated rows one.  Rows without an id stay only in a
-    component without ids.  Only keys and fingerprints are compared and grouped;
-    the texts move once, by their key.
+    The smallest doc_id stays.  Of documents with equal ids in a component the one
+    whose text has the smallest hash stays, of repeated rows one.  Rows without an
+    id stay only in a component without ids.  Only keys are grouped; the texts move
+    once, by their key.
     """
     text_hash = F.xxhash64("text")
-    rows = stage(docs.select("doc_id", text_hash.alias("text_hash"), "text").transform(fingerprints), "fingerprints")
-    marked = rows.join(near_duplicates(rows.select("doc_id", "hash"), errors).drop("component_id"), "hash")
     key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
     first = marked.groupBy("component").agg(F.min(key).alias("first"))
     gone = stage(marked.join(first, "component").filter(key != F.col("first")).select(
         F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct(), "gone")
     kept = docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]) & (text_hash == gone["gone_hash"]), "left_anti")
-    repeated = rows.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
+    repeated = marked.groupBy("doc_id", "text_hash").count().filter("count > 1").limit(1).count()
     return kept.dropDuplicates(["doc_id", "text"]) if repeated else kept
+
+
+def keep_one(docs: DataFrame, errors: int = 3) -> DataFrame:
+    """``docs`` with one document of each component of near fingerprints; all columns stay."""
+    rows = stage(docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").transform(fingerprints), "fingerprints")
+    marked = rows.join(near_duplicates(rows.select("doc_id", "hash"), errors).drop("component_id"), "hash")
+    return first_of_each(docs, marked)
