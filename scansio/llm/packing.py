@@ -53,13 +53,18 @@ class Words:
     Where no two white-space characters are neighbours, a blank always begins a
     match and a line feed always is one, so the text falls into parts at blanks
     and line feeds, of which most have been seen.  Other texts, and parts that
-    are new, are cut by the pattern.
+    are new, are cut by the pattern.  With ``added``, the file's added tokens are
+    tokens wherever a text names one, as in the library's default setting: such a
+    text is left to the library.
     """
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, added: bool = False):
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
+        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.named = regex.compile("|".join(map(regex.escape, names))).search if names else None
+        self.whole = tokenizer.encode
         model, write = tokenizer.model, letters()
         self.matches = regex.compile(pattern).findall
         self.neighbours = regex.compile(r"\s\s").search
@@ -77,15 +82,17 @@ class Words:
         return self.first(first) + b"".join(map(self.after_blank, rest))
 
     def ids(self, text: str) -> bytes:
+        if self.named and self.named(text):
+            return packed(self.whole(text, add_special_tokens=False).ids)
         if self.neighbours(text):
             return self.cut(text)
         return self.line_feed.join(map(self.line, text.split("\n")))
 
 
 @lru_cache(maxsize=2)
-def words(path: str, pattern: str) -> Words:
+def words(path: str, pattern: str, added: bool = False) -> Words:
     """One tokenizer for each file in a Python worker."""
-    return Words(path, pattern)
+    return Words(path, pattern, added)
 
 
 def cut(tokens: int, capacity: int) -> list[int]:
@@ -94,17 +101,18 @@ def cut(tokens: int, capacity: int) -> list[int]:
     return [rest] * (rest > 0) + [capacity] * (tokens // capacity)
 
 
-def tokenise(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end: int = 2) -> DataFrame:
+def tokenise(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end: int = 2,
+             added: bool = False) -> DataFrame:
     """Pieces of every document: ``doc_id, piece, start, length, ids``.
 
     A document is its ids and the end id (a null or empty text is the end id
     alone); ids are little-endian unsigned 32-bit.  Only documents longer than
-    ``capacity`` are cut, and their first piece may be shorter.
+    ``capacity`` are cut, and their first piece may be shorter.  ``added`` is said at ``Words``.
     """
     tail = end.to_bytes(4, "little")
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        encoder = words(path, pattern)
+        encoder = words(path, pattern, added)
         out: list[tuple] = []
         for doc, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
             ids = encoder.ids(text or "") + tail
@@ -319,8 +327,9 @@ def sequences(packed: DataFrame) -> DataFrame:
         "sequence_id", "length", F.aggregate("parts", F.lit(b""), lambda all_, p: F.concat(all_, p["ids"])).alias("ids"))
 
 
-def packed_digests(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end: int = 2) -> DataFrame:
+def packed_digests(docs: DataFrame, path: str, pattern: str, capacity: int = 1024, end: int = 2,
+                   added: bool = False) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset of every piece of every document."""
-    pieces = tokenise(docs, path, pattern, capacity, end)
+    pieces = tokenise(docs, path, pattern, capacity, end, added)
     narrow = pieces.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
     return pack(stage(narrow, "pieces"), capacity)

@@ -65,7 +65,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op1_best_fit_packing")
 def best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
-    return packing.packed_digests(documents(spark, folder), JSON, PATTERN)
+    return packing.packed_digests(documents(spark, folder), JSON, PATTERN, added=True)
 
 
 @query("op2_license_scans", licenses.scan_sql())

@@ -8,8 +8,9 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
+import corpus_pipeline
 from scansio.llm import bpe, packing, tokens
-from scansio.llm.queries import JSON, PATTERN, RANKS
+from scansio.llm.queries import JSON, PATTERN, QUERIES, RANKS
 
 TEXTS = ["", None, "a", "  two  blanks ", "it's we'll 'r'e", "é日本😀", "line\n\nline\n", "a" * 3000, " " * 700 + "x",
          "=" * 300, "<|endoftext|> is text", "ab" * 1500, "the same", "the same"]
@@ -87,6 +88,23 @@ def test_words_are_the_tokenizers_ids():
         assert memoryview(words.ids(text or "")).cast("I").tolist() == ids
 
 
+def test_packed_ids_are_the_librarys_by_default(spark, tmp_path):
+    """The query and the pipeline: added tokens of the file are tokens, also inside a word and twice in a row."""
+    tokenizer = Tokenizer.from_file(JSON)
+    named = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    assert "<|endoftext|>" in named
+    made = [f"end of page {t} next page" for t in named] + [f"a{t}{t}b\n {t}  é" for t in named] + ["<|endoftext", "<|END|>"]
+    rows = [(i, t) for i, t in enumerate(TEXTS + made) if len(t or "") < 300]
+    docs = frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = []
+    for i, text in rows:
+        ids = [*tokenizer.encode(text or "", add_special_tokens=False).ids, 2]
+        want.append((i, len(ids), zlib.crc32(b"".join(t.to_bytes(4, "little") for t in ids))))
+    for got in (QUERIES["op1_best_fit_packing"](spark, str(tmp_path)), corpus_pipeline.packed(spark, docs, "")):
+        assert sorted(map(tuple, got.select("doc_id", "length", "ids_crc32").collect())) == want
+
+
 def sequences_of(plan, counts, capacity):
     """Fill the sequences of a plan, checking that each is gapless and fits."""
     held, used = {}, dict.fromkeys(counts, 0)
