@@ -20,8 +20,8 @@ smaller doc_id, or before in the same document).  Steps:
 The text moves twice, by doc_id; what else moves are rows of a few numbers.
 A null text is empty.  Rows with equal doc_id and equal text are one document
 and get the same result; rows with equal doc_id and other text are told apart by
-15 bits of the text's hash, which also orders them.  A null doc_id counts as
-greater than all others.
+the 64-bit hash of the text, the tag, which also orders them.  A null doc_id
+counts as greater than all others.
 """
 
 from __future__ import annotations
@@ -44,21 +44,21 @@ GRAM = 32
 #: Anchors whose text one step of the comparison holds, beyond the group it ends in.
 STEP_ROWS = 20_000
 LAST_DOC = (1 << 63) - 1
-TAG_BITS, PLACE_SHIFT = 15, 14
+PLACE_SHIFT = 14
 
-ANCHORS = "h bigint, content bigint, doc bigint, packed bigint"
-RANGES = "doc bigint, tag int, low bigint, high bigint"
+ANCHORS = "h bigint, content bigint, doc bigint, tag bigint, packed bigint"
+RANGES = "doc bigint, tag bigint, low bigint, high bigint"
 
 
-def pack(tag, place, first, last):
-    """An order by tag and place, with the window offsets below: place - last and place - first."""
-    return (np.int64(tag) << 48) | (place << PLACE_SHIFT) | ((place - last) << 7) | (place - first)
+def pack(place, first, last):
+    """An order by place, with the window offsets below: place - last and place - first."""
+    return (place << PLACE_SHIFT) | ((place - last) << 7) | (place - first)
 
 
 def unpack(packed: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Tag, place, first and last window."""
-    place = (packed >> PLACE_SHIFT) & ((1 << 34) - 1)
-    return packed >> 48, place, place - (packed & 127), place - (packed >> 7 & 127)
+    """Place, first and last window."""
+    place = packed >> PLACE_SHIFT
+    return place, place - (packed & 127), place - (packed >> 7 & 127)
 
 
 def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,26 +68,26 @@ def _anchor_rows(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, tag, text in zip(*(c.to_pylist() for c in rows.columns)):
             place, h, first, last, content = anchors(np.frombuffer((text or "").encode(), np.uint8), WIDTH, GRAM)
             if len(place):
-                parts.append((h, content, np.full(len(place), doc), pack(tag, place, first, last)))
+                parts.append((h, content, np.full(len(place), doc), np.full(len(place), tag), pack(place, first, last)))
         if not parts:
             continue
-        h, content, doc, packed = (np.concatenate(c) for c in zip(*parts))
-        order = np.lexsort((packed, doc, content, h))
-        h, content, doc, packed = h[order], content[order], doc[order], packed[order]
+        h, content, doc, tag, packed = (np.concatenate(c) for c in zip(*parts))
+        order = np.lexsort((packed, tag, doc, content, h))
+        h, content, doc, tag, packed = h[order], content[order], doc[order], tag[order], packed[order]
         equal = np.concatenate(([False], (h[1:] == h[:-1]) & (content[1:] == content[:-1])))
         leader = np.maximum.accumulate(np.where(equal, 0, np.arange(len(h))))
-        settled = equal & ((doc != doc[leader]) | (packed != packed[leader]))
+        settled = equal & ((doc != doc[leader]) | (tag != tag[leader]) | (packed != packed[leader]))
         # settled rows travel by document instead, which spreads a common passage
-        h = np.where(settled, doc * np.int64(0x5851F42D4C957F2D) + packed, h)
+        h = np.where(settled, doc * np.int64(0x5851F42D4C957F2D) + tag + packed, h)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(h), pa.array(content, mask=settled), pa.array(doc), pa.array(packed)],
-            ["h", "content", "doc", "packed"])
+            [pa.array(h), pa.array(content, mask=settled), pa.array(doc), pa.array(tag), pa.array(packed)],
+            ["h", "content", "doc", "tag", "packed"])
 
 
 def _key() -> list[Column]:
     """What tells documents apart."""
     return [F.expr(f"coalesce(cast(doc_id as bigint), {LAST_DOC})").alias("doc"),
-            F.expr(f"cast(pmod(xxhash64(text), {1 << TAG_BITS}) as int)").alias("tag")]
+            F.xxhash64("text").alias("tag")]
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
@@ -95,61 +95,63 @@ def _numbered(docs: DataFrame) -> DataFrame:
 
 
 def _classes(docs: DataFrame) -> DataFrame:
-    """doc, packed, h and whether the run is a repeat or is to be compared."""
+    """doc, tag, packed, h and whether the run is a repeat or is to be compared."""
     rows = _numbered(docs).filter(F.octet_length("text") >= WIDTH).mapInArrow(_anchor_rows, ANCHORS)
-    runs = Window.partitionBy("h", "content").orderBy("doc", "packed")
+    runs = Window.partitionBy("h", "content").orderBy("doc", "tag", "packed")
     all_ = Window.partitionBy("h")
     marked = rows.select(
-        "*", F.first("doc").over(runs).alias("d0"), F.first("packed").over(runs).alias("p0"),
+        "*", F.first("doc").over(runs).alias("d0"), F.first("tag").over(runs).alias("t0"),
+        F.first("packed").over(runs).alias("p0"),
         F.min("content").over(all_).alias("least"), F.max("content").over(all_).alias("most"))
-    first = (F.col("doc") == F.col("d0")) & (F.col("packed") == F.col("p0"))
-    return (marked.select("doc", "packed", "h", (F.col("content").isNull() | ~first).alias("repeat"),
+    first = (F.col("doc") == F.col("d0")) & (F.col("tag") == F.col("t0")) & (F.col("packed") == F.col("p0"))
+    return (marked.select("doc", "tag", "packed", "h", (F.col("content").isNull() | ~first).alias("repeat"),
                           (F.col("least") != F.col("most")).alias("differ"))
             .filter("repeat or differ").drop("differ"))
 
 
 def _ranges(classes: DataFrame) -> DataFrame:
     """The bytes of whole repeated runs."""
-    place = f"(shiftright(packed, {PLACE_SHIFT}) & {(1 << 34) - 1})"
+    place = f"shiftright(packed, {PLACE_SHIFT})"
     return classes.filter("repeat").selectExpr(
-        "doc", "cast(shiftright(packed, 48) as int) as tag", f"{place} - (packed & 127) as low",
+        "doc", "tag", f"{place} - (packed & 127) as low",
         f"{place} - (shiftright(packed, 7) & 127) + {WIDTH} as high")
 
 
 def _texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """h, doc, packed and the bytes of the runs to be compared."""
+    """h, doc, tag, packed and the bytes of the runs to be compared."""
     wanted = (classes.filter("not repeat")
-              .selectExpr("doc", "cast(shiftright(packed, 48) as int) as tag", "h", "packed")
               .groupBy("doc", "tag").agg(F.collect_list(F.struct("h", "packed")).alias("wanted")))
-    joined = _numbered(docs).join(wanted, ["doc", "tag"]).select("doc", "text", "wanted")
+    joined = _numbered(docs).join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted")
 
     def batch(rows: pa.RecordBatch) -> pa.RecordBatch:
-        out_h, out_doc, out_packed, out_text = [], [], [], []
-        lists = rows.column(2)
+        out_h, out_doc, out_tag, out_packed, out_text = [], [], [], [], []
+        lists = rows.column(3)
         edges = lists.offsets.to_numpy()
         h = lists.values.field("h").to_numpy()
         packed = lists.values.field("packed").to_numpy()
-        for i, (doc, text) in enumerate(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist())):
+        for i, (doc, tag, text) in enumerate(zip(*(rows.column(k).to_pylist() for k in range(3)))):
             raw = text.encode()
             mine = packed[edges[i]:edges[i + 1]]
-            _, _, first, last = unpack(mine)
+            _, first, last = unpack(mine)
             out_text += [raw[a:b] for a, b in zip(first.tolist(), (last + WIDTH).tolist())]
             out_h.append(h[edges[i]:edges[i + 1]])
             out_packed.append(mine)
             out_doc.append(np.full(len(mine), doc))
+            out_tag.append(np.full(len(mine), tag))
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate(out_h)), pa.array(np.concatenate(out_doc)),
-             pa.array(np.concatenate(out_packed)), pa.array(out_text, pa.binary())], ["h", "doc", "packed", "run"])
+            [*(pa.array(np.concatenate(c)) for c in (out_h, out_doc, out_tag, out_packed)), pa.array(out_text, pa.binary())],
+            ["h", "doc", "tag", "packed", "run"])
 
-    return joined.mapInArrow(by_slice(batch), "h bigint, doc bigint, packed bigint, run binary")
+    return joined.mapInArrow(by_slice(batch), "h bigint, doc bigint, tag bigint, packed bigint, run binary")
 
 
-def shared_windows(h: np.ndarray, doc: np.ndarray, packed: np.ndarray, runs: list[bytes]) -> tuple[np.ndarray, ...]:
+def shared_windows(h: np.ndarray, doc: np.ndarray, tag: np.ndarray, packed: np.ndarray,
+                   runs: list[bytes]) -> tuple[np.ndarray, ...]:
     """Byte ranges (row, low, high) of the windows of runs that an earlier run of the same anchor has too."""
-    order = np.lexsort((packed, doc, h))
-    h, doc, packed = h[order], doc[order], packed[order]
+    order = np.lexsort((packed, tag, doc, h))
+    h, doc, tag, packed = h[order], doc[order], tag[order], packed[order]
     n = len(order)
-    _, place, first, last = unpack(packed)
+    place, first, last = unpack(packed)
     before, behind = WIDTH - GRAM, -(-WIDTH // 8) * 8
     ahead = np.zeros((n, behind), np.uint8)
     back = np.zeros((n, -(-before // 8) * 8), np.uint8)
@@ -178,7 +180,8 @@ def shared_windows(h: np.ndarray, doc: np.ndarray, packed: np.ndarray, runs: lis
         leader = valid[sort[np.maximum.accumulate(np.where(again, 0, np.arange(len(key))))]]
         rows = valid[sort]
         earlier[:] = False
-        earlier[rows] = again & ((doc[rows] != doc[leader]) | (packed[rows] != packed[leader]))
+        earlier[rows] = again & (
+            (doc[rows] != doc[leader]) | (tag[rows] != tag[leader]) | (packed[rows] != packed[leader]))
         covered[:, l + 1] = earlier
     change = np.diff(covered.astype(np.int8), axis=1, append=0)
     row, low = np.nonzero(change == 1)
@@ -193,10 +196,10 @@ def _compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows = 0
 
     def done(table: pa.Table) -> pa.RecordBatch:
-        h, doc, packed = (table.column(k).to_numpy() for k in range(3))
-        row, low, high = shared_windows(h, doc, packed, table.column(3).to_pylist())
+        h, doc, tag, packed = (table.column(k).to_numpy() for k in range(4))
+        row, low, high = shared_windows(h, doc, tag, packed, table.column(4).to_pylist())
         return pa.RecordBatch.from_arrays(
-            [pa.array(doc[row]), pa.array((packed[row] >> 48).astype(np.int32)), pa.array(low), pa.array(high)],
+            [pa.array(doc[row]), pa.array(tag[row]), pa.array(low), pa.array(high)],
             ["doc", "tag", "low", "high"])
 
     for batch in batches:

@@ -146,6 +146,26 @@ def test_repeated_rows_are_one_document(spark):
     assert [(r[0], r[2]) for r in got] == [(1, 0), (1, 0), (2, 0), (None, 300)]
 
 
+def test_texts_without_ids_are_told_apart(spark):
+    """Thousands of texts share the null id, and some one id; the order among them is that of their hashes."""
+    draw = random.Random(13)
+
+    def text(n):
+        return "".join(draw.choices("abcdefghijklmno é", k=n))
+
+    shared = [text(n) for n in (100, 130, 200)]
+    made = list(dict.fromkeys(text(draw.randint(0, 20)) + (draw.choice(shared) if k % 3 else text(120)) + text(draw.randint(0, 30))
+                              for k in range(4000)))
+    rows = [(None, t) for t in made[:3000]] + [(7, t) for t in made[3000:3500]] + [(100 + k, t) for k, t in enumerate(made[3500:])]
+    docs = frame(spark, rows)
+    tags = {r["text"]: r["tag"] for r in docs.selectExpr("text", "xxhash64(text) as tag").collect()}
+    order = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, tags[r[1]]))
+    brute = repeats.brute_force([(k, t.encode()) for k, (_, t) in enumerate(order)])
+    want = sorted(((i, *brute[k]) for k, (i, _) in enumerate(order)), key=repr)
+    got = sorted(map(tuple, repeats.digests(docs).collect()), key=repr)
+    assert got == want and len(got) > 3900
+
+
 def test_deep_shallow_sort():
     draw = np.random.default_rng(2)
     group = np.sort(draw.integers(0, 6, 400))
