@@ -9,8 +9,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from scansio.llm import bpe, licenses, neighbours, packing, quality, repeats, simhash, tokens, topk, urls
+from scansio.llm import (
+    bpe, chat, lexical, licenses, negatives, neighbours, packing, quality, repeats, simhash, tokens, topk, urls,
+)
 from scansio.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -142,3 +145,33 @@ def suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     FROM ruled""")
 def url_filters(spark: SparkSession, folder: str) -> DataFrame:
     return urls.judge(table(spark, folder, "pages", "page_id", "url"), RULES)
+
+
+@query("op11_hard_negatives", """WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+        list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+        FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+        list_inner_product(a.q, b.q)::BIGINT AS score FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id),
+    positives AS (SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE same
+        QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+    SELECT anchor_id, positive_id, row_number() OVER (PARTITION BY anchor_id, positive_id
+            ORDER BY score DESC, other_id)::INTEGER AS rank, other_id AS negative_id, positive_score, score AS negative_score
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT same AND 80 * positive_score <= 100 * score AND score <= positive_score
+    QUALIFY rank <= 5""")
+def hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(table(spark, folder, "embeddings", "vec_id", "label", "embedding").withColumn("label", moved))
+
+
+@query("op12_ranked_search", lexical.RANK_SQL)
+def ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical.rank(documents(spark, folder), table(spark, folder, "benchmark", "item_id", "text"))
+
+
+@query("op13_chat_format", chat.digests_sql(f"SELECT conv_id, turn, role, text FROM conversations UNION ALL {chat.smuggled()}"))
+def chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations", "conv_id", "turn", "role", "text")
+    more = spark.sql(f"SELECT * FROM ({chat.smuggled()}) AS t(conv_id, turn, role, text)").to(turns.schema)
+    return chat.digests(chat.text_parts(turns.unionByName(more)))
