@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scansio.llm.bpe import Codes, packed
+from scansio.llm.bpe import packed
 from scansio.llm.common import by_slice
 from scansio.session import stage
 
@@ -48,45 +48,42 @@ def letters() -> dict[int, str]:
 
 
 class Words:
-    """Ids of a text by a tokenizer file, each part of it worked out once.
-
-    Where no two white-space characters are neighbours, a blank always begins a
-    match and a line feed always is one, so the text falls into parts at blanks
-    and line feeds, of which most have been seen.  Other texts, and parts that
-    are new, are cut by the pattern.  With ``added``, the file's added tokens are
-    tokens wherever a text names one, as in the library's default setting: such a
-    text is left to the library.
+    """Ids of a text by a tokenizer file.
+
+    The file's merges are in the order of the ids they make (checked), so the ids
+    are those of byte-level BPE by rank, and the ranks encode whole texts without
+    a cache.  With ``added``, the file's added tokens are tokens wherever a text
+    names one, as in the library's default setting: such a text is left to the
+    library that the file is written for, as is one that the fast path refuses.
     """
 
     def __init__(self, path: str, pattern: str, added: bool = False):
+        import json
+
+        import tiktoken
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        names = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.named = regex.compile("|".join(map(regex.escape, names))).search if names else None
+        names = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
+        self.named = regex.compile("|".join(map(regex.escape, sorted(names)))).search if added and names else None
+        tokenizer.encode_special_tokens = not added
         self.whole = tokenizer.encode
-        model, write = tokenizer.model, letters()
-        self.matches = regex.compile(pattern).findall
-        self.neighbours = regex.compile(r"\s\s").search
-        self.code = Codes(lambda match: packed(
-            [t.id for t in model.tokenize(match.encode().decode("latin-1").translate(write))])).__getitem__
-        self.first = Codes(self.cut).__getitem__
-        self.after_blank = Codes(lambda part: self.cut(" " + part)).__getitem__
-        self.line_feed = self.cut("\n")
-
-    def cut(self, text: str) -> bytes:
-        return b"".join(map(self.code, self.matches(text)))
-
-    def line(self, line: str) -> bytes:
-        first, *rest = line.split(" ")
-        return self.first(first) + b"".join(map(self.after_blank, rest))
+        byte = {letter: b for b, letter in letters().items()}
+        ranks = {bytes(map(byte.__getitem__, t)): i for t, i in tokenizer.get_vocab().items() if t not in names}
+        with open(path, encoding="utf-8") as file:
+            merges = [m if isinstance(m, list) else m.split(" ") for m in json.load(file)["model"]["merges"]]
+        made = [ranks[bytes(map(byte.__getitem__, a + b))] for a, b in merges]
+        if made != sorted(set(made)) or {r for t, r in ranks.items() if len(t) > 1} != set(made):
+            raise ValueError(f"the merges of {path} are not in the order of their ids")
+        self.encode = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_to_numpy
 
     def ids(self, text: str) -> bytes:
-        if self.named and self.named(text):
-            return packed(self.whole(text, add_special_tokens=False).ids)
-        if self.neighbours(text):
-            return self.cut(text)
-        return self.line_feed.join(map(self.line, text.split("\n")))
+        if not (self.named and self.named(text)):
+            try:
+                return self.encode(text, disallowed_special=()).astype("<u4").tobytes()
+            except ValueError:  # a run of white space too long for that pattern engine
+                pass
+        return packed(self.whole(text, add_special_tokens=False).ids)
 
 
 @lru_cache(maxsize=2)

@@ -83,7 +83,7 @@ def test_words_are_the_tokenizers_ids():
     tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True
     words = packing.Words(JSON, PATTERN)
-    for text in TEXTS:
+    for text in [*TEXTS, " " * 2_000_000 + "x", "\n" * 5000 + " <|endoftext|>", "a" * 200_000]:
         ids = tokenizer.encode(text or "", add_special_tokens=False).ids
         assert memoryview(words.ids(text or "")).cast("I").tolist() == ids
 

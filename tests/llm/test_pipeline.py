@@ -23,7 +23,7 @@ def test_query_agrees_with_sql(spark, duck, data, name):
 
 def test_registered():
     known = __spark_entry__.queries()
-    assert "pipeline" in known and {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 11)}
+    assert "pipeline" in known and {n.split("_")[0] for n in QUERIES} == {f"op{k}" for k in range(1, 14)}
 
 
 def odd(spark, data):
