@@ -18,7 +18,7 @@ import pyarrow as pa  # noqa: E402
 from pyspark.sql import DataFrame, SparkSession  # noqa: E402
 from pyspark.sql import functions as F  # noqa: E402
 
-from scansio.llm import packing, quality, repeats, shingles  # noqa: E402
+from scansio.llm import packing, quality, repeats, simhash  # noqa: E402
 from scansio.llm.common import by_slice, extended, table  # noqa: E402
 from scansio.llm.queries import JSON, PATTERN, ship  # noqa: E402
 from scansio.session import stage  # noqa: E402
@@ -39,9 +39,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: five-word shingles, a Jaccard coefficient of 0.8 or more."""
+    """One document of each group whose fingerprints of three-word shingles differ in 3 bits or fewer."""
     ship(spark)
-    return shingles.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
