@@ -36,4 +36,18 @@ def by_slice(work: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callabl
             out = work(piece)
             if out is not None and out.num_rows:
                 yield out
+        pa.default_memory_pool().release_unused()
     return run
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Batches between Spark and Python of a few MB, whatever the length of texts, unless the session says otherwise.
+
+    A worker holds a batch, its rows as objects and what it made of them, and the
+    JVM holds the batch on both sides of the pipe, all of it for each core.
+    """
+    said = spark.sparkContext.getConf()
+    for key, value in (("spark.sql.execution.arrow.maxRecordsPerBatch", "1024"),
+                       ("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))):
+        if said.get(key) is None:
+            spark.conf.set(key, value)

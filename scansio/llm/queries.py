@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scansio.llm import (
     bpe, chat, lexical, licenses, negatives, neighbours, packing, quality, repeats, simhash, tokens, topk, urls,
 )
-from scansio.llm.common import table
+from scansio.llm.common import bound_batches, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -33,7 +33,8 @@ RULES = (
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package where neither their path nor their folder has it."""
+    """Let Python workers import this package where neither their path nor their folder has it, and bound their batches."""
+    bound_batches(spark)
     context = spark.sparkContext
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
     known = [os.path.abspath(p) for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]]
