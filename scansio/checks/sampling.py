@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from scansio import fixtures
 from scansio.checks.registry import KEY, check, external, kept, pool, r6
 from scansio.functions.text import clean_label
-from scansio.operators import episodes, sampling
+from scansio.operators import adaptation, episodes, sampling
 from scansio.plans import corpus
 from scansio.session import stage
 
@@ -206,3 +206,31 @@ def episode_summary(spark, folder):
     summary = episodes.episode_summary(episodes.episode_accuracy(_scores(spark, folder)))
     return summary.select("part", "iterations", r6("first_accuracy").alias("first_accuracy"),
                           r6("best_accuracy").alias("best_accuracy"))
+
+
+def _learner(spark, folder):
+    """A head fitted on all episodes of the train classes, its curve, and the rows of all episodes."""
+    rows = stage(_episodes(spark, folder, 5).withColumnRenamed("vec_id", "row_key"), "episodes")
+    return rows, *adaptation.meta_fit(rows.filter("part = 'train'"), "embedding", 3, tasks_per_step=256, hidden=32)
+
+
+@check("few_shot_curve", f"""SELECT episode // 256 AS iteration, count(DISTINCT episode) AS episodes, true AS sound
+    FROM ({_draws(5)}) WHERE part = 'train' GROUP BY iteration""")
+def few_shot_curve(spark, folder):
+    """Episodes, loss and accuracy of each iteration of meta-learning."""
+    _, _, curve = _learner(spark, folder)
+    sound = F.col("accuracy").between(0.0, 1.0) & (F.col("loss") > 0) & (F.col("loss") < 10)
+    return curve.select("iteration", "episodes", sound.alias("sound"))
+
+
+@check("few_shot_adapted", f"""SELECT episode, part, slot, true AS shares, true AS repeated FROM ({_draws(5)})
+    WHERE role = 'query' AND part <> 'train'""")
+def few_shot_adapted(spark, folder):
+    """Every query row of classes that the head has not met, scored by a copy adapted to its episode; two adaptations agree."""
+    rows, head, _ = _learner(spark, folder)
+    unseen = rows.filter("part <> 'train'")
+    key = ["episode", "part", "slot"]
+    one, two = (adaptation.adapted_scores(head, unseen, "embedding") for _ in range(2))
+    total = F.aggregate("scores", F.lit(0.0), lambda s, x: s + F.exp(x))
+    return one.join(two.select(*key, F.col("scores").alias("again")), key).select(
+        *key, (F.abs(total - 1) < 1e-9).alias("shares"), (F.col("scores") == F.col("again")).alias("repeated"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from scansio.functions.binding import once
 from scansio.operators.joins import join_null_safe
 from scansio.operators.metrics import arg_max, hit
-from scansio.operators.sampling import LEAF_ROWS, SEED, hash_key
+from scansio.operators.sampling import LEAF_ROWS, SEED, hash_key, number_rows
 from scansio.session import bounded, stage
 
 
@@ -47,8 +47,11 @@ def draw_episodes(tasks: DataFrame, classes: DataFrame, label: str, ways: int, s
     of a class are consecutive places from a drawn start.  A part needs at least
     ``ways`` classes of ``shots + queries`` rows; smaller classes are an error.
     """
-    number = F.row_number().over(Window.partitionBy("part").orderBy(label)) - 1
-    numbered = stage(classes.select(label, "part", "size", number.cast("bigint").alias("number")), "classes")
+    # numbered over all parts at once: a part may hold any number of classes
+    places = number_rows(classes.select(label, "part", "size"), ["part", label], "place")
+    firsts = places.groupBy("part").agg(F.min("place").alias("first"))  # a few rows, as the parts are
+    numbered = stage(places.join(F.broadcast(firsts), "part").select(
+        label, "part", "size", (F.col("place") - F.col("first")).alias("number")), "classes")
     parts = numbered.groupBy("part").agg(F.count("*").alias("classes"), F.min("size").alias("least")).collect()
     for part in parts:
         if part.least < shots + queries:

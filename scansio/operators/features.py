@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from scansio.functions.text import tokenise
 from scansio.operators.joins import join_null_safe
 from scansio.operators.metrics import vector_moments
+from scansio.operators.sampling import number_rows
 from scansio.session import bounded, stage
 
 MAX_FEATURES = 10_000
@@ -138,7 +139,10 @@ def collate_tokens(df: DataFrame, batch: str, tokens: str, pad: int, left_pad: b
 
 
 def label_index(df: DataFrame, column: str, index: str = "label") -> DataFrame:
-    """0-based index of a class in the sorted class names, from the class table; a missing class comes first."""
-    place = F.row_number().over(Window.orderBy(column)) - 1
-    numbered = df.select(column).distinct().withColumn(index, place)
+    """0-based index of a class in the sorted class names; a missing class comes first.
+
+    Classes are numbered by ranges, so there may be any number of them, and the
+    class table is broadcast only as far as ``bounded`` allows.
+    """
+    numbered = number_rows(df.select(column).distinct(), [column], index).withColumn(index, F.col(index).cast("int"))
     return join_null_safe(df, bounded(numbered, "classes"), [column])

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scansio.functions.binding import once
-from scansio.functions.meter import encode_meter
+from scansio.functions.meter import decode_meter, encode_meter, fit_to_gold
+from scansio.operators import gradient
 from scansio.operators.metrics import exact_match
 from scansio.operators.runs import best_run
 from scansio.session import new_path, stage
@@ -111,26 +112,25 @@ def save_and_reload(model: PipelineModel, spark, path: str | None = None) -> Pip
     return PipelineModel.load(path)
 
 
-def sweep(train: DataFrame, held: DataFrame, text: str, pattern: str, position: int,
-          grid: Sequence[dict], buckets: int = BUCKETS) -> DataFrame:
-    """Fit each combination and score it on held-out rows: one run per combination.
+def sweep(train: DataFrame, held: DataFrame, text: str, pattern: str, positions: Sequence[int],
+          grid: Sequence[dict], buckets: int = BUCKETS, n: int = 3, by: str = "lang") -> DataFrame:
+    """Fit every combination and score it on held-out rows: ``run, by, parameters, accuracy``.
 
-    The fits follow one another; each of them is distributed.  Combinations with
-    the same ``n`` share one table of features.
+    All combinations and positions are columns of one parameter table, so an
+    iteration is one scan of one table of features, and so is the scoring.  A
+    combination may set ``n`` (up to the ``n`` of the features), ``reg``, ``rate``
+    and ``max_iter``; the accuracy is the share of lines whose whole pattern is right.
     """
-    runs, features = None, {}
-    gold = F.get(encode_meter(pattern, position), F.lit(position - 1))
-    for number, choice in enumerate(grid):
-        n, options = choice.get("n", 3), {k: v for k, v in choice.items() if k != "n"}
-        if n not in features:
-            features[n] = ova_features(train, text, pattern, [position], buckets, n)
-        model = fit_positions(features[n], [position], buckets, **options)
-        guess = (F.get("scores", F.lit(0)) >= 0.5).cast("int")
-        score = ova_scores(model, held, text, [position], n).groupBy("lang").agg(
-            exact_match(gold, guess).alias("accuracy"))
-        run = score.select(F.lit(number).alias("run"), "lang", F.lit(str(choice)).alias("parameters"), "accuracy")
-        runs = run if runs is None else runs.unionByName(run)
-    return runs
+    positions = list(positions)
+    model = gradient.Linear(positions, grid, n=n)
+    fitted, asked = (stage(df.withColumn("id", F.monotonically_increasing_id()), "rows") for df in (train, held))
+    state = gradient.fit(gradient.featurise(fitted, text, pattern, positions, n, buckets), model)
+    scored = gradient.scores(state, gradient.featurise(asked, text, pattern, positions, n, buckets), model)
+    runs = [F.struct(F.lit(i).alias("run"), F.lit(str(choice)).alias("parameters"),
+                     F.slice("scores", i * len(positions) + 1, len(positions)).alias("scores")) for i, choice in enumerate(grid)]
+    each = asked.select("id", by, pattern).join(scored, "id").select(by, pattern, F.inline(F.array(*runs)))
+    guess = fit_to_gold(decode_meter(F.transform("scores", lambda p: (p >= 0.5).cast("int"))), F.length(pattern))
+    return each.groupBy("run", by, "parameters").agg(exact_match(pattern, guess).alias("accuracy"))
 
 
 def sweep_best(runs: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from functools import wraps
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -281,16 +282,34 @@ def split_positional_shuffled(df: DataFrame, by: Sequence[str], key: Sequence[st
                          leaf_rows=leaf_rows).drop(*DRAW)
 
 
+def number_rows(df: DataFrame, order: Sequence[Column | str], number: str, first: int = 0) -> DataFrame:
+    """``df`` with the place of each row in the given order, from ``first``; missing values come first.
+
+    Rows are dealt out by ranges and sorted where they lie.  The stored table
+    keeps partition and place in one number, so what is missing is one count for
+    each partition, added up on the driver: no task sees more than its range.
+    Over distinct values this is their dense rank.
+    """
+    place = "place_in_range"
+    sorted_ = stage(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(
+        place, F.monotonically_increasing_id()), "ranges")
+    range_ = F.shiftright(place, 33)
+    # one row for each partition
+    sizes = sorted(tuple(r) for r in sorted_.groupBy(range_.alias("range")).count().collect())
+    starts = [(r, s) for (r, _), s in zip(sizes, accumulate((n for _, n in sizes), initial=first))]
+    offsets = df.sparkSession.createDataFrame(starts, "range bigint, start bigint")
+    return (sorted_.withColumn("range", range_).join(F.broadcast(offsets), "range")
+            .withColumn(number, F.col("start") + F.col(place).bitwiseAND((1 << 33) - 1)).select(*df.columns, number))
+
+
 def class_partition(df: DataFrame, column: str, sizes: dict[str, int], rest: str,
                     seed: int = SEED) -> DataFrame:
     """Shuffle the classes and cut them into parts: ``column, class_rank, part``.
 
-    Works on the class table, one row per class.
+    Works on the class table, one row per class, which may be of any size.
     """
-    classes = bounded(df.select(column).distinct(), "classes")
-    ranked = classes.withColumn(
-        "class_rank",
-        F.row_number().over(Window.orderBy(hash_key(F.col(column).cast("string"), seed=seed))))
+    classes = df.select(column).distinct().withColumn("h", hash_key(F.col(column).cast("string"), seed=seed))
+    ranked = number_rows(classes, ["h", column], "class_rank", 1).drop("h").withColumn("class_rank", F.col("class_rank").cast("int"))
     part, total = F.when(F.lit(False), rest), 0
     for name, size in sizes.items():
         total += size

@@ -8,20 +8,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scansio.functions.meter import stress_labels, threshold_labels
-from scansio.operators import metrics, models
+from scansio.operators import gradient, metrics
+from scansio.session import stage
 
 
-def ngram_predictions(rows: DataFrame, positions: Sequence[int], buckets: int = models.BUCKETS, n: int = 3,
-                      max_iter: int = 20, reg: float = 1e-4, text: str = "text", pattern: str = "meter") -> DataFrame:
-    """Fit all positions on the train rows; test rows with ``scores`` and the label sets ``gold`` and ``labels``.
+def ngram_predictions(rows: DataFrame, positions: Sequence[int], vectors: DataFrame | None = None,
+                      dim: int = gradient.DIM, buckets: int = gradient.BUCKETS, n: int = gradient.NGRAMS,
+                          max_iter: int = gradient.EPOCHS, rate: float = gradient.RATE, damping: float = 0.003,
+                      text: str = "text", pattern: str = "meter") -> DataFrame:
+    """Fit one low-rank model on the train rows; test rows with ``scores`` and the label sets ``gold`` and ``labels``.
 
     ``rows`` holds ``split``: ``train`` or ``test``, as ``prepare_ngram`` returns
-    them.  Stage it: train and test are read separately.
+    them.  Stage it: train and test are read separately.  ``vectors`` (word, vector
+    of ``dim`` numbers) are where words start from.
     """
-    train, test = (rows.filter(F.col("split") == s).drop("split") for s in ("train", "test"))
-    model = models.fit_ova(train, text, pattern, positions, buckets, n, max_iter, reg)
-    scored = models.ova_scores(model, test, text, positions, n)
-    return scored.withColumns({"gold": stress_labels(pattern), "labels": threshold_labels("scores")})
+    train, test = (stage(rows.filter(F.col("split") == s).drop("split").withColumn("id", F.monotonically_increasing_id()), s)
+                   for s in ("train", "test"))
+    model = gradient.LowRank(list(positions), dim, rate, max_iter, damping=damping)
+    state = gradient.fit(gradient.featurise(train, text, pattern, positions, n, buckets), model, vectors)
+    scored = gradient.scores(state, gradient.featurise(test, text, pattern, positions, n, buckets), model, vectors)
+    return test.join(scored, "id").drop("id").withColumns({"gold": stress_labels(pattern), "labels": threshold_labels("scores")})
 
 
 def ngram_report(predictions: DataFrame, by: Sequence[str] = ("lang",)) -> DataFrame:

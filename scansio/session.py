@@ -77,6 +77,12 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a staged table that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 @contextmanager
 def staging(spark: SparkSession) -> Iterator[None]:
     """Delete what is staged inside the block when it ends.
@@ -88,10 +94,8 @@ def staging(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
         for path in _OPEN.pop():
-            place = hadoop.Path(path)
-            place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+            discard(spark, path)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:

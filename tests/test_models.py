@@ -47,7 +47,7 @@ def test_classifier_beats_the_majority(spark):
 
 def test_sweep_prefers_the_better_run(spark):
     df = planted(spark)
-    runs = models.sweep(df, df, "text", "meter", 1, [{"max_iter": 0}, {"max_iter": 10}], buckets=1 << 10)
+    runs = models.sweep(df, df, "text", "meter", [1, 2], [{"max_iter": 0}, {"max_iter": 10}], buckets=1 << 10)
     assert runs.count() == 4
     assert all("10}" in r.parameters for r in models.sweep_best(runs).collect())
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scansio.operators import sampling as S
+from tests.plans import plan_text
 
 
 def digest(*key):
@@ -117,3 +118,15 @@ def test_missing_groups_and_empty_inputs(spark):
     nothing = df.limit(0)
     assert S.split_exact(nothing, ["lang"], ["text"], 0.25).count() == 0
     assert S.split_stratified(nothing, [], "length", ["text"], 0.25).count() == 0
+
+
+def test_classes_are_numbered_by_ranges(spark):
+    """A million classes, none missing and none twice, without a window over one partition; missing values come first."""
+    df = spark.range(1_000_000).select(F.concat(F.lit("c"), F.lpad(F.pmod(F.col("id") * 7919, F.lit(1_000_000)).cast("string"), 7, "0")).alias("c"))
+    got = S.number_rows(df, ["c"], "n")
+    assert "Window" not in plan_text(got)
+    wrong = got.filter("n <> cast(substr(c, 2) as bigint)").count()
+    assert wrong == 0 and got.count() == 1_000_000
+    small = spark.createDataFrame([("b",), (None,), ("a",)], "c string")
+    assert sorted(S.number_rows(small, ["c"], "n", 5).collect(), key=lambda r: r["n"]) == [(None, 5), ("a", 6), ("b", 7)]
+    assert S.number_rows(small.limit(0), ["c"], "n").count() == 0
