@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from scansio import fixtures
 from scansio import schema as S
+from scansio.checks.prepared import _ALL as ALL, _FREE as FREE, _H as DRAW, _HELD as HELD, _SHARES as SHARES
 from scansio.checks.registry import KEY, check, joined, kept, pool, r6
 from scansio.functions.text import clean_text
 from scansio.operators import features, filters, metrics, sampling
@@ -35,6 +36,34 @@ def src_json(spark, folder):
     return readers.read_lines(spark, path).select(*S.ANNOTATED_LINE.names)
 
 
+def _one_file(rows, order, path, ends, comma=","):
+    """JSON texts (value) as one file of one JSON value, in order; the stand-in of a file that grew large elsewhere."""
+    first = rows.agg(F.min(F.struct(*order)).alias("first"))
+    before = F.when(F.struct(*order) == F.col("first"), ends[0]).otherwise(comma)
+    body = rows.join(F.broadcast(first)).select(F.lit(0).alias("at"), *order, F.concat(before, "value").alias("value"))
+    end = first.select(F.lit(1).alias("at"), *[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c in order], F.lit(ends[1]).alias("value"))
+    body.unionByName(end).coalesce(1).sortWithinPartitions("at", *order).select("value").write.text(path, lineSep="\n")
+
+
+@check("src_json_split", "SELECT raw AS line_text, raw_pattern AS metrical_pattern, manually_checked FROM verses")
+def src_json_split(spark, folder):
+    """All lines in one array, read in as many tasks as the file has blocks."""
+    path = new_path(spark, "array")
+    lines = _annotated(spark, folder).select("doc_id", "pos", F.to_json(F.struct(*S.ANNOTATED_LINE.names)).alias("value"))
+    _one_file(lines, ["doc_id", "pos"], path, "[]")
+    return readers.read_lines(spark, path, split=True).select(*S.ANNOTATED_LINE.names)
+
+
+@check("src_poem_map_split", "SELECT doc_id::VARCHAR AS poem_id, md5(text) AS digest FROM documents WHERE doc_id % 20 <> 0")
+def src_poem_map_split(spark, folder):
+    """All poems in one object, null ones among them."""
+    path = new_path(spark, "poems")
+    poem = F.when(F.col("doc_id") % 20 != 0, F.to_json(F.struct("text"))).otherwise("null")
+    poems = fixtures.documents(spark, folder).select("doc_id", F.concat(F.lit('"'), "doc_id", F.lit('": '), poem).alias("value"))
+    _one_file(poems, ["doc_id"], path, "{}")
+    return readers.read_poem_map(spark, path, split=True).select("poem_id", F.md5("text").alias("digest"))
+
+
 @check("src_csv", """SELECT lang, text, meter, sota FROM verses
     QUALIFY row_number() OVER (PARTITION BY lang, text ORDER BY doc_id, pos) = 1""")
 def src_csv(spark, folder):
@@ -86,6 +115,49 @@ def files_to_splits(spark, folder):
     return readers.read_splits(spark, splits)
 
 
+def _annotated_files(spark, folder, where, pattern):
+    """JSON arrays of annotated lines, in the order of documents."""
+    path = new_path(spark, "annotated")
+    line = F.struct("doc_id", "pos", F.lit("x").alias("note"), F.col("manually_checked"),
+                    F.col(pattern).alias("metrical_pattern"), F.col("raw").alias("line_text"))
+    arrays = (fixtures.verses(spark, folder).filter(where)
+              .withColumn("bucket", F.lpad(F.floor(F.col("doc_id") / 100).cast("string"), 12, "0"))
+              .groupBy("bucket").agg(F.to_json(F.array_sort(F.collect_list(line))).alias("value")))
+    _write_objects(arrays, path)
+    return path
+
+
+@check("files_to_splits_es", f"""SELECT text, meter, NULL::VARCHAR AS sota, length::INTEGER AS length, lang, split FROM (
+    SELECT text, meter, length, lang, 'test' AS split FROM ({HELD}) UNION ALL SELECT text, meter, length, lang,
+        CASE WHEN rn <= ceil(CAST(n AS DOUBLE) * CAST(0.25 AS DOUBLE)) THEN 'dev' ELSE 'train' END FROM (
+        SELECT *, count(*) OVER (PARTITION BY lang) AS n,
+            row_number() OVER (PARTITION BY lang ORDER BY {DRAW}) AS rn FROM ({FREE}))) WHERE lang = 'es'""")
+def files_to_splits_es(spark, folder):
+    """Spanish: two JSON corpora, the second one a given test set."""
+    splits = new_path(spark, "splits")
+    pool, test = (readers.read_corpus(spark, _annotated_files(spark, folder, f"lang = 'es' and source = '{s}'", "meter"), S.ADSO)
+                  for s in "ab")
+    writers.write_splits(prepare.prepare_against_test(pool, test, [readers.ORDER]), splits)
+    return readers.read_splits(spark, splits, ["es"])
+
+
+@check("files_to_splits_en", f"""SELECT text, meter, sota, length::INTEGER AS length, lang, split FROM (
+    SELECT lang, text, meter, sota, length, 'test' AS split FROM ({ALL}) WHERE part = 'test'
+    UNION ALL SELECT r.lang, r.text, r.meter, NULL, r.length, CASE WHEN row_number() OVER (PARTITION BY r.lang, r.length
+        ORDER BY md5('42|' || r.lang || '|' || r.text)) <= q.quota THEN 'dev' ELSE 'train' END
+    FROM ({ALL}) r JOIN ({SHARES}) q ON q.lang = r.lang AND q.length = r.length WHERE r.part <> 'test') WHERE lang = 'en'""")
+def files_to_splits_en(spark, folder):
+    """English: a JSON corpus of marked patterns, topped up from a delimited test set with columns in another order."""
+    outside, splits = new_path(spark, "outside"), new_path(spark, "splits")
+    (fixtures.verses(spark, folder).filter("lang = 'en' and source = 'b'")
+     .select(F.col("sota").alias("prosodic_meter"), F.lit("x, y").alias("note"), F.col("meter"), F.col("raw").alias("text"))
+     .write.csv(outside, header=True, **writers.CSV))
+    pool = readers.read_corpus(spark, _annotated_files(spark, folder, "lang = 'en' and source = 'a'", "raw_pattern"), S.ECPA)
+    test = readers.read_corpus(spark, outside, S.FOUR_B_FOUR_V)
+    writers.write_splits(prepare.prepare_rebalanced(pool, test, [readers.ORDER], cap=5), splits)
+    return readers.read_splits(spark, splits, ["en"])
+
+
 @check("files_to_scores", """SELECT split, count(*) AS rows,
     round(avg(coalesce((sota = meter)::INTEGER::DOUBLE, 0)), 6) AS accuracy
     FROM (SELECT text, meter, CASE WHEN split = 'test' THEN sota END AS sota, split FROM three_way WHERE lang = 'de')

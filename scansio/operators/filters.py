@@ -33,11 +33,16 @@ def drop_junk(df: DataFrame, column: str = "value", digits: bool = False) -> Dat
     return df.filter(~is_junk(column, digits))
 
 
+def lang_code(lang: str) -> str:
+    """The code under which a language is stored: ``ge`` is another name of ``de``."""
+    return "de" if lang == "ge" else lang
+
+
 def select_lang(df: DataFrame, lang: str) -> DataFrame:
     """One language, or all of them for ``multi``; ``ge`` is another name of ``de``."""
     if lang == "multi":
         return df
-    return df.filter(F.col("lang") == ("de" if lang == "ge" else lang))
+    return df.filter(F.col("lang") == lang_code(lang))
 
 
 def final_fit_rows(df: DataFrame) -> DataFrame:
@@ -46,7 +51,9 @@ def final_fit_rows(df: DataFrame) -> DataFrame:
 
 
 def drop_baseline(df: DataFrame) -> DataFrame:
-    """The shipped baseline stays on test rows only."""
+    """The shipped baseline stays on test rows only; rows of corpora without one are left as they are."""
+    if "sota" not in df.columns:
+        return df
     return df.withColumn("sota", F.when(F.col("split") == "test", F.col("sota")))
 
 

@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 from scansio import schema as S
 from scansio.functions.meter import LABEL_PREFIX
+from scansio.operators.filters import lang_code
+from scansio.sources import records
 
 ORDER = "line_id"
 
@@ -27,8 +29,14 @@ def file_order() -> Column:
         F.monotonically_increasing_id().alias("row"))
 
 
-def read_lines(spark: SparkSession, path: str, schema: T.StructType = S.ANNOTATED_LINE) -> DataFrame:
-    """Annotated lines stored as JSON arrays, one array per file."""
+def read_lines(spark: SparkSession, path: str, schema: T.StructType = S.ANNOTATED_LINE, split: bool = False) -> DataFrame:
+    """Annotated lines stored as JSON arrays, one array per file.
+
+    With ``split`` a file is read in many tasks, which takes passes over it: for
+    few large files.  Its order key is file and record.
+    """
+    if split:
+        return records.read_array(spark, path, schema, ORDER)
     return (spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
             .withColumn(ORDER, file_order()))
 
@@ -76,7 +84,12 @@ def read_splits(spark: SparkSession, path: str, langs: list[str] | None = None)
     """Prepared splits under ``lang=/split=``, by their header; other languages are not read.
 
     A split may lack ``sota``, as train and dev do; a language may lack a split.
+    ``ge`` is another name of ``de``; a language without any folder is an error.
     """
+    for name in [lang_code(x) for x in langs or () if x != "multi"]:
+        place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/lang={name}")
+        if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+            raise FileNotFoundError(f"no language {name} in {path}")
     parts = []
     for split in S.SPLITS:
         try:
@@ -86,18 +99,22 @@ def read_splits(spark: SparkSession, path: str, langs: list[str] | None = None)
                 raise
             continue
         if langs and "multi" not in langs:
-            rows = rows.filter(F.col("lang").isin(langs))
+            rows = rows.filter(F.col("lang").isin([lang_code(x) for x in langs]))
         parts.append(rows.select(*_named(rows, S.SPLIT_ROW, optional=("sota",))))
     if not parts:
         raise FileNotFoundError(f"no lang=/split= folders in {path}")
     return reduce(DataFrame.unionByName, parts)
 
 
-def read_poem_map(spark: SparkSession, path: str) -> DataFrame:
+def read_poem_map(spark: SparkSession, path: str, split: bool = False) -> DataFrame:
     """Poems of JSON objects ``id -> {text}``, one object per file; null poems are dropped.
 
-    A file that is not such an object is an error.
+    A file that is not such an object is an error.  With ``split`` a file is read
+    in many tasks.
     """
+    if split:
+        found = records.read_map(spark, path, "struct<text:string>")
+        return found.filter(F.col("value").isNotNull()).select(F.col("key").alias("poem_id"), F.col("value.text").alias("text"))
     objects = spark.read.text(path, wholetext=True)
     parsed = F.from_json("value", S.POEM_MAP, {"mode": "FAILFAST"})
     poems = objects.select(F.explode(parsed).alias("poem_id", "poem"))
