@@ -12,11 +12,17 @@
    all nodes in range until no new one is found.  Nodes outside that a list names
    come along.
 6. Cosines are checked in double precision; components are the least vec_id over
-   links.  ``recall`` audits the links against brute force.
+   links.
+7. Links are audited: the degrees of a bounded sample of nodes, by brute force
+   over all nodes, against the degrees found.  While the recall is below
+   ``RECALL``, the search is made again from other pivots and its links are added,
+   so what one choice of pivots parts, another brings together.
 """
 
 from __future__ import annotations
 
+import logging
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +34,10 @@ from scansio.session import stage
 
 #: Nodes from which pivots are chosen, and so a bound on the pivots every task holds.
 SAMPLE = 8192
+#: Bytes of the vectors that an audit asks about.
+AUDIT_BYTES = 16 << 20
+#: Recall that the audit must find, and the searches after which its failure is an error.
+RECALL, ROUNDS = 0.97, 24
 #: Nodes for one pivot.
 SHARD = 1000
 #: Nodes of a block, on average at most.
@@ -159,12 +169,14 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
 
 def assigned(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     """``node, shard, rank`` for the two nearest pivots, the nearest with rank 0."""
+    shared = nodes.sparkSession.sparkContext.broadcast(pivots)
+
     def batches(parts):
         for rows in parts:
             if not rows.num_rows:
                 continue
-            near = unit_rows(rows.column(1), rows.num_rows) @ pivots.T
-            take = min(2, len(pivots))
+            near = unit_rows(rows.column(1), rows.num_rows) @ shared.value.T
+            take = min(2, len(shared.value))
             first = np.argsort(-near, axis=1, kind="stable")[:, :take]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.repeat(rows.column(0).to_numpy(), take)), pa.array(first.ravel().astype(np.int64)),
@@ -173,15 +185,65 @@ def assigned(nodes: DataFrame, pivots: np.ndarray) -> DataFrame:
     return nodes.select("node", "vector").mapInArrow(batches, "node bigint, shard bigint, rank bigint")
 
 
-def links(nodes: DataFrame, least: float = 0.9) -> DataFrame:
+def links(nodes: DataFrame, least: float = 0.9, wanted: float = RECALL) -> DataFrame:
     """``a, b, n_a, n_b``: pairs of nodes (a < b) found with a cosine of ``least`` or more, and their counts.
 
-    ``nodes`` (node, n, vector) is a stored table of distinct vectors of one length.
+    ``nodes`` (node, n, vector) is a stored table of distinct vectors of one
+    length.  Searches go on from other pivots until the audited recall is ``wanted``.
     """
+    true, found = degrees(nodes, least), None
+    for round_ in range(ROUNDS):
+        more = links_once(nodes, least, round_)
+        found = stage(more if found is None else found.unionByName(more).distinct(), "links")
+        share = audited(true, found)
+        logging.getLogger(__name__).info("search %d: audited recall %.4f of %d nodes", round_, share, len(true))
+        if share >= wanted:
+            return found
+    raise RuntimeError(f"recall {share:.3f} after {ROUNDS} searches")
+
+
+def degrees(nodes: DataFrame, least: float) -> dict[int, int]:
+    """The number of other nodes in range of each sampled node, by brute force over all nodes."""
+    first = nodes.select("vector").first()
+    if first is None:
+        return {}
+    most = max(64, min(SAMPLE, AUDIT_BYTES // (8 * max(1, len(first["vector"])))))
+    # at most ``most`` rows reach the driver
+    asked = nodes.orderBy(F.xxhash64("node", F.lit("audit"))).limit(most).select("node", "vector").toArrow()
+    ids = asked.column(0).to_numpy()
+    shared = nodes.sparkSession.sparkContext.broadcast(unit_rows(asked.column(1), asked.num_rows))
+
+    def counted(batches):
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                total += (unit_rows(part.column(0), part.num_rows) @ shared.value.T >= least).sum(0)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+    sums = nodes.select("vector").mapInArrow(counted, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    return {int(ids[r["at"]]): r["n"] - 1 for r in sums.collect()}  # without itself
+
+
+def audited(true: dict[int, int], found: DataFrame) -> float:
+    """The share of links found: the lesser of that of all sampled links and of the mean of the sampled nodes."""
+    true = {node: n for node, n in true.items() if n > 0}
+    if not true:
+        return 1.0
+    asked = found.sparkSession.createDataFrame([(node,) for node in true], "node bigint")  # a sampled node each
+    ends = found.select(F.col("a").alias("node")).unionByName(found.select(F.col("b").alias("node")))
+    got = {r["node"]: r["count"] for r in ends.join(F.broadcast(asked), "node").groupBy("node").count().collect()}
+    shares = [min(1.0, got.get(node, 0) / n) for node, n in true.items()]
+    return min(sum(shares) / len(shares), sum(min(n, got.get(node, 0)) for node, n in true.items()) / sum(true.values()))
+
+
+def links_once(nodes: DataFrame, least: float, round_: int) -> DataFrame:
+    """The links that one choice of pivots finds."""
     spark = nodes.sparkSession
     total = nodes.count()
     # a bounded sample: at most SAMPLE rows reach the driver
-    sample = nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("vector").toArrow()
+    sample = nodes.orderBy(F.xxhash64("node", F.lit(round_))).limit(SAMPLE).select("vector").toArrow()
     empty = spark.createDataFrame([], "a bigint, b bigint, n_a bigint, n_b bigint")
     if not total:
         return empty
@@ -189,13 +251,13 @@ def links(nodes: DataFrame, least: float = 0.9) -> DataFrame:
     placed = stage(assigned(nodes, pivots), "shards")
     # one row for each pivot
     sizes = placed.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK).cast("long").alias("blocks"))
-    dealt = placed.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = placed.join(F.broadcast(sizes), "shard").withColumn("block", F.pmod(F.xxhash64("node", F.lit(round_)), F.col("blocks")))
     members = dealt.join(nodes, "node")
 
     def built(key: tuple, rows: pa.Table) -> pa.Table:
         ids = rows.column("node").to_numpy()
         order = np.argsort(ids)
-        lists = build(unit_rows(rows.column("vector"), len(ids))[order], key[0].as_py())
+        lists = build(unit_rows(rows.column("vector"), len(ids))[order], key[0].as_py() + round_ * SAMPLE)
         ids = ids[order]
         return pa.table([pa.array(ids), pa.array([ids[x] for x in lists], pa.list_(pa.int64()))], names=["node", "near"])
 
@@ -251,7 +313,8 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     Rows whose vec_id is null, or whose vector is null, empty, zero or holds a
     null or a number that is not finite, link with nothing: no links, themselves
     their component, kept.  Rows with equal vectors link with each other.
-    Vectors of different lengths do not link.
+    Vectors of different lengths do not link.  Different vectors of one vec_id
+    are one node of several places: each of its rows has the links of all.
     """
     vector = F.col("embedding")
     length = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
@@ -264,7 +327,7 @@ def near_duplicates(embeddings: DataFrame, least: float = 0.9) -> DataFrame:
     sizes = [r[0] for r in nodes.select(F.size("vector").alias("d")).distinct().collect()]
     found = None
     for d in sizes:
-        part = stage(links(nodes.filter(F.size("vector") == d), least), "links")
+        part = links(nodes.filter(F.size("vector") == d), least)
         found = part if found is None else found.unionByName(part)
     if found is None:
         found = embeddings.sparkSession.createDataFrame([], "a bigint, b bigint, n_a bigint, n_b bigint")

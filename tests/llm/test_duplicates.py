@@ -242,3 +242,30 @@ def test_neighbours_against_brute_force(spark, monkeypatch, block):
 def test_neighbours_of_nothing(spark):
     assert neighbours.near_duplicates(vectors(spark, ODD).limit(0)).count() == 0
     assert neighbours.near_duplicates(vectors(spark, ODD[:6])).count() == 6
+
+
+def test_recall_does_not_fall_with_the_number_of_pivots(spark, monkeypatch):
+    """Hundreds of pivots part many pairs of one search; the audit sees it, and more searches bring them together."""
+    monkeypatch.setattr(neighbours, "SHARD", 40)
+    draw = np.random.default_rng(6)
+    rows = draw.normal(size=(8000, 32))
+    for i in range(0, 1000, 2):  # planted partners of a cosine of 0.90 to 0.95
+        unit = rows[i] / np.linalg.norm(rows[i])
+        side = rows[i + 1] - (rows[i + 1] @ unit) * unit
+        angle = np.arccos(draw.uniform(0.905, 0.95))
+        rows[i + 1] = np.cos(angle) * unit + np.sin(angle) * side / np.linalg.norm(side)
+    nodes = stage(spark.createDataFrame([(i, 1, r.tolist()) for i, r in enumerate(rows)], "node bigint, n bigint, vector array<double>"), "nodes")
+    true = neighbours.degrees(nodes, 0.9)
+    assert sum(true.values()) >= 1000
+    once = neighbours.audited(true, stage(neighbours.links_once(nodes, 0.9, 0), "once"))
+    whole = neighbours.links(nodes)
+    assert once < 0.97 <= neighbours.audited(true, whole)
+    pairs = {(r["a"], r["b"]) for r in whole.collect()}
+    assert len(pairs & {(i, i + 1) for i in range(0, 1000, 2)}) >= 480 and whole.count() == len(pairs)
+
+
+def test_rows_of_one_id_with_different_vectors(spark):
+    """They are one vector of several places: each row has the links of all."""
+    given = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.99, 0.01]), (9, [0.01, 0.99])]
+    got = sorted(tuple(r) for r in neighbours.near_duplicates(vectors(spark, given)).collect())
+    assert len(got) == 4 and [r[:2] for r in got] == [(5, 2), (5, 2), (7, 1), (9, 1)] and {r[2] for r in got} == {5}
