@@ -12,6 +12,7 @@ from scansio.functions import meter as M
 from scansio.functions import text as X
 from scansio.operators import dedup, filters, joins, metrics, runs, sampling
 from scansio.session import bounded
+from scansio.sources import writers
 
 
 @check("reviewed", "SELECT doc_id, pos FROM verses WHERE manually_checked")
@@ -89,6 +90,13 @@ def leak_anti_join(spark, folder):
     return pool(spark, folder, "meter").select("lang", "text", "meter")
 
 
+@check("leak_stored", "SELECT lang, text, meter FROM pool")
+def leak_stored(spark, folder):
+    """The same against a test set that was stored, bucketed by the key."""
+    held = spark.table(writers.write_held(external(spark, folder)))
+    return pool(spark, folder, "meter", held=held).select("lang", "text", "meter")
+
+
 @check("join_predictions", """SELECT lang, count(*) AS gold_rows,
     count(*) FILTER (WHERE length <= 12) AS scored_rows, count(*) FILTER (WHERE length > 12) AS unmatched_rows,
     round(avg(CASE WHEN length <= 12 AND pred = meter THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy

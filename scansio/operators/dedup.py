@@ -7,8 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from scansio.operators.joins import join_null_safe
-
 
 def dedup_first(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The first row per key in the given order.
@@ -36,19 +34,19 @@ def dedup_adjacent(df: DataFrame, value: str, source: str, position: str,
     """Drop rows that repeat the row before them in the same source.
 
     A source may hold a third of all rows, so it is cut into blocks of
-    positions.  Inside a block the previous row is a ``lag``; across blocks it
-    is the last row of the nearest earlier block, found on one row per block.
+    positions.  Inside a block the previous row is a ``lag``.  The first row of a
+    block gets its previous row from the edges alone, the first and last row of
+    every block.  Both read the same exchange, so the input is scanned and
+    shuffled once.
     """
-    rows = df.withColumn("block", F.floor(F.col(position) / F.lit(block_rows)))
-    last = F.max_by(F.struct(F.col(value).alias("value")), position)
-    edges = (rows.groupBy(source, "block").agg(last.alias("last"))
-             .withColumn("before", F.lag("last").over(Window.partitionBy(source).orderBy("block")))
-             .select(source, "block", "before"))
-    inside = F.lag(F.struct(F.col(value).alias("value"))).over(
-        Window.partitionBy(source, "block").orderBy(position))
-    return (rows.withColumn("inside", inside)
-            .transform(join_null_safe, edges, [source, "block"])
-            .withColumn("previous", F.coalesce("inside", "before"))
-            .filter(F.col("previous").isNull()
-                    | ~F.col(value).eqNullSafe(F.col("previous.value")))
-            .select(*df.columns))
+    held = F.struct(F.col(value).alias("value"))
+    block = Window.partitionBy(source, "block").orderBy(position)
+    rows = (df.withColumn("block", F.floor(F.col(position) / F.lit(block_rows)))
+            .withColumns({"previous": F.lag(held).over(block), "next": F.lead(F.lit(1)).over(block)}))
+    first = F.col("previous").isNull()
+    before = F.lag(held).over(Window.partitionBy(source).orderBy(position))
+    edges = rows.filter(first | F.col("next").isNull()).withColumn("before", before).filter(first)
+    both = rows.filter(~first).drop("next").unionByName(
+        edges.withColumn("previous", F.col("before")).drop("next", "before"))
+    return both.filter(F.col("previous").isNull()
+                       | ~F.col(value).eqNullSafe(F.col("previous.value"))).select(*df.columns)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +12,7 @@ from scansio import schema as S
 from scansio.functions.meter import stress_labels
 from scansio.operators.dedup import dedup_adjacent
 from scansio.operators.filters import reviewed, unreviewed
+from scansio.session import new_path
 
 # Quotes are doubled and blanks at the ends of a field are kept.
 CSV = {"quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
@@ -31,6 +35,22 @@ def write_splits(rows: DataFrame, path: str, format: str = "csv") -> None:
         writer.format(format).save(path)
 
 
+def write_held(rows: DataFrame, keys: Sequence[str] = ("lang", "text"), buckets: int | None = None,
+               name: str | None = None) -> str:
+    """A test set stored as a bucketed table, by whose name later runs find it.
+
+    ``remove_leakage`` against it, or a join of scores by the same keys, moves
+    the other side only.  ``buckets`` should be about the shuffle partitions of
+    those joins, which it is by default.  The files lie in the shared folder.
+    """
+    spark = rows.sparkSession
+    name = name or f"held_{uuid.uuid4().hex}"
+    buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    (rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys)
+     .option("path", new_path(spark, name)).saveAsTable(name))
+    return name
+
+
 def labelled_line(text: str, pattern: str) -> Column:
     """``labels... text``; a pattern without stress leaves a leading blank."""
     return F.concat_ws(" ", F.array_join(stress_labels(pattern), " "), F.col(text))
