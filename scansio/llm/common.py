@@ -18,8 +18,11 @@ def table(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def extended(df: DataFrame, columns: str) -> StructType:
-    """The schema of ``df`` with further columns, given as DDL."""
-    return StructType([*df.schema.fields, *StructType.fromDDL(columns).fields])
+    """The schema of ``df`` with further columns, given as DDL; a name that ``df`` has already is an error."""
+    more = StructType.fromDDL(columns).fields
+    if clash := [f.name for f in more if f.name in df.columns]:
+        raise ValueError(f"there is a column {', '.join(clash)} already: rename or drop it first")
+    return StructType([*df.schema.fields, *more])
 
 
 def slices(batches: Iterable[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:

@@ -66,7 +66,9 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, rule: str = "first")
     ``n_tokens`` allocated to the section by the rule, ``n_crossing`` tokens that
     touch it but count elsewhere.  A null or empty text has one empty section
     without tokens; the end of a text behind its last line feed is a section of
-    its own, empty as it may be.
+    its own, empty as it may be.  Repeated rows are documents of their own, texts
+    of any length are encoded whole, further columns are not read, and an empty
+    table gives an empty one.
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")

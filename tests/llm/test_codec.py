@@ -9,7 +9,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from scansio.llm import bpe, packing, tokens
+from scansio.llm import bpe, packing, quality, simhash, tokens
 from scansio.llm.queries import JSON, PATTERN, QUERIES, RANKS
 
 TEXTS = ["", None, "a", "  two  blanks ", "it's we'll 'r'e", "é日本😀", "line\n\nline\n", "a" * 3000, " " * 700 + "x",
@@ -79,6 +79,29 @@ def test_crossing_tokens_by_rule():
     assert tokens.allocate(low, high, starts, "most")[1].tolist() == [1, 0, 1]
 
 
+def test_token_counts_of_odd_tables(spark, library):
+    """Repeated rows, null ids, a very long text, names of the result among the columns, an empty table."""
+    long = "some words here\n" * 20000
+    rows = [(1, "a b\nc"), (1, "a b\nc"), (None, "x"), (2, None), (3, ""), (4, long)]
+    docs = frame(spark, rows, "doc_id bigint, text string, section int, n_tokens string")
+    got = tokens.count_tokens(docs, RANKS, PATTERN).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["section"], r["start"], r["length"], r["n_tokens"]))
+    assert len(by[1]) == 4 and sorted(by[1])[::2] == sorted(by[1])[1::2]
+    assert by[2] == by[3] == [(0, 0, 0, 0)] and len(by[None]) == 1
+    assert len(by[4]) == 20001 and sum(x[3] for x in by[4]) == len(library.encode_ordinary(long))
+    assert tokens.count_tokens(docs.limit(0), RANKS, PATTERN).count() == 0
+
+
+def test_names_that_clash_are_errors(spark):
+    docs = frame(spark, [(1, "a")], "doc_id bigint, text string, ids int, hash string")
+    for work in (lambda: bpe.encode(docs, RANKS, PATTERN), lambda: simhash.fingerprints(docs),
+                 lambda: quality.scored(docs, quality.Machine.new(), "hash")):
+        with pytest.raises(ValueError, match="already"):
+            work()
+
+
 def test_words_are_the_tokenizers_ids():
     tokenizer = Tokenizer.from_file(JSON)
     tokenizer.encode_special_tokens = True

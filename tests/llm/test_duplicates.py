@@ -269,3 +269,14 @@ def test_rows_of_one_id_with_different_vectors(spark):
     given = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.99, 0.01]), (9, [0.01, 0.99])]
     got = sorted(tuple(r) for r in neighbours.near_duplicates(vectors(spark, given)).collect())
     assert len(got) == 4 and [r[:2] for r in got] == [(5, 2), (5, 2), (7, 1), (9, 1)] and {r[2] for r in got} == {5}
+
+
+def test_topk_of_ties_and_repeated_ids(spark, monkeypatch):
+    """Equal scores in different shards go by id; all rows of the asked id are left out, others count each."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", 4)
+    given = [(0, [1.0, 0.0]), (0, [0.5, 0.0]), *[(i, [1.0, 0.0]) for i in range(30, 0, -1)], (7, [1.0, 0.0])]
+    got = sorted(tuple(r) for r in topk.search(vectors(spark, given), every=100, k=9).collect())
+    want = sorted([*range(1, 31), 7])[:9]
+    assert [g[:3] for g in got] == [(0, r, v) for r, v in enumerate(want, 1)] and len({g[3] for g in got}) == 1
+    # the lesser vector of the asked id is asked
+    assert got[0][3] == 32 * 64

@@ -53,3 +53,24 @@ def test_stages_of_nothing(spark, data):
     docs = stage(odd(spark, data).limit(0), "nothing")
     for name, work in corpus_pipeline.STAGES:
         assert work(spark, docs, data).count() == 0
+
+
+def test_planted_copies_and_passages_go_through_all_stages(spark, data):
+    """Exact copies leave one document, a passage of two documents stays in the first, clean documents stay whole."""
+    clean = [r["text"] for r in spark.read.parquet(f"{data}/documents.parquet").join(
+        spark.read.parquet(f"{data}/labels.parquet").filter("quality = 1"), "doc_id").select("doc_id", "text")
+        .filter("length(text) between 1500 and 4000").orderBy("doc_id").limit(8).collect()]
+    passage = " ".join(f"keeper{i * i} counted {i} boats" for i in range(60))
+    texts = [*clean[:4], clean[0], clean[0], clean[4] + "\n" + passage, passage + "\n" + clean[5]]
+    rows = [(900_000 + i, t, "en", "planted", len(t)) for i, t in enumerate(texts)]
+    real = spark.read.parquet(f"{data}/documents.parquet")
+    docs = stage(real.filter("doc_id < 0").unionByName(spark.createDataFrame(rows, real.schema)), "planted")
+    monotone = [docs]
+    for name, work in corpus_pipeline.STAGES[1:]:
+        monotone.append(stage(work(spark, monotone[-1], data), name))
+    kept = {r["doc_id"] - 900_000: r["text"] for r in monotone[2].collect()}
+    assert sorted(kept) == [0, 1, 2, 3, 6, 7]
+    assert kept[6] == texts[6][:len(kept[6])] and passage in kept[6] and passage[50:150] not in kept[7]
+    assert clean[5][200:] in kept[7] and all(len(kept[i]) > 0.9 * len(texts[i]) for i in (1, 2, 3))
+    packed = monotone[3].groupBy("doc_id").count().collect()
+    assert sorted(r["doc_id"] - 900_000 for r in packed) == sorted(kept)
