@@ -4,7 +4,9 @@ import fnmatch
 import random
 import re
 
+import duckdb
 import numpy as np
+import pyarrow as pa
 
 from scansio.llm import licenses, quality, urls
 from scansio.llm.queries import RULES
@@ -46,23 +48,103 @@ def test_quality_of_odd_tables(spark):
     assert quality.digests(docs.limit(0), labels).count() == 0
 
 
-def test_sizes_prune_no_match(spark):
-    texts = [licenses.TEMPLATES[1][1], "x\n" + licenses.TEMPLATES[0][1].upper() + "\nreleased under the mit license!", None, "",
-             "Released under the MIT", "\n".join([licenses.TEMPLATES[3][1]] * 3), "word " * 30000, "released  under, the - MIT license ok"]
-    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0])], "doc_id bigint, text string")
-    got = {(r["doc_id"], r["licence"]): (r["n_lines"], r["best"]) for r in licenses.scan(docs).collect()}
-    want = {}
-    for i, text in [*enumerate(texts), (None, texts[0])]:
-        for line in (text or "").split("\n"):
-            a = set(licenses.template_bigrams(line))
-            for name, template in licenses.TEMPLATES:
-                b = set(licenses.template_bigrams(template))
+def plain_notices(text, templates, threshold=licenses.THRESHOLD):
+    """Windows of every place and length."""
+    words = licenses.words_of(text)
+    grams = list(zip(words, words[1:]))
+    best = []
+    for licence, template in templates:
+        b = {tuple(g.split()) for g in licenses.template_bigrams(template)}
+        fewest, longest = licenses.sizes(len(b), threshold)
+        for low in range(len(grams)):
+            top = (0, 0)
+            for high in range(low, min(low + longest, len(grams))):
+                a = set(grams[low:high + 1])
                 score = 2 * len(a & b) / (len(a) + len(b))
-                if score >= licenses.THRESHOLD:
-                    n, best = want.get((i, name), (0, 0))
-                    want[i, name] = n + 1, max(best, score)
-    assert got == want and len(want) >= 6
+                if len(a & b) >= fewest and score > top[0]:
+                    top = score, high
+            if top[0] >= threshold and grams[low] in b:
+                best.append((licence, low, top[1], top[0]))
+    kept = [x for x in best if not any(y[1] <= x[2] and y[2] >= x[1] and (y[3], y[2] - y[1]) > (x[3], x[2] - x[1]) for y in best)]
+    out = []
+    for licence in sorted({x[0] for x in kept}):
+        merged = []
+        for _, low, high, score in sorted(x for x in kept if x[0] == licence):
+            if merged and low <= merged[-1][1]:
+                merged[-1] = merged[-1][0], max(high, merged[-1][1]), max(score, merged[-1][2])
+            else:
+                merged.append((low, high, score))
+        out += [(licence, low, high + 1, score) for low, high, score in merged]
+    return out
+
+
+def test_notices_against_all_windows(monkeypatch):
+    draw = random.Random(5)
+    letters = "abcdef"
+    for turn in range(150):
+        monkeypatch.setattr(licenses, "STEP", draw.choice([3, 1 << 16]))
+        monkeypatch.setattr(licenses, "CUT", draw.choice([1, 7, 1 << 20]))
+        letters = "abcdef"[:draw.randint(2, 6)]
+        templates = [(draw.choice("XYZ"), " ".join(draw.choices(letters, k=draw.randint(1, 14)))) for _ in range(4)]
+        texts = []
+        for _ in range(5):
+            parts = [draw.choice([draw.choice(templates)[1].upper(), " ".join(draw.choices(letters + "qrs", k=draw.randint(0, 9)))])
+                     for _ in range(draw.randint(0, 6))]
+            texts.append(draw.choice([" ", "\n", ", "]).join(parts))
+        texts += [None, "", "\u00e9a b\u212a"]
+        threshold = draw.choice([0.6, 0.8, 1.0])
+        got = licenses.Templates(templates, threshold).scan(texts)
+        assert [list(map(tuple, g)) for g in got] == [plain_notices(t or "", templates, threshold) for t in texts]
+
+
+def licences_in(text):
+    return {n.licence for n in licenses.Templates(licenses.TEMPLATES, licenses.THRESHOLD).scan([text])[0]}
+
+
+def test_notices_that_users_meet():
+    bodies = dict(licenses.BODIES)
+    wrapped = "\n".join(" * " + bodies["Apache-2.0"][i:i + 60] for i in range(0, len(bodies["Apache-2.0"]), 60))
+    for text, want in (
+            ("Licensed under the MIT License.", {"MIT"}), ("This project is released under the MIT License.", {"MIT"}),
+            ("Some prose. It is available under the terms of the MIT License, as you like. More prose.", {"MIT"}),
+            ("# distributed under the\n# MIT\n# License", {"MIT"}), ("// SPDX-License-Identifier: MIT", {"MIT"}),
+            ("This file is licensed under the Apache License, Version 2.0 (the \"License\");", {"Apache-2.0"}),
+            ("x " * 500 + wrapped + " y" * 500, {"Apache-2.0"}),
+            ("Code under the GNU General Public License, version 2, or later", {"GPL-2.0"}),
+            ("is licensed under the GNU Lesser General Public License version 3.", {"LGPL-3.0"}),
+            (bodies["MIT"].replace("this software and", "this program and"), {"MIT"}),
+            (bodies["BSD-2-Clause"], {"BSD-2-Clause"}), (bodies["BSD-3-Clause"], {"BSD-3-Clause"}),
+            (bodies["GPL-3.0"], {"GPL-3.0"}), (bodies["AGPL-3.0"], {"AGPL-3.0"}),
+            ("Text is licensed under CC BY-NC 4.0; code under the MIT License.", {"CC-BY-NC-4.0", "MIT"}),
+            ("licensed under a Creative Commons Attribution-ShareAlike 4.0 International License", {"CC-BY-SA-4.0"}),
+            ("He went to MIT and holds a driving license.", set()), ("Licensed under the laws of Malta.", set()),
+            ("SPDX-License-Identifier: Unknown-1.0", set()), ("released under the", set()), ("MIT", set()),
+            ("The GNU project and the Apache foundation met.", set())):
+        assert licences_in(text) == want, text
+
+
+def test_licences_of_odd_tables(spark):
+    texts = ["Licensed under the MIT License.", "x\nreleased under the mit license!\nUNDER THE MIT LICENSE", None, "", "license",
+             "word " * 30000 + "under the MIT License", "under the MIT License " * 30000]
+    rows = [(k, t, "a", 1.0) for k, t in enumerate(texts)] + [(None, texts[0], "b", None), (None, texts[0], "b", None), (0, texts[0], "a", 1.0)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, licence string, score double")
+    got = {(r["doc_id"], r["licence"]): (r["n_notices"], r["n_words"], r["best"]) for r in licenses.scan(docs).collect()}
+    assert got == {(0, "MIT"): (2, 8, 1.0), (1, "MIT"): (2, 8, 1.0), (5, "MIT"): (1, 4, 1.0), (6, "MIT"): (30000, 120000, 1.0),
+                   (None, "MIT"): (2, 8, 1.0)}
     assert licenses.scan(docs.limit(0)).count() == 0
+    assert licenses.scan(docs, []).count() == 0
+
+
+def test_licence_sql_on_mixed_texts(spark):
+    draw = random.Random(8)
+    texts = [draw.choice([" ", "\n"]).join(" ".join(draw.choices(t.split(), k=4)) if draw.random() < 0.2 else " ".join(
+        w for w in t.split() if draw.random() > 0.04) for _, t in draw.choices(licenses.TEMPLATES, k=draw.randint(1, 5)))
+        for _ in range(60)] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    con = duckdb.connect()
+    con.register("documents", pa.table({"doc_id": list(range(len(texts))), "text": texts}))
+    got = sorted(map(tuple, licenses.scan(docs).collect()))
+    assert got == sorted(con.execute(licenses.scan_sql()).fetchall()) and len(got) > 50
 
 
 def test_automaton_is_fnmatch():
