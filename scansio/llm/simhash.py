@@ -2,9 +2,12 @@
 
 Equal fingerprints are one node.  The trie is walked in pairs of subtrees: two
 subtrees whose prefixes differ in more bits than allowed hold no link and are
-left.  The pairs of the first ``depth`` bits are dealt out as tasks, so a task
-holds two subtrees of bounded average size; inside it the walk goes on bit by
-bit, all pairs of a level side by side, and small subtrees are compared whole.
+left.  The upper trie is walked as tables: fingerprints are counted by their
+first bits, a subtree that is too large is counted again by some bits more, and
+the pairs of subtrees that may hold a link are dealt out as tasks, so a task
+holds two subtrees of bounded size however crowded a prefix is.  Inside it the
+walk goes on bit by bit, all pairs of a level side by side, and small subtrees
+are compared whole.
 A task returns a spanning forest of the links it found, not the links, so a
 large family of near copies stays as large as its members.
 """
@@ -12,6 +15,7 @@ large family of near copies stays as large as its members.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +25,13 @@ from pyspark.sql import functions as F
 
 from scansio.llm.common import by_slice, extended
 from scansio.llm.components import components
-from scansio.session import stage
+from scansio.session import bounded, stage
 
 SEED = 42
-#: Fingerprints of a subtree that one task holds, on average.
-SUBTREE = 1 << 15
+#: Fingerprints of a subtree: an eighth of all, but within these bounds.
+SUBTREE = 1 << 14, 1 << 20
+#: Bits by which a crowded subtree is split further, and the depth where splitting ends.
+DEEPER, DEEPEST = 4, 60
 #: Two subtrees with at most this many pairs are compared whole.
 WHOLE = 256
 #: Pairs of subtrees, or of fingerprints, in one step.
@@ -167,28 +173,65 @@ class Forest:
         return child, self.root[child]
 
 
+def node_at(depth: int) -> Column:
+    """The trie's node over ``hash`` at a depth of one or more: its bits behind a leading one."""
+    return F.shiftrightunsigned("hash", 64 - depth).bitwiseOR(F.lit(1 << depth).cast("long"))
+
+
+def subtrees(hashes: DataFrame, base: int, limit: int) -> DataFrame:
+    """``node``: subtrees of ``base`` bits or more that hold every fingerprint once, at most ``limit`` each."""
+    found, crowded, depth = [], None, base
+    while True:
+        rows = hashes.select(node_at(depth).alias("node"))
+        if crowded is not None:
+            above = F.shiftright("node", depth - last)
+            rows = rows.join(bounded(crowded, "crowded"), above == F.col("above"), "left_semi")
+        sizes = stage(rows.groupBy("node").count(), "subtrees")
+        small = (F.col("count") <= limit) | F.lit(depth >= DEEPEST)
+        found.append(sizes.filter(small).select("node"))
+        crowded = sizes.filter(~small).select(F.col("node").alias("above"))
+        if crowded.isEmpty():
+            return reduce(DataFrame.union, found)
+        last, depth = depth, min(depth + DEEPER, DEEPEST)
+
+
+def subtree_pairs(nodes: DataFrame, base: int, errors: int) -> DataFrame:
+    """``one, two``: pairs of subtrees, each with itself too, whose common depth differs in at most ``errors`` bits."""
+    deep = nodes.withColumn("depth", F.length(F.bin("node")) - 1).withColumn(
+        "top", F.expr(f"shiftright(node, cast(depth - {base} as int))"))
+    near = F.array(*[F.lit(m).cast("long") for m in masks(base, errors)])
+    left = deep.withColumn("mask", F.explode(near)).select(
+        F.col("node").alias("one"), F.col("depth").alias("depth1"), F.col("top").bitwiseXOR(F.col("mask")).alias("top"))
+    both = left.join(deep.withColumnRenamed("node", "two"), "top").filter("one <= two")
+    common = "least(depth1, depth)"
+    return both.filter(F.expr(f"bit_count(shiftright(one, cast(depth1 - {common} as int))"
+                              f" ^ shiftright(two, cast(depth - {common} as int))) <= {errors}")).select("one", "two")
+
+
 def links(hashes: DataFrame, errors: int, count: int) -> DataFrame:
     """``a, b``: a forest that links what the near pairs of distinct ``hash`` values link.
 
-    ``count`` sizes the subtrees and changes no result.
+    ``hashes`` is a stored table of ``count`` rows; the count sizes the subtrees and changes no result.
     """
-    depth = max(0, (max(1, count) // SUBTREE).bit_length())
-    prefix = F.shiftrightunsigned("hash", 64 - depth) if depth else F.lit(0).cast("long")
-    near = F.array(*[F.lit(m).cast("long") for m in masks(depth, errors)])
-    dealt = (hashes.select("hash", prefix.alias("prefix")).withColumn("mask", F.explode(near))
-             .select("hash", F.least("prefix", F.col("prefix").bitwiseXOR(F.col("mask"))).alias("one"),
-                     F.greatest("prefix", F.col("prefix").bitwiseXOR(F.col("mask"))).alias("two")))
+    limit = min(max(count // 8, SUBTREE[0]), SUBTREE[1])
+    base = max(1, min((count // limit).bit_length(), DEEPEST))
+    nodes = stage(subtrees(hashes, base, limit), "nodes")
+    pairs = subtree_pairs(nodes, base, errors)
+    sides = pairs.select("one", "two", F.explode(F.array(F.lit(False), F.lit(True))).alias("second")).filter(
+        "one < two or not second").withColumn("node", F.when(F.col("second"), F.col("two")).otherwise(F.col("one")))
+    depths = [r[0] for r in nodes.select(F.length(F.bin("node")) - 1).distinct().collect()]  # at most sixty
+    above = F.array(*[node_at(d) for d in sorted(depths)]) if depths else F.array().cast("array<bigint>")
+    dealt = (hashes.select("hash", F.explode(above).alias("node")).join(bounded(sides, "sides"), "node")
+             .select("one", "two", "hash", "second"))
 
     def task(key: tuple, rows: pa.Table) -> pa.Table:
         one, two = key[0].as_py(), key[1].as_py()
-        values = np.sort(rows.column("hash").to_numpy().view(np.uint64))
-        if one == two:
-            a, b = values, None
-        else:
-            border = int(np.searchsorted(values, np.uint64(two) << np.uint64(64 - depth)))
-            a, b = values[:border], values[border:]
+        values = rows.column("hash").to_numpy().view(np.uint64)
+        second = rows.column("second").to_numpy()
+        a, b = np.sort(values[~second]), None if one == two else np.sort(values[second])
+        values = a if b is None else np.concatenate((a, b))
         forest = Forest(len(values))
-        for i, j in trie_join(a, b, depth, errors):
+        for i, j in trie_join(a, b, min(one.bit_length(), two.bit_length()) - 1, errors):
             forest.join(i, j if b is None else j + len(a))
         child, root = forest.edges()
         return pa.table([pa.array(values[child].view(np.int64)), pa.array(values[root].view(np.int64))], names=["a", "b"])

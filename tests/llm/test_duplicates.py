@@ -93,9 +93,10 @@ def near_texts():
     return rows
 
 
-@pytest.mark.parametrize("subtree", [1 << 15, 4])
+@pytest.mark.parametrize("subtree", [simhash.SUBTREE, (1, 4)])
 def test_simhash_against_brute_force(spark, monkeypatch, subtree):
     monkeypatch.setattr(simhash, "SUBTREE", subtree)
+    monkeypatch.setattr(simhash, "DEEPER", 12)
     rows = TEXTS + near_texts()
     prints = [(i, plain_fingerprint(t)) for i, t in rows]
     values = {f for _, f in prints}
@@ -115,6 +116,29 @@ def test_simhash_against_brute_force(spark, monkeypatch, subtree):
     assert simhash.keep_one(frame(spark, rows).limit(0)).count() == 0
 
 
+def test_crowded_prefixes_are_split(spark, monkeypatch):
+    """A third of all fingerprints under one long prefix; the others near its border or anywhere."""
+    monkeypatch.setattr(simhash, "SUBTREE", (1, 20))
+    monkeypatch.setattr(simhash, "DEEPER", 8)
+    draw = np.random.default_rng(6)
+    prefix = np.uint64(0b1011 << 60 | 0x5A5A5A << 24)
+    dense = prefix ^ (np.uint64(1) << draw.integers(0, 40, 150, dtype=np.uint64)) ^ draw.integers(0, 1 << 6, 150, dtype=np.uint64)
+    border = dense[:60] ^ (np.uint64(1) << draw.integers(30, 64, 60, dtype=np.uint64))
+    values = np.unique(np.concatenate((dense, border, draw.integers(0, 1 << 64, 100, dtype=np.uint64))))
+    hashes = spark.createDataFrame([(int(v),) for v in values.view(np.int64)], "hash bigint")
+    nodes = [r["node"] for r in simhash.subtrees(hashes, 2, 20).collect()]
+    holders = [[n for n in nodes if (int(v) | 1 << 64) >> (65 - n.bit_length()) == n] for v in values]
+    assert all(len(h) == 1 for h in holders)
+    assert max(holders.count([n]) for n in nodes) <= 20 and max(n.bit_length() for n in nodes) > 30
+    pairs = sorted(map(tuple, simhash.subtree_pairs(spark.createDataFrame([(n,) for n in nodes], "node bigint"), 2, 3).collect()))
+    want = sorted((min(a, b), max(a, b)) for k, a in enumerate(nodes) for b in nodes[k:]
+                  if (lambda m: ((a >> a.bit_length() - m) ^ (b >> b.bit_length() - m)).bit_count() <= 3)(min(a.bit_length(), b.bit_length())))
+    assert pairs == want
+    groups = reachable(values.tolist(), [(int(a), int(b)) for a in values for b in values if int(a ^ b).bit_count() <= 3])
+    found = reachable(values.tolist(), [(r["a"] % (1 << 64), r["b"] % (1 << 64)) for r in simhash.links(hashes, 3, len(values)).collect()])
+    assert found == groups and len(set(groups.values())) < len(values) - 100
+
+
 # repeated passages
 
 def passages():
