@@ -29,7 +29,7 @@ from scansio.session import bounded, stage
 
 SEED = 42
 #: Fingerprints of a subtree: an eighth of all, but within these bounds.
-SUBTREE = 1 << 14, 1 << 20
+SUBTREE = 1 << 10, 1 << 20
 #: Bits by which a crowded subtree is split further, and the depth where splitting ends.
 DEEPER, DEEPEST = 4, 60
 #: Two subtrees with at most this many pairs are compared whole.
