@@ -7,6 +7,7 @@ from scansio.checks.registry import KEY, ORDER, check, joined, kept, pool, r6
 from scansio.functions.text import clean_label
 from scansio.operators import features
 from scansio.operators.metrics import vector_moments
+from scansio.session import stage
 
 
 def _vocabulary(spark, folder):
@@ -26,6 +27,13 @@ def vocab_rank(spark, folder):
     return _vocabulary(spark, folder)
 
 
+@check("vocab_threshold", "SELECT word, count, idx FROM vocab")
+def vocab_threshold(spark, folder):
+    """The same vocabulary, with a threshold that keeps rare words out of the shuffle."""
+    lines = stage(pool(spark, folder).select("doc_id", "pos", "text"), "lines")
+    return features.vocabulary_by_threshold(lines, "text", "doc_id", "pos")
+
+
 _ENCODED = """SELECT k.lang, k.text, coalesce(list(v.idx ORDER BY w.place) FILTER (WHERE v.idx IS NOT NULL), [])
     AS seq FROM kept k
     LEFT JOIN (SELECT lang, text, unnest(ws) AS word, unnest(range(len(ws))) AS place FROM (

@@ -51,6 +51,47 @@ def vocabulary(df: DataFrame, text: str, source: str, position: str,
     return bounded(top.withColumn("idx", rank).select("word", "count", "idx"), "vocabulary")
 
 
+def vocabulary_by_threshold(df: DataFrame, text: str, source: str, position: str, max_features: int = MAX_FEATURES,
+                            sample: int = 64, buckets: int = 1 << 18) -> DataFrame:
+    """As ``vocabulary``, for corpora with far more different words than the vocabulary holds.
+
+    Lines are read three times, so pass a staged table, and words that cannot
+    make it are never shuffled one by one:
+
+    1. One line in ``sample`` names candidates.  They decide the cost, not the result.
+    2. Candidates are counted exactly over all lines, all other words together
+       per hash bucket, so a task sends at most as many rows as there are
+       candidates and buckets.  The count of the last candidate that would fill
+       the vocabulary is the threshold.
+    3. Words of buckets that reach the threshold are counted one by one.  A word
+       in any other bucket is rarer than each of ``max_features - 1`` candidates.
+
+    Fewer candidates than places make the threshold zero: all words are counted.
+    """
+    size = max_features - 1
+    order = [F.desc("count"), F.asc("seen")]
+    tokens = df.select(source, position, F.posexplode(tokenise(text)).alias("place", "word"))
+    picked = df.filter(F.pmod(F.xxhash64(source, position), F.lit(sample)) == 0)
+    candidates = bounded(token_counts(picked, text, source, position).orderBy(*order).limit(2 * size)
+                         .select("word"), "candidates")
+    counting = [F.count("*").alias("count"), F.min(first_seen(source, position, "place")).alias("seen")]
+    bucket = F.pmod(F.xxhash64("word"), F.lit(buckets)).cast("int")
+    known = F.col("known").isNotNull()
+    totals = stage(
+        tokens.join(candidates.withColumn("known", F.lit(1)), "word", "left")
+        .groupBy(F.when(known, F.col("word")).alias("word"), F.when(~known, bucket).alias("bucket"))
+        .agg(*counting), "totals")
+    exact = totals.filter(F.col("word").isNotNull()).select("word", "count", "seen")
+    last = exact.orderBy(F.desc("count")).limit(size).agg(F.count("*").alias("n"), F.min("count").alias("least")).first()
+    threshold = last["least"] if last["n"] == size else 0
+    open_buckets = bounded(totals.filter(F.col("word").isNull() & (F.col("count") >= threshold)).select("bucket"), "buckets")
+    others = (tokens.withColumn("bucket", bucket).join(open_buckets, "bucket", "left_semi")
+              .join(candidates, "word", "left_anti").groupBy("word").agg(*counting))
+    top = exact.unionByName(others).orderBy(*order).limit(size)
+    rank = F.row_number().over(Window.orderBy(*order))
+    return bounded(top.withColumn("idx", rank).select("word", "count", "idx"), "vocabulary")
+
+
 def encode_tokens(df: DataFrame, key: Sequence[str], text: str, vocab: DataFrame,
                   partitioned: bool = False) -> DataFrame:
     """Lines as vocabulary indexes in word order; unknown words are dropped.

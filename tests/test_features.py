@@ -16,6 +16,37 @@ def test_vocabulary_order_and_size(spark):
     assert features.vocabulary(df, "text", "doc", "pos", max_features=3).count() == 2
 
 
+@pytest.mark.parametrize("sample, buckets", [(1, 1 << 18), (4, 64), (4, 1), (10**9, 64)])
+def test_vocabulary_by_threshold_is_the_vocabulary(spark, sample, buckets):
+    """Whatever the candidates and buckets: ties at the last place, a third of all words the same, many rare ones."""
+    df = spark.range(3000).select(
+        F.col("id").alias("doc"), F.lit(0).alias("pos"),
+        F.concat_ws(" ", F.lit("hot"), F.concat(F.lit("w"), F.col("id") % 40), F.concat(F.lit("r"), F.col("id") % 1500))
+        .alias("text")).unionByName(spark.createDataFrame([(2, 1, None), (3, 1, "")], "doc bigint, pos int, text string"))
+    for features_ in (2, 30, 500, 5000):
+        want = features.vocabulary(df, "text", "doc", "pos", features_).orderBy("idx").collect()
+        got = features.vocabulary_by_threshold(df, "text", "doc", "pos", features_, sample, buckets)
+        assert got.orderBy("idx").collect() == want
+    assert features.vocabulary_by_threshold(df.limit(0), "text", "doc", "pos").count() == 0
+
+
+def test_rare_words_stay_out_of_the_shuffle(spark):
+    """100,000 words that occur once or twice: none of their buckets reaches the threshold."""
+    df = spark.range(100_000).select(
+        F.col("id").alias("doc"), F.lit(0).alias("pos"),
+        F.concat_ws(" ", F.concat(F.lit("w"), F.col("id") % 20), F.concat(F.lit("r"), "id")).alias("text"))
+    store = spark.sparkContext._jsc.sc().statusStore()
+
+    def written(work):
+        before = store.executorSummary("driver").totalShuffleWrite()
+        rows = work(df, "text", "doc", "pos", 11).collect()
+        return rows, store.executorSummary("driver").totalShuffleWrite() - before
+
+    want, plain = written(features.vocabulary)
+    got, cut = written(lambda *a: features.vocabulary_by_threshold(*a, buckets=1 << 10))
+    assert sorted(got) == sorted(want) and cut < plain / 4
+
+
 def test_first_seen_orders_wide_ids(spark):
     rows = spark.createDataFrame(
         [(2**62, 2**31 - 1, 5), (2**62, 2**31 - 1, 4), (2**62 - 1, 0, 9)], "d bigint, p int, i int")
