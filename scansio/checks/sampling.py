@@ -65,16 +65,14 @@ _PARTS = f"""SELECT lang, text, length, 'pool' AS part FROM pool UNION ALL
     FROM external e JOIN ({_SIZES}) s ON s.lang = e.lang"""
 
 
-def _rebalanced(spark, folder):
+def _rebalanced(spark, folder, strata=None):
     outside = stage(external(spark, folder), "external")
-    inside = stage(pool(spark, folder, held=outside), "pool")
-    sizes = stage(sampling.rebalance_sizes(inside, outside, ["lang"]), "sizes")
-    return sampling.rebalance(inside, outside, sizes, ["lang"], KEY), sizes
+    return sampling.rebalanced(pool(spark, folder, held=outside), outside, ["lang"], KEY, strata)
 
 
 @check("rebalance", f"SELECT lang, text, part FROM ({_PARTS})")
 def rebalance(spark, folder):
-    return _rebalanced(spark, folder)[0].select("lang", "text", "part")
+    return _rebalanced(spark, folder).select("lang", "text", "part")
 
 
 _LENGTH_QUOTAS = _quotas(
@@ -87,10 +85,8 @@ _LENGTH_QUOTAS = _quotas(
     ORDER BY md5('42|' || r.lang || '|' || r.text)) <= q.quota THEN 'dev' ELSE 'train' END AS split
     FROM ({_PARTS}) r JOIN ({_LENGTH_QUOTAS}) q ON q.lang = r.lang AND q.length = r.length WHERE r.part <> 'test'""")
 def split_stratified_n(spark, folder):
-    rows, sizes = _rebalanced(spark, folder)
-    dev = sizes.select("lang", F.col("dev").alias("size"))
-    return sampling.split_stratified(rows.filter("part <> 'test'"), ["lang"], "length", KEY, sizes=dev).select(
-        "lang", "text", "split")
+    rows = _rebalanced(spark, folder, "length")
+    return rows.filter("part <> 'test'").select("lang", "text", "split")
 
 
 @check("cap_per_group", f"""SELECT lang, text, meter FROM kept

@@ -65,12 +65,15 @@ def id_digits(df: DataFrame, column: str) -> list[Column]:
 
 
 def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Sequence[Column],
-              sizes: DataFrame | Sequence[Column], names: Sequence[str], leaf_rows: int = LEAF_ROWS) -> DataFrame:
+              sizes: DataFrame | Sequence[Column] | Callable[[DataFrame], DataFrame], names: Sequence[str],
+              leaf_rows: int = LEAF_ROWS, also: Sequence[str] = ()) -> DataFrame:
     """The order keys with which the named parts of each group end: ``by..., cut_<name>...``.
 
     ``sizes`` says how many rows each part has: expressions of ``n``, the rows
-    of the group, or a table ``by..., names...``.  The first pass counts rows per
-    group and first digit, which gives group sizes as well as cells.  ``digits``
+    of the group, a table ``by..., names...``, or a function from the table
+    ``by..., n`` to one.  The first pass counts rows per group and first digit,
+    which gives group sizes as well as cells.  Expressions named in ``also`` are
+    returned with the cuts.  ``digits``
     are leading parts of the order key, each with at most 65,536 values once the
     earlier ones are fixed.  They are used until every cell left holds at most
     ``leaf_rows`` rows, which are then ranked.
@@ -84,8 +87,11 @@ def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Se
         return (cells.filter((F.col("k") <= F.col("upto")) & (F.col("k") > before))
                 .withColumn("k", F.col("k") - before).drop("upto"))
 
-    counts = (keep.groupBy(*by, "digit0").agg(F.count("*").alias("cell_rows"))
-              .withColumn("upto", F.sum("cell_rows").over(group.orderBy("digit0"))))
+    histogram = keep.groupBy(*by, "digit0").agg(F.count("*").alias("cell_rows"))
+    if callable(sizes):
+        histogram = stage(histogram, "histogram")
+        sizes = sizes(histogram.groupBy(*by).agg(F.sum("cell_rows").alias("n")))
+    counts = histogram.withColumn("upto", F.sum("cell_rows").over(group.orderBy("digit0")))
     if isinstance(sizes, DataFrame):
         counts = join_null_safe(counts, sizes.select(*by, *names), by)
     else:
@@ -94,7 +100,7 @@ def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Se
     for name in names:
         total = total + F.col(name)
         ends.append(F.struct(F.lit(name).alias("target"), total.cast("bigint").alias("k")))
-    cells = bounded(ends_here(counts.select(*by, "digit0", "cell_rows", "upto", F.inline(F.array(*ends)))), "cells")
+    cells = bounded(ends_here(counts.select(*by, *also, "digit0", "cell_rows", "upto", F.inline(F.array(*ends)))), "cells")
     prefix = ["digit0"]
     for i in range(1, len(digits)):
         if cells.filter(F.col("cell_rows") > leaf_rows).isEmpty():
@@ -106,14 +112,17 @@ def rank_cuts(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Se
         cells = bounded(ends_here(join_null_safe(counts, cells.drop("cell_rows"), by + prefix)), "cells")
         prefix = prefix + [f"digit{i}"]
     rank = F.row_number().over(Window.partitionBy(*by, "target").orderBy(*order))
-    last = join_null_safe(keep, cells, by + prefix).withColumn("rank", rank).filter(F.col("rank") == F.col("k"))
+    # dealt by group, which serves the ranking of cells as well as the cuts
+    last = (join_null_safe(keep, cells, by + prefix).repartition(*by).withColumn("rank", rank)
+            .filter(F.col("rank") == F.col("k")))
     cuts = [F.first(F.when(F.col("target") == name, F.struct(*order)), ignorenulls=True).alias(f"cut_{name}")
             for name in names]
-    return bounded(last.groupBy(*by).agg(*cuts), "cuts")
+    return bounded(last.groupBy(*by).agg(*cuts, *[F.first(c).alias(c) for c in also]), "cuts")
 
 
 def label_by_rank(df: DataFrame, by: Sequence[str], order: Sequence[str], digits: Sequence[Column],
-                  sizes: DataFrame | Sequence[Column], names: Sequence[str], rest: str, column: str = "split",
+                  sizes: DataFrame | Sequence[Column] | Callable[[DataFrame], DataFrame], names: Sequence[str],
+                  rest: str, column: str = "split",
                   leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """Name the first ``sizes[names[0]]`` rows of each group after the first name, and so on.
 
@@ -196,12 +205,13 @@ def split_stratified(df: DataFrame, by: Sequence[str], strata: str, key: Sequenc
     """
     by = list(by)
     rows = with_hash(df, key, seed)
-    counts = rows.groupBy(*by, strata).agg(F.count("*").alias("n"))
-    if sizes is None:
-        size = part_size("total", fraction)
-    else:
-        counts, size = join_null_safe(counts, sizes.withColumnRenamed("size", "wanted"), by), F.col("wanted")
-    shares = bounded(quotas(counts, by, strata, size, held), "shares")
+
+    def shares(counts: DataFrame) -> DataFrame:
+        if sizes is None:
+            return quotas(counts, by, strata, part_size("total", fraction), held)
+        wanted = join_null_safe(counts, sizes.withColumnRenamed("size", "wanted"), by)
+        return quotas(wanted, by, strata, F.col("wanted"), held)
+
     return label_by_rank(rows, [*by, strata], DRAW, hash_digits("h"), shares, [held], rest,
                          leaf_rows=leaf_rows).drop(*DRAW)
 
@@ -257,6 +267,44 @@ def rebalance(pool: DataFrame, test: DataFrame, sizes: DataFrame, by: Sequence[s
     return pool.withColumn("part", F.lit("pool")).unionByName(drawn.drop(ALL), allowMissingColumns=True)
 
 
+@any_group
+def rebalanced(pool: DataFrame, test: DataFrame, by: Sequence[str], key: Sequence[str], strata: str | None = None,
+               train: float = 0.7, seed: int = SEED, leaf_rows: int = LEAF_ROWS) -> DataFrame:
+    """``rebalance`` and the draw of dev from one table of both sides: ``part``, and with ``strata`` also ``split``.
+
+    Pool rows come first in the order of the cut, so the pool and the rows that
+    move are its first ``train + dev`` rows, and that number follows from the
+    rows of both sides together: one histogram gives sizes and moves.  A second
+    one, of the rows that are left to fit on, gives the shares of each class and
+    the cells of their cuts.  Both sides are written once, with their draw order.
+    """
+    by = list(by)
+    both = pool.withColumn("side", F.lit(0)).unionByName(test.withColumn("side", F.lit(1)), allowMissingColumns=True)
+    rows = with_hash(both, key, seed)
+    goal = F.floor(F.col("n").cast("double") * F.lit(float(train))).cast("bigint")
+    dev = F.floor((F.col("n") - goal) / 2).cast("bigint")
+    order = ["side", *DRAW]
+    first, *later = hash_digits("h")
+    cuts = rank_cuts(rows, by, order, [F.concat("side", first), *later],
+                     [(goal + dev).alias("fit"), dev.alias("wanted")], ["fit"], leaf_rows, ["wanted"])
+    fit = F.coalesce(F.struct(*order) <= F.col("cut_fit"), F.lit(False))
+    marked = join_null_safe(rows, cuts, by, "left").withColumn("fit", fit).drop("cut_fit", "wanted")
+    inside, short = F.col("side") == 0, F.lit("test set cannot supply the rows to move")
+    part = (F.when(inside & F.col("fit"), "pool").when(inside, F.raise_error(short).cast("string"))
+            .when(F.col("fit"), "moved").otherwise("test"))
+    if strata is None:
+        return marked.withColumn("part", part).drop("side", "fit", *DRAW)
+
+    def shares(counts: DataFrame) -> DataFrame:
+        return quotas(join_null_safe(counts, cuts.select(*by, "wanted"), by), by, strata, F.col("wanted"), "dev")
+
+    held = rank_cuts(marked.filter("fit"), [*by, strata], DRAW, hash_digits("h"), shares, ["dev"], leaf_rows)
+    split = (F.when(F.col("part") == "test", "test").when(F.struct(*DRAW) <= F.col("cut_dev"), "dev")
+             .otherwise("train"))
+    return (join_null_safe(marked.withColumn("part", part), held, [*by, strata], "left")
+            .withColumn("split", split).drop("side", "fit", "cut_dev", *DRAW))
+
+
 @any_group
 def split_positional(df: DataFrame, by: Sequence[str], source: str, position: str,
                      percent: int = 75, first: str = "train", rest: str = "eval",

@@ -17,7 +17,7 @@ from scansio.operators.dedup import dedup_first, remove_leakage
 from scansio.operators.features import label_index
 from scansio.operators.filters import drop_baseline, drop_irregular, keep_lengths, reviewed
 from scansio.operators.sampling import (
-    cap_per_group, rebalance, rebalance_sizes, split_exact, split_stratified, split_three_way)
+    cap_per_group, rebalanced, split_exact, split_stratified, split_three_way)
 from scansio.session import stage
 
 TEXT_KEY = ("lang", "text")
@@ -53,17 +53,11 @@ def prepare_three_way(corpus: DataFrame, order: Sequence[str], lengths: Sequence
 def prepare_rebalanced(pool: DataFrame, test: DataFrame, order: Sequence[str],
                        lengths: Sequence[int] = S.VERSE_LENGTHS, cap: int = 300) -> DataFrame:
     """Capped pool, topped up from the external test set, dev stratified by length."""
-    by = ["lang"]
     held = stage(keep_lengths(clean_corpus(test, order), lengths), "external")
     free = remove_leakage(clean_corpus(reviewed(pool), order, marked=True), held, TEXT_KEY)
     kept = drop_irregular(keep_lengths(free, lengths))
-    capped = stage(cap_per_group(kept, ["lang", "meter"], TEXT_KEY, cap), "pool")
-    sizes = stage(rebalance_sizes(capped, held, by), "sizes")
-    parts = rebalance(capped, held, sizes, by, TEXT_KEY)
-    fit = split_stratified(parts.filter(F.col("part") != "test"), by, "length", TEXT_KEY,
-                           sizes=sizes.select("lang", F.col("dev").alias("size")))
-    rest = parts.filter(F.col("part") == "test").withColumn("split", F.lit("test"))
-    return drop_baseline(fit.unionByName(rest)).drop("part")
+    capped = cap_per_group(kept, ["lang", "meter"], TEXT_KEY, cap)
+    return drop_baseline(rebalanced(capped, held, ["lang"], TEXT_KEY, "length")).drop("part")
 
 
 def prepare_ngram(pool: DataFrame, order: Sequence[str], test: DataFrame | None = None,

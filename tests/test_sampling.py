@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scansio.operators import sampling as S
+from scansio.session import stage
 from tests.plans import plan_text
 
 
@@ -85,6 +86,56 @@ def test_published_rebalance(spark):
     assert got == {"pool": 1771, "moved": 528, "test": 406}
 
 
+@pytest.mark.parametrize("leaf_rows", [1, 1_000_000])
+def test_one_table_of_both_sides_gives_the_same_draw(spark, leaf_rows):
+    """Parts and dev rows are those of sizes, moves and a stratified draw taken one after the other; a group is missing."""
+    pool, test = (spark.range(n).select(
+        F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 3 == 0, "de").otherwise("en").alias("lang"),
+        F.concat(F.lit(name), "id").alias("text"), (F.col("id") % 4).alias("length")) for name, n in (("p", 400), ("e", 300)))
+    sizes = S.rebalance_sizes(pool, test, ["lang"])
+    parts = S.rebalance(pool, test, sizes, ["lang"], ["lang", "text"]).cache()
+    fit = S.split_stratified(parts.filter("part <> 'test'"), ["lang"], "length", ["lang", "text"],
+                             sizes=sizes.select("lang", F.col("dev").alias("size")))
+    want = {(r.text, r.part, r.split) for r in fit.collect()} | {
+        (r.text, r.part, "test") for r in parts.filter("part = 'test'").collect()}
+    got = S.rebalanced(pool, test, ["lang"], ["lang", "text"], "length", leaf_rows=leaf_rows)
+    assert got.columns == ["lang", "text", "length", "part", "split"]
+    assert {(r.text, r.part, r.split) for r in got.collect()} == want and got.count() == 700
+
+
+def test_rebalanced_reads_few_times(spark):
+    """Both sides are written once with their draw order; the steps one after the other write them three times."""
+    pool, test = (stage(spark.range(n).select(F.lit("en").alias("lang"), F.concat(F.lit(name), "id").alias("text"),
+                                              (F.col("id") % 4).alias("length")), "side") for name, n in (("p", 400), ("e", 300)))
+
+    def jobs(group, work):
+        spark.sparkContext.setJobGroup(group, group)
+        work().collect()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    def one_by_one():
+        sizes = stage(S.rebalance_sizes(pool, test, ["lang"]), "sizes")
+        parts = S.rebalance(pool, test, sizes, ["lang"], ["text"])
+        return S.split_stratified(parts.filter("part <> 'test'"), ["lang"], "length", ["text"],
+                                  sizes=sizes.select("lang", F.col("dev").alias("size")))
+
+    assert jobs("joint", lambda: S.rebalanced(pool, test, ["lang"], ["text"], "length")) < jobs("apart", one_by_one)
+    assert jobs("moves", lambda: S.rebalanced(pool, test, ["lang"], ["text"])) <= 10
+
+
+def test_rebalanced_without_a_group_or_rows_to_move(spark):
+    big = spark.range(1000).select(F.lit("en").alias("lang"), F.col("id").cast("string").alias("text"))
+    with pytest.raises(Exception, match="cannot supply"):
+        S.rebalanced(big, big.limit(10), ["lang"], ["text"]).collect()
+    got = S.rebalanced(big.limit(400), big, [], ["text"])
+    goal = int(1400 * 0.7)
+    dev = (1400 - goal) // 2
+    assert {r.part: r["count"] for r in got.groupBy("part").count().collect()} == {
+        "pool": 400, "moved": goal + dev - 400, "test": 1400 - goal - dev}
+    assert S.rebalanced(big.limit(0), big.limit(0), ["lang"], ["text"], "text").count() == 0
+
+
 def test_rebalance_needs_enough_test_rows(spark):
     big = spark.range(1000).select(F.lit("en").alias("lang"), F.col("id").cast("string").alias("text"))
     with pytest.raises(Exception, match="cannot supply"):
