@@ -22,13 +22,16 @@ def write_splits(rows: DataFrame, path: str, format: str = "csv") -> None:
     """Train, dev and test rows under ``lang=/split=``: the columns of ``SPLIT_ROW``, whatever else there is.
 
     Rows without ``sota`` get an empty one; another missing column is an error.
+    Rows meet those of their folder first, where adaptive execution cuts a large
+    folder into tasks of the advisory size and gives several small ones to one
+    task, so the number of files follows the bytes and not tasks times folders.
     """
     if "sota" not in rows.columns:
         rows = rows.withColumn("sota", F.lit(None).cast("string"))
     absent = [c for c in S.SPLIT_ROW.names if c not in rows.columns]
     if absent:
         raise ValueError(f"no column {', '.join(absent)} among {', '.join(rows.columns)}")
-    writer = rows.select(*S.SPLIT_ROW.names).write.partitionBy("lang", "split")
+    writer = rows.select(*S.SPLIT_ROW.names).hint("rebalance", "lang", "split").write.partitionBy("lang", "split")
     if format == "csv":
         writer.csv(path, header=True, **CSV)
     else:

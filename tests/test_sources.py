@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from scansio import schema as S
 from scansio.operators import dedup
@@ -28,6 +29,26 @@ def test_csv_quotes_breaks_and_blanks(spark, tmp_path):
     assert sorted(map(str, got)) == sorted(str(type(got[0])(text=a, stanza=b)) for a, b in rows)
 
 
+def test_files_of_splits_follow_their_size(spark, tmp_path):
+    """Six small folders are six files; a folder with most of the bytes is cut at the advisory size."""
+    names = spark.range(0, 40_000, numPartitions=16).select(
+        F.when(F.col("id") % 8 == 0, F.concat(F.lit("l"), F.col("id") % 3)).otherwise("l0").alias("lang"),
+        F.when(F.col("id") % 16 == 0, "dev").otherwise("train").alias("split"), F.repeat(F.md5(F.col("id").cast("string")), 4).alias("text"),
+        F.lit("+-").alias("meter"), F.lit(2).alias("length"))
+    writers.write_splits(names, str(tmp_path / "few"))
+    files = [str(p.parent.relative_to(tmp_path / "few")) for p in (tmp_path / "few").rglob("part-*")]
+    assert len(files) == len(set(files)) == 6
+    old = spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", str(1 << 20))
+    try:
+        writers.write_splits(names, str(tmp_path / "cut"))
+    finally:
+        spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", old)
+    files = [str(p.parent.relative_to(tmp_path / "cut")) for p in (tmp_path / "cut").rglob("part-*")]
+    assert files.count("lang=l0/split=train") > 1 and len(files) < 3 * 16
+    assert readers.read_splits(spark, str(tmp_path / "cut"), None).count() == 40_000
+
+
 def test_raw_lines_break_at_newlines_only(spark, tmp_path):
     (tmp_path / "a.txt").write_bytes("uno\rdos\n\ntres\n".encode())
     (tmp_path / "extra.txt").write_bytes(b"cuatro\n")
