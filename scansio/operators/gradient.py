@@ -2,16 +2,20 @@
 
 The parameters of a model are a table with one vector for each feature, dealt
 out by feature; no task and no driver holds them all.  Rows lie in parts of
-bounded size.  An iteration is two moves:
+bounded size, one packed row each, stored by part as the parameters are by
+feature: neither moves again.  An iteration is two moves:
 
-1. the vectors that a part's rows name are joined to the part, and one pass over
-   its rows gives the gradient by those vectors, summed inside the part;
+1. what a part needs to know of the vectors that its rows name is sent to it, and
+   one pass over its rows gives the gradient by that, summed inside the part;
 2. the sums are brought to their feature, which takes its step (Adagrad: each
    number divides its step by the root of its squared gradients so far).
 
-All labels, and for ``Linear`` all choices of a sweep, are columns of the same
-vectors, so an iteration costs one scan however many there are.  Sums are taken
-in the order of parts, so a fit repeats exactly.
+What is sent is one number for each label, not the vector: a score of ``LowRank``
+is a mean of products of a vector and a label's vector, which are taken where the
+vector lies, and so is the gradient, from the sums by label.  ``Linear`` sends the
+columns of the choices that still take steps.  All labels, and all choices of a
+sweep, are columns of the same vectors, so an iteration costs one scan however
+many there are.  Sums are taken in the order of parts, so a fit repeats exactly.
 
 ``Linear`` is a logistic regression for each position and choice; ``LowRank`` is
 one model for all positions: the mean of the vectors of a line's words and
@@ -28,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scansio.functions.binding import once
 from scansio.functions.meter import encode_meter
-from scansio.session import discard, new_path, stage
+from scansio.session import forget, new_path, shuffles_deleted, stage, stored, stored_by
 
 # The published settings of the n-gram baseline.
 DIM = 300
@@ -39,14 +44,17 @@ NGRAMS = 3
 BUCKETS = 2_000_000
 #: The mark that ends every line: a feature that all rows have.
 LINE_END = "</s>"
-#: Keys of parameters that every part needs; word features are not negative and n-gram features above these.
+#: Keys of the labels' vectors and of the loss; word features are not negative and n-gram features above these.
 LABELS, LOSS = -(1 << 62), -(1 << 62) + 1
-PART_ROWS = 1 << 14
+PART_ROWS = 1 << 17
+PART_TERMS = 1 << 22
 LEAST_ROWS = 256
 STRIP_ROWS = 1024
 SHARD_BYTES = 64 << 20
 TINY = 1e-12
 STATE = "feature bigint, w array<double>, s array<double>"
+PLACES = "places array<struct<part: bigint, at: int>>"
+PACKED = "part bigint, keys array<bigint>, named int, ids binary, place binary, sizes binary, counts binary, labels binary"
 
 
 # features
@@ -59,6 +67,7 @@ def word_feature(word: Column | str) -> Column:
 def term_features(text: Column, n: int, buckets: int) -> Column:
     """``feature, size`` of all words, the line's end and all n-grams up to ``n``; n-grams share ``buckets``."""
     words = F.concat(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != ""), F.array(F.lit(LINE_END)))
+    # the words of a line are found once, not once for each n-gram
 
     def grams(w: Column, size: int) -> Column:
         starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i <= F.size(w) - (size - 1))
@@ -67,33 +76,58 @@ def term_features(text: Column, n: int, buckets: int) -> Column:
             F.lit(size).alias("size")))
 
     single = lambda w: F.transform(w, lambda x: F.struct(word_feature(x).alias("feature"), F.lit(1).alias("size")))
-    return F.concat(single(words), *[grams(words, size) for size in range(2, n + 1)])
+    return once(words, lambda w: F.concat(single(w), *[grams(w, size) for size in range(2, n + 1)]))
 
 
 @dataclass
 class Features:
-    """Stored rows ``id, part, features, sizes, labels`` and what each part needs: ``part, feature``."""
+    """Rows ``id, part, features, sizes, labels``, the same packed by part, and what each part needs: ``part, feature, at``."""
 
     rows: DataFrame
+    packed: DataFrame
     needs: DataFrame
     count: int
     parts: int
 
 
+def spread_numbers(spark, n: int) -> list[int]:
+    """``n`` numbers that a hash exchange deals to ``n`` partitions, one each, as far as a few draws find them."""
+    found = spark.range(32 * n).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("at")).agg(F.min("id").alias("id")).collect() if n <= 1024 else []
+    return sorted(r["id"] for r in found) if len(found) == n else list(range(n))
+
+
+def packed_rows(rows: pa.Table) -> pa.Table:
+    """The rows of a part as one row; a term is its place among the different terms of the part."""
+    rows = rows.sort_by("id")
+    features, offsets = rows_of(rows.column("features"))
+    keys, place = np.unique(features, return_inverse=True)
+    labels = matrix_of(rows.column("labels"), rows.num_rows)
+    raw = [rows.column("id").to_numpy(), place.astype(np.int32), rows_of(rows.column("sizes"))[0].astype(np.int32),
+           np.diff(offsets).astype(np.int32), labels.astype(np.int8)]
+    return pa.table([rows.column("part").slice(0, 1), pa.array([keys], pa.list_(pa.int64())), pa.array([len(keys)], pa.int32()),
+                     *[pa.array([x.tobytes()], pa.binary()) for x in raw]],
+                    names=["part", "keys", "named", "ids", "place", "sizes", "counts", "labels"])
+
+
 def featurise(rows: DataFrame, text: str, pattern: str, positions: Sequence[int], n: int = NGRAMS, buckets: int = BUCKETS,
               part_rows: int = PART_ROWS) -> Features:
     """Features and 0/1 labels of ``rows`` (with a column ``id``), which should be a stored table."""
-    count = rows.count()
-    # small tables are dealt to all cores, large ones into parts of ``part_rows``
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    parts = max(1, -(-count // part_rows), min(cores, -(-count // LEAST_ROWS)))
+    spark = rows.sparkSession
+    words = F.size(F.split(F.coalesce(F.col(text), F.lit("")), " ")) + 1
+    count, terms = rows.agg(F.count("*"), F.coalesce(F.sum(words * n), F.lit(0))).first()
+    # small tables are dealt to all cores, large ones into parts of ``part_rows`` rows and ``PART_TERMS`` terms
+    parts = max(1, -(-count // part_rows), -(-terms // PART_TERMS), min(spark.sparkContext.defaultParallelism, -(-count // LEAST_ROWS)))
     labels = encode_meter(F.coalesce(F.col(pattern), F.lit("")), max(positions))
-    terms = rows.select("id", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("bigint").alias("part"),
-                        term_features(F.col(text), n, buckets).alias("t"),
+    number = F.pmod(F.xxhash64("id"), F.lit(parts))
+    if (names := spread_numbers(spark, parts)) != list(range(parts)):
+        number = F.get(F.array(*[F.lit(x) for x in names]), number)
+    found = rows.select("id", number.cast("bigint").alias("part"), term_features(F.col(text), n, buckets).alias("t"),
                         F.array(*[F.get(labels, F.lit(p - 1)) for p in positions]).alias("labels"))
-    stored = stage(terms.select("id", "part", F.col("t.feature").alias("features"), F.col("t.size").alias("sizes"), "labels"), "features")
-    needs = stage(stored.select("part", F.explode("features").alias("feature")).distinct(), "needs")
-    return Features(stored, needs, count, parts)
+    split = found.select("id", "part", F.col("t.feature").alias("features"), F.col("t.size").alias("sizes"), "labels")
+    packed = stored_by(split.repartition(parts, "part").groupBy("part").applyInArrow(packed_rows, PACKED), "part", parts,
+                       new_path(spark, "features"))
+    needs = stage(packed.select("part", F.posexplode("keys").alias("at", "feature")), "needs")
+    return Features(split, packed, needs, count, parts)
 
 
 # models
@@ -137,6 +171,34 @@ class Linear:
         counts = np.diff(np.append(starts, len(sizes)))
         return loss_of(p, np.tile(y, len(self.choices))), np.repeat(miss, counts, axis=0) * (sizes[:, None] <= self.sizes), None
 
+    def live(self, iteration: int) -> np.ndarray:
+        return iteration < self.ends
+
+    def sent(self, iteration: int | None) -> np.ndarray:
+        """Columns whose choices take a step, and all of them for scores (no iteration) and for the last loss."""
+        return self.live(iteration) if iteration is not None and iteration < self.iterations - 1 else np.ones(self.width, bool)
+
+    def narrow(self, w: np.ndarray, labels: None, iteration: int | None) -> np.ndarray:
+        return w[:, self.sent(iteration)]
+
+    def answers(self, seen: np.ndarray, sizes: np.ndarray, starts: np.ndarray, iteration: int | None) -> np.ndarray:
+        shown = seen * (sizes[:, None] <= self.sizes[self.sent(iteration)])
+        return 1 / (1 + np.exp(-np.clip(np.add.reduceat(shown, starts, axis=0), -40, 40)))
+
+    def misses(self, seen, sizes, starts, y, iteration) -> tuple[float, np.ndarray]:
+        """The loss, and its gradient by what was sent for each occurrence, in the columns that take a step."""
+        sent, live = self.sent(iteration), self.live(iteration)
+        y = np.tile(y, len(self.choices))[:, sent]
+        p = self.answers(seen, sizes, starts, iteration)
+        miss = np.repeat((p - y)[:, live[sent]], np.diff(np.append(starts, len(sizes))), axis=0)
+        return loss_of(p, y), miss * (sizes[:, None] <= self.sizes[live])
+
+    def widened(self, sums: np.ndarray, w: np.ndarray, labels: None, iteration: int) -> tuple[np.ndarray, None]:
+        """The gradient by whole vectors, and that by the labels' vectors."""
+        out = np.zeros_like(w)
+        out[:, self.live(iteration)] = sums
+        return out, None
+
     def step(self, w: np.ndarray, gradient: np.ndarray, iteration: int) -> tuple[np.ndarray, np.ndarray]:
         """The gradient with its penalty, and the rate of each column (none once its choice has ended)."""
         return gradient + self.regs * w, self.rates * (iteration < self.ends)
@@ -186,6 +248,24 @@ class LowRank:
         back = (p - y) @ labels.reshape(len(self.positions), self.dim) / counts[:, None]
         return loss_of(p, y), np.repeat(back, counts, axis=0), ((p - y).T @ line).ravel()
 
+    def live(self, iteration: int) -> np.ndarray:
+        return np.ones(len(self.positions), bool)
+
+    def narrow(self, w, labels, iteration):
+        """The products of vectors and labels' vectors: a line's score is the mean of those of its terms."""
+        return w @ labels.reshape(len(self.positions), self.dim).T
+
+    def answers(self, seen, sizes, starts, iteration):
+        return 1 / (1 + np.exp(-np.clip(self.lines(seen, starts)[0], -40, 40)))
+
+    def misses(self, seen, sizes, starts, y, iteration):
+        p = self.answers(seen, sizes, starts, iteration)
+        counts = np.diff(np.append(starts, len(sizes)))
+        return loss_of(p, y), np.repeat((p - y) / counts[:, None], counts, axis=0)
+
+    def widened(self, sums, w, labels, iteration):
+        return sums @ labels.reshape(len(self.positions), self.dim), (sums.T @ w).ravel()
+
     def step(self, w, gradient, iteration):
         return gradient, np.float64(self.rate)
 
@@ -221,29 +301,42 @@ def arrays(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
 
 
+def packed_numbers(rows: np.ndarray) -> pa.Array:
+    """The rows of a matrix as bytes, which cross to a task and back as they are."""
+    rows = np.ascontiguousarray(rows, np.float64)
+    ends = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * 8))
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(rows)])
+
+
+def unpacked_numbers(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    whole = [np.frombuffer(x.buffers()[2], np.uint8, *span(x)).view(np.float64) for x in getattr(column, "chunks", [column]) if len(x)]
+    return (np.concatenate(whole) if whole else np.zeros(0)).reshape(-1, width)
+
+
+def span(x: pa.Array) -> tuple[int, int]:
+    """How many bytes the values of a binary array have, and where they start."""
+    ends = np.frombuffer(x.buffers()[1], np.int32)[x.offset:x.offset + len(x) + 1]
+    return int(ends[-1] - ends[0]), int(ends[0])
+
+
 class Part:
-    """The rows of a part with the vectors that they name."""
-
-    def __init__(self, rows: pa.Table, vectors: pa.Table):
-        rows = rows.sort_by("id")
-        self.ids = rows.column("id").to_numpy()
-        features, offsets = rows_of(rows.column("features"))
-        self.sizes, _ = rows_of(rows.column("sizes"))
-        self.y = matrix_of(rows.column("labels"), rows.num_rows).astype(np.float64)
-        keys = vectors.column("feature").to_numpy()
-        own = keys > LOSS
-        at = np.flatnonzero(own)[np.argsort(keys[own])]
-        self.keys = keys[at]
-        held = vectors.column("w").take(pa.array(at))
-        self.table = matrix_of(held, len(at)) if len(at) else np.zeros((0, 1))
-        labels = np.flatnonzero(keys == LABELS)
-        self.labels = np.array(vectors.column("w")[int(labels[0])].as_py()) if len(labels) else None
-        # occurrences of features that the model does not have are left out
-        place = np.searchsorted(self.keys, features)
-        known = (place < len(self.keys)) & (self.keys[np.minimum(place, len(self.keys) - 1)] == features) if len(self.keys) else np.zeros(len(features), bool)
-        row = np.repeat(np.arange(len(self.ids)), np.diff(offsets))[known]
-        self.place, self.sizes = place[known], self.sizes[known]
-        self.edges = np.searchsorted(row, np.arange(len(self.ids) + 1))
+    """The rows of a part with what was sent of the vectors that they name."""
+
+    def __init__(self, rows: pa.Table, sent: pa.Table, width: int, labels: int):
+        held = lambda name, kind: np.frombuffer(rows.column(name)[0].as_py(), kind)
+        self.ids, counts = held("ids", np.int64), held("counts", np.int32)
+        self.y = held("labels", np.int8).reshape(len(self.ids), labels).astype(np.float64)
+        self.place, self.sizes = held("place", np.int32), held("sizes", np.int32)
+        self.table = np.zeros((rows.column("named")[0].as_py(), width))
+        known = np.zeros(len(self.table), bool)
+        at = sent.column("at").to_numpy()
+        self.table[at], known[at] = unpacked_numbers(sent.column("z"), width), True
+        self.known = np.flatnonzero(known)
+        if len(self.known) < len(known):  # occurrences of features that the model does not have are left out
+            kept = known[self.place]
+            counts = np.bincount(np.repeat(np.arange(len(self.ids)), counts)[kept], minlength=len(self.ids))
+            self.place, self.sizes = self.place[kept], self.sizes[kept]
+        self.edges = np.append(0, np.cumsum(counts, dtype=np.int64))
 
     def strips(self):
         """Rows that have any feature, in strips: their numbers, the slice of occurrences and where each row starts in it."""
@@ -255,94 +348,96 @@ class Part:
 
 
 def initial(features: Features, model, vectors: DataFrame | None) -> DataFrame:
-    """The parameter table before the first step."""
-    known = features.needs.select("feature").distinct()
+    """The parameters before the first step, and the places that each is needed in."""
+    known = features.needs.groupBy("feature").agg(F.array_sort(F.collect_list(F.struct("part", "at"))).alias("places"))
     if vectors is None:
-        known = known.withColumn("given", F.lit(None).cast("array<double>"))
+        known = known.select("feature", F.lit(None).cast("array<double>").alias("given"), "places")
     else:
         given = vectors.select(word_feature("word").alias("feature"), F.col("vector").cast("array<double>").alias("given"))
-        known = known.join(given.dropDuplicates(["feature"]), "feature", "left")
+        known = known.join(given.dropDuplicates(["feature"]), "feature", "left").select("feature", "given", "places")
 
     def made(batches):
         for rows in batches:
             if rows.num_rows:
                 first = model.first(rows.column(0).to_numpy(), rows.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), arrays(first), arrays(np.zeros_like(first))], ["feature", "w", "s"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), arrays(first), arrays(np.zeros_like(first)), rows.column(2)], ["feature", "w", "s", "places"])
 
-    table = known.mapInArrow(made, STATE)
-    special = [(LOSS, [0.0], [0.0])]
-    if (shared := model.shared()) is not None:
-        special.append((LABELS, shared.tolist(), (shared * 0).tolist()))
-    return table.unionByName(features.rows.sparkSession.createDataFrame(special, STATE))
+    first = features.rows.sparkSession.createDataFrame([(LOSS, [0.0] * model.width, [0.0] * model.width, [])], f"{STATE}, {PLACES}")
+    return known.mapInArrow(made, f"{STATE}, {PLACES}").unionByName(first)
+
+
+def narrowed(state: DataFrame, model, labels: np.ndarray | None, iteration: int | None) -> DataFrame:
+    """``feature``, or the places it is needed in, with ``z``: what parts need to know of its vector."""
+    key = "places" if "places" in state.columns else "feature"
+
+    def made(batches):
+        for rows in batches:
+            if rows.num_rows:
+                w = matrix_of(pa.chunked_array([rows.column(1)]), rows.num_rows)
+                yield pa.RecordBatch.from_arrays([rows.column(0), packed_numbers(model.narrow(w, labels, iteration))], [key, "z"])
 
+    return state.filter(F.col("feature") > LOSS).select(key, "w").mapInArrow(made, f"{PLACES if key == 'places' else 'feature bigint'}, z binary")
 
-def placed(state: DataFrame, features: Features) -> DataFrame:
-    """``part, feature, w``: the vectors that each part needs, and to every part those that all need."""
-    own = features.needs.join(state.select("feature", "w"), "feature")
-    # at most one row of the width of all labels
-    every = state.filter(F.col("feature") == LABELS).select("feature", "w").withColumn(
-        "part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(features.parts - 1).cast("bigint"))))
-    return own.unionByName(every).select(F.col("part").alias("at"), "feature", "w")
 
+def gradients(state: DataFrame, features: Features, model, labels: np.ndarray | None, iteration: int) -> DataFrame:
+    """``of, part, g``: the sums of each part, by what they belong to; the loss stands under ``LOSS``."""
+    width = model.narrow(np.zeros((0, model.width)), labels, iteration).shape[1]
+    live = int(model.live(iteration).sum())
 
-def gradients(state: DataFrame, features: Features, model) -> DataFrame:
-    """``feature, part, g``: the sums of each part, by what they belong to; the loss stands under ``LOSS``."""
-    def summed(rows: pa.Table, vectors: pa.Table) -> pa.Table:
+    def summed(rows: pa.Table, sent: pa.Table) -> pa.Table:
         if not rows.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.list_(pa.float64()))], names=["feature", "part", "g"])
-        part = Part(rows, vectors)
-        total = np.zeros_like(part.table)
-        loss, by_labels = 0.0, None if part.labels is None else np.zeros_like(part.labels)
+            return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())], names=["of", "part", "g"])
+        part = Part(rows, sent, width, len(model.positions))
+        total, loss = np.zeros((len(part.table), live)), 0.0
         for numbers, at, starts in part.strips():
             places = part.place[at]
-            more, back, labels = model.backward(part.table[places], part.labels, part.sizes[at], starts, part.y[numbers])
+            more, back = model.misses(part.table[places], part.sizes[at], starts, part.y[numbers], iteration)
             order = np.argsort(places, kind="stable")
             firsts = np.flatnonzero(np.diff(places[order], prepend=-1))
             total[places[order][firsts]] += np.add.reduceat(back[order], firsts, axis=0)
             loss += more
-            if labels is not None:
-                by_labels += labels
-        more = [(LOSS, [loss])] + ([] if by_labels is None else [(LABELS, by_labels)])
-        keys = pa.array(np.append(part.keys, [k for k, _ in more]))
-        found = pa.chunked_array([arrays(total), pa.array([list(g) for _, g in more], pa.list_(pa.float64()))])
-        return pa.table([keys, pa.array(np.full(len(keys), rows.column("part")[0].as_py())), found], names=["feature", "part", "g"])
-
-    return (features.rows.groupBy("part").cogroup(placed(state, features).groupBy("at"))
-            .applyInArrow(summed, "feature bigint, part bigint, g array<double>"))
-
-
-def stepped(state: DataFrame, sums: DataFrame, model, iteration: int, count: int, shards: int) -> DataFrame:
-    """The parameter table after a step along the mean gradient."""
-    def moved(old: pa.Table, new: pa.Table) -> pa.Table:
-        old, new = old.sort_by("feature"), new.sort_by([("of", "ascending"), ("part", "ascending")])
-        keys, of = old.column("feature").to_numpy(), new.column("of").to_numpy()
-        kept = []
-        for kind in (keys == LABELS, keys == LOSS, keys > LOSS):  # rows of one width each
-            if not kind.any():
+        keys = np.append(rows_of(rows.column("keys"))[0][part.known], LOSS)
+        found = pa.chunked_array([packed_numbers(total[part.known]), packed_numbers(np.eye(1, live) * loss)])
+        return pa.table([pa.array(keys), pa.array(np.full(len(keys), rows.column("part")[0].as_py())), found], names=["of", "part", "g"])
+
+    placed = narrowed(state, model, labels, iteration).select(F.explode("places").alias("p"), "z").select(
+        F.col("p.part").alias("to"), F.col("p.at").alias("at"), "z")
+    return (features.packed.groupBy("part").cogroup(placed.groupBy("to"))
+            .applyInArrow(summed, "of bigint, part bigint, g binary"))
+
+
+def stepped(state: DataFrame, sums: DataFrame, model, labels: np.ndarray | None, iteration: int, count: int, shards: int) -> DataFrame:
+    """The parameters after a step along the mean gradient; under ``LABELS`` what each task adds to the gradient by labels."""
+    live = int(model.live(iteration).sum())
+    per_part = F.transform(F.array_sort(F.collect_list(F.struct("part", "g"))), lambda p: p["g"])
+
+    def moved(batches):
+        by_labels, first = 0.0, None
+        for rows in batches:
+            if not rows.num_rows:
                 continue
-            mine, own = keys[kind], pa.array(np.flatnonzero(kind))
-            w, s = (matrix_of(old.column(c).take(own), len(mine)) for c in ("w", "s"))
-            found = np.flatnonzero(np.isin(of, mine))
-            if len(found):
-                g = matrix_of(new.column("g").take(pa.array(found)), len(found))
-                firsts = np.flatnonzero(np.diff(np.searchsorted(mine, of[found]), prepend=-1))
-                g, at = np.add.reduceat(g, firsts, axis=0) / count, np.searchsorted(mine, of[found][firsts])
-                if mine[0] == LOSS:
-                    w = g
-                else:
-                    (g, rate), damping = ((g, model.rate), TINY) if mine[0] == LABELS else (
-                        model.step(w[at], g, iteration), model.damping)
-                    w, s = w.copy(), s.copy()
-                    s[at] += g * g
-                    w[at] -= rate * g / (np.sqrt(s[at]) + damping)
-            kept.append(pa.table([pa.array(mine), arrays(w), arrays(s)], names=["feature", "w", "s"]))
-        return pa.concat_tables(kept) if kept else old.select(["feature", "w", "s"])
-
-    shard = lambda: F.pmod(F.xxhash64("feature"), F.lit(shards))
-    left = state.withColumn("shard", shard()).groupBy("shard")
-    # under other names: a cogroup of two frames of one origin loses columns that both have
-    right = sums.withColumn("there", shard()).withColumnRenamed("feature", "of").groupBy("there")
-    return left.cogroup(right).applyInArrow(moved, STATE)
+            keys, n = rows.column("feature").to_numpy(), rows.num_rows
+            w, s = (matrix_of(pa.chunked_array([rows.column(c)]), n) for c in ("w", "s"))
+            g, starts = rows.column("g"), np.diff(rows.column("g").offsets.to_numpy())
+            g = np.add.reduceat(unpacked_numbers(g.flatten(), live), np.append(0, np.cumsum(starts)[:-1]), axis=0) / count
+            lost, g = g[:, 0].copy(), np.where(keys[:, None] == LOSS, 0.0, g)
+            wide, more = model.widened(g, w, labels, iteration)
+            wide, rate = model.step(w, wide, iteration)
+            if more is not None:
+                by_labels, first = by_labels + more, int(keys[0]) if first is None else first
+            s = s + wide * wide
+            w = w - rate * wide / (np.sqrt(s) + model.damping)
+            w[keys == LOSS, 0] = lost[keys == LOSS]
+            yield pa.RecordBatch.from_arrays([rows.column("feature"), arrays(w), arrays(s), rows.column("places")], ["feature", "w", "s", "places"])
+        if first is not None:
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([LABELS]), pa.array([by_labels.tolist()]), pa.array([[float(first)]]), pa.array([[]], rows.column("places").type)],
+                ["feature", "w", "s", "places"])
+
+    # the sums come to where the parameters lie, which stay there
+    found = sums.repartition(shards, "of").groupBy("of").agg(per_part.alias("g"))
+    both = state.filter(F.col("feature") >= LOSS).join(found.hint("shuffle_hash"), F.col("feature") == F.col("of"))
+    return both.select("feature", "w", "s", "places", "g").mapInArrow(moved, f"{STATE}, {PLACES}")
 
 
 def fit(features: Features, model, vectors: DataFrame | None = None) -> DataFrame:
@@ -353,17 +448,28 @@ def fit(features: Features, model, vectors: DataFrame | None = None) -> DataFram
     No rows give a table without features.
     """
     spark = features.rows.sparkSession
-    pairs = features.needs.count()
-    shards = max(spark.sparkContext.defaultParallelism, -(-pairs * model.width * 8 // SHARD_BYTES))
+    known = features.needs.select("feature").distinct().count()
+    shards = max(spark.sparkContext.defaultParallelism, -(-known * model.width * 8 // SHARD_BYTES))
     path = new_path(spark, "parameters")
-    initial(features, model, vectors).write.parquet(path)
-    for iteration in range(model.iterations if features.count else 0):
-        state = spark.read.schema(STATE).parquet(path)
-        after = new_path(spark, "parameters")
-        stepped(state, gradients(state, features, model), model, iteration, features.count, shards).write.parquet(after)
-        discard(spark, path)
-        path = after
-    return spark.read.schema(STATE).parquet(path)
+    with shuffles_deleted(spark):
+        state = stored_by(initial(features, model, vectors).repartition(shards, "feature"), "feature", shards, path)
+        labels, squares = model.shared(), 0.0
+        for iteration in range(model.iterations if features.count else 0):
+            after, here = new_path(spark, "parameters"), stored(spark, path)
+            sums = gradients(here, features, model, labels, iteration)
+            state = stored_by(stepped(here, sums, model, labels, iteration, features.count, shards), "feature", shards, after)
+            if labels is not None:
+                # one row of the width of all labels for each task
+                more = state.filter(F.col("feature") == LABELS).select("w", "s").collect()
+                g = sum(np.array(r["w"]) for r in sorted(more, key=lambda r: r["s"]))
+                squares = squares + g * g
+                labels = labels - model.rate * g / (np.sqrt(squares) + TINY)
+            forget(spark, path)
+            path = after
+    special = [(LOSS, [state.filter(F.col("feature") == LOSS).first()["w"][0]], [0.0])]
+    if labels is not None:
+        special.append((LABELS, labels.tolist(), (labels * 0 + squares).tolist()))
+    return state.filter(F.col("feature") > LOSS).select("feature", "w", "s").unionByName(spark.createDataFrame(special, STATE))
 
 
 def loss(state: DataFrame) -> float:
@@ -378,20 +484,22 @@ def scores(state: DataFrame, features: Features, model, vectors: DataFrame | Non
     features that the model does not have are left out, and a row without any
     known feature has scores of one half.
     """
+    shared = None if model.shared() is None else np.array(state.filter(F.col("feature") == LABELS).first()["w"])
     if vectors is not None:
         asked = features.needs.select("feature").distinct().join(state, "feature", "left_anti")
         more = vectors.select(word_feature("word").alias("feature"), F.col("vector").cast("array<double>").alias("w"))
         state = state.select("feature", "w").unionByName(more.dropDuplicates(["feature"]).join(asked, "feature", "left_semi"))
     width = model.width if isinstance(model, Linear) else len(model.positions)
 
-    def scored(rows: pa.Table, held: pa.Table) -> pa.Table:
+    def scored(rows: pa.Table, sent: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64()))], names=["id", "scores"])
-        part = Part(rows, held)
+        part = Part(rows, sent, width, len(model.positions))
         out = np.full((len(part.ids), width), 0.5)
         for numbers, at, starts in part.strips():
-            out[numbers] = model.forward(part.table[part.place[at]], part.labels, part.sizes[at], starts)
+            out[numbers] = model.answers(part.table[part.place[at]], part.sizes[at], starts, None)
         return pa.table([pa.array(part.ids), arrays(out)], names=["id", "scores"])
 
-    return (features.rows.groupBy("part").cogroup(placed(state, features).groupBy("at"))
+    placed = features.needs.join(narrowed(state.select("feature", "w"), model, shared, None), "feature").select(F.col("part").alias("to"), "at", "z")
+    return (features.packed.groupBy("part").cogroup(placed.groupBy("to"))
             .applyInArrow(scored, "id bigint, scores array<double>"))

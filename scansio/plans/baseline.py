@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from scansio.functions.meter import stress_labels, threshold_labels
 from scansio.operators import gradient, metrics
-from scansio.session import stage
+from scansio.session import new_path, shuffles_deleted, stage, staging
 
 
 def ngram_predictions(rows: DataFrame, positions: Sequence[int], vectors: DataFrame | None = None,
@@ -22,12 +22,19 @@ def ngram_predictions(rows: DataFrame, positions: Sequence[int], vectors: DataFr
     them.  Stage it: train and test are read separately.  ``vectors`` (word, vector
     of ``dim`` numbers) are where words start from.
     """
-    train, test = (stage(rows.filter(F.col("split") == s).drop("split").withColumn("id", F.monotonically_increasing_id()), s)
-                   for s in ("train", "test"))
-    model = gradient.LowRank(list(positions), dim, rate, max_iter, damping=damping)
-    state = gradient.fit(gradient.featurise(train, text, pattern, positions, n, buckets), model, vectors)
-    scored = gradient.scores(state, gradient.featurise(test, text, pattern, positions, n, buckets), model, vectors)
-    return test.join(scored, "id").drop("id").withColumns({"gold": stress_labels(pattern), "labels": threshold_labels("scores")})
+    spark = rows.sparkSession
+    path = new_path(spark, "predictions")
+    # the parameters are far larger than the scores, and go before another fit begins
+    with staging(spark), shuffles_deleted(spark):
+        train, test = (stage(rows.filter(F.col("split") == s).drop("split").withColumn("id", F.monotonically_increasing_id()), s)
+                       for s in ("train", "test"))
+        model = gradient.LowRank(list(positions), dim, rate, max_iter, damping=damping)
+        state = gradient.fit(gradient.featurise(train, text, pattern, positions, n, buckets), model, vectors)
+        scored = gradient.scores(state, gradient.featurise(test, text, pattern, positions, n, buckets), model, vectors)
+        found = test.join(scored, "id").drop("id")
+        found.write.parquet(path)
+        schema = found.schema
+    return spark.read.schema(schema).parquet(path).withColumns({"gold": stress_labels(pattern), "labels": threshold_labels("scores")})
 
 
 def ngram_report(predictions: DataFrame, by: Sequence[str] = ("lang",)) -> DataFrame:

@@ -128,3 +128,24 @@ def test_odd_rows(spark):
         assert gradient.scores(empty, nothing, model).count() == 0
         unknown = gradient.scores(empty, features, model).collect()
         assert len(unknown) == 6 and all(r["scores"] == [0.5, 0.5] for r in unknown)
+
+
+def test_sent_numbers_follow_labels(spark, monkeypatch):
+    """What parts get and send does not grow with the width of vectors, and no rows or shuffle files of a fit are left."""
+    import os
+    monkeypatch.setattr(gradient, "LEAST_ROWS", 40)
+    features = gradient.featurise(lines(spark, 200), "text", "meter", [1, 2], 2, 50)
+    for model in (gradient.LowRank([1, 2], 64, 0.5, 2), gradient.Linear([1, 2], [{"max_iter": 2}, {"max_iter": 1}, {"max_iter": 0}])):
+        labels = model.shared()
+        state = gradient.initial(features, model, None)
+        sent = gradient.narrowed(state, model, labels, 1).selectExpr("max(octet_length(z))").first()[0]
+        back = gradient.gradients(state, features, model, labels, 0).selectExpr("max(octet_length(g))").first()[0]
+        assert sent <= 8 * 6 and back <= 8 * 4
+    plan = gradient.gradients(gradient.fit(features, model).withColumn("places", F.array().cast("array<struct<part:bigint,at:int>>")),
+                              features, model, None, 0)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1  # the parts' rows stay where they are
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    rows = lines(spark, 60).withColumn("split", F.when(F.col("i") % 4 == 0, "test").otherwise("train")).drop("id")
+    assert baseline.ngram_predictions(rows, [1, 2], dim=4, buckets=50, max_iter=1).count() == 15
+    assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["predictions"]
