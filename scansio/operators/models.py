@@ -17,7 +17,7 @@ from scansio.functions.meter import decode_meter, encode_meter, fit_to_gold
 from scansio.operators import gradient
 from scansio.operators.metrics import exact_match
 from scansio.operators.runs import best_run
-from scansio.session import new_path, stage
+from scansio.session import new_path, shuffles_deleted, stage, staging
 
 BUCKETS = 1 << 21
 
@@ -123,14 +123,20 @@ def sweep(train: DataFrame, held: DataFrame, text: str, pattern: str, positions:
     """
     positions = list(positions)
     model = gradient.Linear(positions, grid, n=n)
-    fitted, asked = (stage(df.withColumn("id", F.monotonically_increasing_id()), "rows") for df in (train, held))
-    state = gradient.fit(gradient.featurise(fitted, text, pattern, positions, n, buckets), model)
-    scored = gradient.scores(state, gradient.featurise(asked, text, pattern, positions, n, buckets), model)
-    runs = [F.struct(F.lit(i).alias("run"), F.lit(str(choice)).alias("parameters"),
-                     F.slice("scores", i * len(positions) + 1, len(positions)).alias("scores")) for i, choice in enumerate(grid)]
-    each = asked.select("id", by, pattern).join(scored, "id").select(by, pattern, F.inline(F.array(*runs)))
-    guess = fit_to_gold(decode_meter(F.transform("scores", lambda p: (p >= 0.5).cast("int"))), F.length(pattern))
-    return each.groupBy("run", by, "parameters").agg(exact_match(pattern, guess).alias("accuracy"))
+    spark = train.sparkSession
+    path = new_path(spark, "accuracies")
+    with staging(spark), shuffles_deleted(spark):
+        fitted, asked = (stage(df.withColumn("id", F.monotonically_increasing_id()), "rows") for df in (train, held))
+        state = gradient.fit(gradient.featurise(fitted, text, pattern, positions, n, buckets), model)
+        scored = gradient.scores(state, gradient.featurise(asked, text, pattern, positions, n, buckets), model)
+        runs = [F.struct(F.lit(i).alias("run"), F.lit(str(choice)).alias("parameters"),
+                         F.slice("scores", i * len(positions) + 1, len(positions)).alias("scores")) for i, choice in enumerate(grid)]
+        each = asked.select("id", by, pattern).join(scored, "id").select(by, pattern, F.inline(F.array(*runs)))
+        guess = fit_to_gold(decode_meter(F.transform("scores", lambda p: (p >= 0.5).cast("int"))), F.length(pattern))
+        found = each.groupBy("run", by, "parameters").agg(exact_match(pattern, guess).alias("accuracy"))
+        found.write.parquet(path)
+        schema = found.schema
+    return spark.read.schema(schema).parquet(path)
 
 
 def sweep_best(runs: DataFrame) -> DataFrame:
