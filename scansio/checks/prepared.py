@@ -95,9 +95,13 @@ _NGRAM_TEST = f"""SELECT * FROM ({_first("source = 'b'")}) WHERE length BETWEEN
         AND NOT EXISTS (SELECT 1 FROM ({_NGRAM_TEST}) t WHERE t.lang = p.lang AND t.text = p.text)""")
 def prepare_ngram(spark, folder):
     columns = ["lang", "text", "meter", "split"]
-    own = prepare.prepare_ngram(_corpus(spark, folder).drop("source", "manually_checked"), ORDER)
-    pool, test = _sides(spark, folder, "raw_pattern")
-    given = prepare.prepare_ngram(pool, ORDER, test.drop("manually_checked"))
+    # the corpus is made once for all three of its readings
+    made = stage(fixtures.verses(spark, folder).select(
+        "lang", *ORDER, F.col("raw").alias("text"), "meter", F.col("raw_pattern").alias("marked"), "sota", "source"), "corpus")
+    own = prepare.prepare_ngram(made.drop("source", "marked"), ORDER)
+    pool = made.filter("source = 'a'").withColumn("meter", F.col("marked")).drop("source", "sota", "marked")
+    test = made.filter("source = 'b'").drop("source", "marked")
+    given = prepare.prepare_ngram(pool, ORDER, test)
     return own.select(*columns, F.lit("own").alias("kind")).unionByName(
         given.select(*columns, F.lit("given").alias("kind")))
 

@@ -1,5 +1,7 @@
 """Readers and writers: each query writes to the shared folder and reads back."""
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -11,7 +13,7 @@ from scansio.functions.text import clean_text
 from scansio.operators import features, filters, metrics, sampling
 from scansio.operators.dedup import dedup_first
 from scansio.plans import corpus, prepare
-from scansio.session import bounded, new_path
+from scansio.session import bounded, new_path, stage
 from scansio.sources import readers, writers
 
 
@@ -36,31 +38,50 @@ def src_json(spark, folder):
     return readers.read_lines(spark, path).select(*S.ANNOTATED_LINE.names)
 
 
-def _one_file(rows, order, path, ends, comma=","):
-    """JSON texts (value) as one file of one JSON value, in order; the stand-in of a file that grew large elsewhere."""
-    first = rows.agg(F.min(F.struct(*order)).alias("first"))
-    before = F.when(F.struct(*order) == F.col("first"), ends[0]).otherwise(comma)
-    body = rows.join(F.broadcast(first)).select(F.lit(0).alias("at"), *order, F.concat(before, "value").alias("value"))
-    end = first.select(F.lit(1).alias("at"), *[F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c in order], F.lit(ends[1]).alias("value"))
-    body.unionByName(end).coalesce(1).sortWithinPartitions("at", *order).select("value").write.text(path, lineSep="\n")
+#: Bytes of one large file.
+FILE_BYTES = 256 << 20
+
+
+def _large_files(rows, order, path, ends, comma=","):
+    """JSON texts (value) as files of one JSON value each, in order; the stand-in of files that grew large elsewhere.
+
+    One file up to ``FILE_BYTES``, then one for each range of that size, which is what a task writes.
+    """
+    held = stage(rows, "values")
+    total = held.agg(F.sum(F.octet_length("value") + 2)).first()[0] or 0
+
+    def framed(batches):
+        begun = False
+        for batch in batches:
+            if batch.num_rows:
+                before = [comma] * batch.num_rows
+                before[0] = comma if begun else ends[0]
+                begun = True
+                yield pa.RecordBatch.from_arrays(
+                    [pc.binary_join_element_wise(pa.array(before), batch.column(0).cast(pa.string()), "")], ["value"])
+        if begun:
+            yield pa.RecordBatch.from_arrays([pa.array([ends[1]])], ["value"])
+
+    (held.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order).select("value")
+     .mapInArrow(framed, "value string").write.text(path, lineSep="\n"))
 
 
 @check("src_json_split", "SELECT raw AS line_text, raw_pattern AS metrical_pattern, manually_checked FROM verses")
 def src_json_split(spark, folder):
-    """All lines in one array, read in as many tasks as the file has blocks."""
+    """All lines in one array, or in several large ones, read in as many tasks as the files have blocks."""
     path = new_path(spark, "array")
     lines = _annotated(spark, folder).select("doc_id", "pos", F.to_json(F.struct(*S.ANNOTATED_LINE.names)).alias("value"))
-    _one_file(lines, ["doc_id", "pos"], path, "[]")
+    _large_files(lines, ["doc_id", "pos"], path, "[]")
     return readers.read_lines(spark, path, split=True).select(*S.ANNOTATED_LINE.names)
 
 
 @check("src_poem_map_split", "SELECT doc_id::VARCHAR AS poem_id, md5(text) AS digest FROM documents WHERE doc_id % 20 <> 0")
 def src_poem_map_split(spark, folder):
-    """All poems in one object, null ones among them."""
+    """All poems in one object, or in several large ones, null ones among them."""
     path = new_path(spark, "poems")
     poem = F.when(F.col("doc_id") % 20 != 0, F.to_json(F.struct("text"))).otherwise("null")
     poems = fixtures.documents(spark, folder).select("doc_id", F.concat(F.lit('"'), "doc_id", F.lit('": '), poem).alias("value"))
-    _one_file(poems, ["doc_id"], path, "{}")
+    _large_files(poems, ["doc_id"], path, "{}")
     return readers.read_poem_map(spark, path, split=True).select("poem_id", F.md5("text").alias("digest"))
 
 
@@ -173,11 +194,14 @@ def files_to_scores(spark, folder):
     FROM (SELECT *, lag(value) OVER (PARTITION BY lang ORDER BY doc_id, pos) AS previous FROM squeezed)
     WHERE previous IS NULL OR previous <> value)""")
 def lm_from_files(spark, folder):
-    """Raw files, one for each language, to text for a language model, all lines one group."""
+    """Raw files, a folder of them for each language, to text for a language model, all lines one group."""
     raw, out = new_path(spark, "raw"), new_path(spark, "lm")
-    (fixtures.raw_lines(spark, folder).repartition("lang").sortWithinPartitions("lang", "doc_id", "pos")
+    rows = fixtures.raw_lines(spark, folder)
+    total = fixtures.documents(spark, folder).agg(F.sum(F.octet_length("text") + 1)).first()[0] or 0
+    files = max(spark.sparkContext.defaultParallelism, -(-total // FILE_BYTES))
+    (rows.repartitionByRange(files, "lang", "doc_id", "pos").sortWithinPartitions("lang", "doc_id", "pos")
      .select("value", "lang").write.partitionBy("lang").text(raw, lineSep="\n"))
-    lines = corpus.numbered_lines(readers.read_raw_lines(spark, raw))
+    lines = corpus.numbered_lines(readers.read_raw_lines(spark, raw), folders=True)
     writers.write_lm_text(corpus.lm_corpus(lines, [], "source", "position"), out)
     return spark.read.schema("value string, split string").text(out, lineSep="\n")
 

@@ -30,7 +30,7 @@ def remove_leakage(train: DataFrame, test: DataFrame, keys: Sequence[str]) -> Da
 
 
 def dedup_adjacent(df: DataFrame, value: str, source: str, position: str,
-                   block_rows: int = 1 << 20) -> DataFrame:
+                   block_rows: int = 1 << 18) -> DataFrame:
     """Drop rows that repeat the row before them in the same source.
 
     A source may hold a third of all rows, so it is cut into blocks of

@@ -20,9 +20,11 @@ def clean_lines(lines: DataFrame, source: str, position: str, digits: bool = Fal
     return dedup_adjacent(drop_junk(squeezed, "value", digits), "value", source, position)
 
 
-def numbered_lines(lines: DataFrame, order: str = "line_id") -> DataFrame:
+def numbered_lines(lines: DataFrame, order: str = "line_id", folders: bool = False) -> DataFrame:
     """Lines of files with ``source``, the number of their file, and ``position``, their place in it.
 
+    With ``folders`` the files of a folder are one source, in the order of their names.
+
     Blocks of a file are counted, not its lines sorted: a line's place is the
     lines of the blocks before and its place in its own.  The file and block
     tables are as small as the list of splits.
@@ -30,9 +32,10 @@ def numbered_lines(lines: DataFrame, order: str = "line_id") -> DataFrame:
     rows = stage(lines, "lines")
     blocks = rows.groupBy(F.col(f"{order}.file").alias("file"), F.col(f"{order}.block").alias("block")).agg(
         F.count("*").alias("n"), F.min(f"{order}.row").alias("first"))
-    before = F.sum("n").over(Window.partitionBy("file").orderBy("block")) - F.col("n")
-    files = blocks.select("file").distinct().withColumn("source", F.row_number().over(Window.orderBy("file")) - 1)
-    places = bounded(blocks.withColumn("before", before).join(files, "file")
+    blocks = blocks.withColumn("whole", F.regexp_replace("file", "/[^/]*$", "") if folders else F.col("file"))
+    before = F.sum("n").over(Window.partitionBy("whole").orderBy("file", "block")) - F.col("n")
+    wholes = blocks.select("whole").distinct().withColumn("source", F.row_number().over(Window.orderBy("whole")) - 1)
+    places = bounded(blocks.withColumn("before", before).join(wholes, "whole")
                      .select("file", "block", "source", (F.col("before") - F.col("first")).alias("shift")), "blocks")
     here = (F.col(f"{order}.file") == F.col("file")) & (F.col(f"{order}.block") == F.col("block"))
     return rows.join(places, here).select(

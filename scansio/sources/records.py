@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scansio.session import stage
+from scansio.session import bounded, stage
 
 #: A piece's place: file, block of the file, row in the block.
 BLOCK = ["file", "block"]
@@ -75,7 +75,8 @@ def records(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
                                     (F.sum(F.octet_length("value") + 1) - F.max("bytes")).alias("more"))
     whole = F.when(F.col("more").isin(0, 1), F.col("more") == 1).otherwise(
         F.raise_error(F.concat(F.lit("not a plain text file: "), "file")).cast("boolean"))
-    read = read.join(ends, "file").withColumn("last_row", F.struct("block", "row") == F.col("end")).withColumn(
+    # brought to the pieces: dealt by file, those of a large file would meet in one task
+    read = read.join(bounded(ends, "ends"), "file").withColumn("last_row", F.struct("block", "row") == F.col("end")).withColumn(
         "final", F.col("last_row") & whole).drop("end", "more", "bytes")
     quoted = stage(summed(read, F.col("quotes") % 2, "quotes_before"), "quoted")
     starts_inside = F.col("quotes_before") % 2 == 1

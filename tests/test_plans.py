@@ -116,3 +116,24 @@ def test_ngram_baseline_end_to_end(spark):
     predictions = baseline.ngram_predictions(rows, [1, 2], buckets=1 << 10)
     report = baseline.ngram_report(predictions).first()
     assert report.samples == 60 and min(report.precision, report.recall, report.accuracy) >= 0.95
+
+
+def test_files_of_a_folder_are_one_source(spark, tmp_path):
+    """Lines of one language may lie in many files, and a line that repeats the last one of the file before goes."""
+    from scansio.sources import readers
+    for lang, parts in {"de": ["a\nb\n", "b\nc\n"], "en": ["x\n", "x\n", "y\n"]}.items():
+        (tmp_path / f"lang={lang}").mkdir()
+        for i, text in enumerate(parts):
+            (tmp_path / f"lang={lang}" / f"part-{i:05}.txt").write_text(text)
+    rows = corpus.numbered_lines(readers.read_raw_lines(spark, str(tmp_path)), folders=True)
+    got = [(r.source, r.position, r.value) for r in rows.orderBy("source", "position").collect()]
+    assert got == [(0, 0, "a"), (0, 1, "b"), (0, 2, "b"), (0, 3, "c"), (1, 0, "x"), (1, 1, "x"), (1, 2, "y")]
+    assert sorted(r.value for r in corpus.lm_corpus(rows, [], "source", "position").collect()) == ["a", "b", "c", "x", "y"]
+
+
+def test_corpus_is_made_once(spark, data, monkeypatch):
+    from scansio import fixtures
+    from scansio.checks import prepared
+    calls, real = [], fixtures.verses
+    monkeypatch.setattr(fixtures, "verses", lambda *a: calls.append(a) or real(*a))
+    assert prepared.prepare_ngram(spark, data).count() and len(calls) == 1

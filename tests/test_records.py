@@ -2,8 +2,10 @@
 
 import json
 import random
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from scansio import schema as S
 from scansio.sources import readers, records
@@ -69,3 +71,30 @@ def test_other_names_and_missing_languages(spark, tmp_path):
     assert readers.read_splits(spark, str(tmp_path / "s"), ["multi"]).count() == 2
     with pytest.raises(FileNotFoundError, match="en"):
         readers.read_splits(spark, str(tmp_path / "s"), ["en"])
+
+
+def test_pieces_of_a_file_do_not_meet(spark, tmp_path, monkeypatch):
+    """No join deals pieces by file alone, and large inputs are several files, each one value."""
+    from scansio.checks import sources
+    rows = spark.range(400).select("id", F.format_string('{"line_text": "a }%d", "metrical_pattern": "+"}', "id").alias("value"))
+    monkeypatch.setattr(sources, "FILE_BYTES", 4000)
+    sources._large_files(rows, ["id"], f"{tmp_path}/many", "[]")
+    files = sorted(p for p in (tmp_path / "many").iterdir() if p.name.startswith("part-"))
+    assert len(files) > 3 and all(p.stat().st_size < 12000 for p in files)
+    found = [x["line_text"] for p in files for x in json.loads(p.read_text())]
+    assert found == [f"a }}{i}" for i in range(400)]
+    back = readers.read_lines(spark, f"{tmp_path}/many", split=True)
+    assert sorted(r["line_text"] for r in back.collect()) == sorted(found)
+    seen, real = [], records.stage
+
+    def staged(df, name):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return real(df, name)
+
+    monkeypatch.setattr(records, "stage", staged)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        records.records(spark, f"{tmp_path}/many").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen and not [p for p in seen if re.search(r"SortMergeJoin \[file#\d+\],", p)]
