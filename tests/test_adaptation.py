@@ -101,3 +101,16 @@ def test_odd_episodes(spark):
     head, curve = adaptation.meta_fit(frame, "embedding", 3, iterations=5, hidden=4)
     assert [r["episodes"] for r in curve.collect()] == [2]
     assert adaptation.adapted_scores(head, frame.limit(0), "embedding").count() == 0
+
+
+def test_a_step_reads_whole_episodes_where_they_lie(spark):
+    """An episode is one stored row, only iterations that are taken are stored, and a step has no exchange."""
+    rows = spark.range(24).selectExpr(
+        "cast(id div 4 as bigint) as episode", "'a' as part", "cast(id % 2 as int) as slot", "if(id % 4 < 2, 'support', 'query') as role",
+        "id as row_key", "array(cast(id as float), 1f) as embedding")
+    table, found = adaptation.episode_table(rows, "embedding", 2, 2)
+    assert found == [0, 1] and table.count() == 4
+    assert "Exchange" not in table.filter("iteration = 1").coalesce(3)._jdf.queryExecution().executedPlan().toString()
+    one = table.filter("episode = 1").first()
+    assert (one.asked, one.slots, one["keys"]) == ([False, False, True, True], [0, 1, 0, 1], [4, 5, 6, 7])
+    assert one.vectors == [4.0, 1.0, 5.0, 1.0, 6.0, 1.0, 7.0, 1.0]
