@@ -50,9 +50,12 @@ PART_ROWS = 1 << 17
 PART_TERMS = 1 << 22
 LEAST_ROWS = 256
 STRIP_ROWS = 1024
+STEP_ROWS = 4096
 SHARD_BYTES = 64 << 20
 TINY = 1e-12
 STATE = "feature bigint, w array<double>, s array<double>"
+#: Between iterations vectors are bytes: they are read and written whole, not number by number.
+HELD = "feature bigint, w binary, s binary"
 PLACES = "places array<struct<part: bigint, at: int>>"
 PACKED = "part bigint, keys array<bigint>, named int, ids binary, place binary, sizes binary, counts binary, labels binary"
 
@@ -96,6 +99,12 @@ def spread_numbers(spark, n: int) -> list[int]:
     return sorted(r["id"] for r in found) if len(found) == n else list(range(n))
 
 
+def dealt(key: str, names: Sequence[int]) -> Column:
+    """One of the numbers ``names`` for each key."""
+    number = F.pmod(F.xxhash64(key), F.lit(len(names)))
+    return (number if list(names) == list(range(len(names))) else F.get(F.array(*[F.lit(x) for x in names]), number)).cast("bigint")
+
+
 def packed_rows(rows: pa.Table) -> pa.Table:
     """The rows of a part as one row; a term is its place among the different terms of the part."""
     rows = rows.sort_by("id")
@@ -118,10 +127,7 @@ def featurise(rows: DataFrame, text: str, pattern: str, positions: Sequence[int]
     # small tables are dealt to all cores, large ones into parts of ``part_rows`` rows and ``PART_TERMS`` terms
     parts = max(1, -(-count // part_rows), -(-terms // PART_TERMS), min(spark.sparkContext.defaultParallelism, -(-count // LEAST_ROWS)))
     labels = encode_meter(F.coalesce(F.col(pattern), F.lit("")), max(positions))
-    number = F.pmod(F.xxhash64("id"), F.lit(parts))
-    if (names := spread_numbers(spark, parts)) != list(range(parts)):
-        number = F.get(F.array(*[F.lit(x) for x in names]), number)
-    found = rows.select("id", number.cast("bigint").alias("part"), term_features(F.col(text), n, buckets).alias("t"),
+    found = rows.select("id", dealt("id", spread_numbers(spark, parts)).alias("part"), term_features(F.col(text), n, buckets).alias("t"),
                         F.array(*[F.get(labels, F.lit(p - 1)) for p in positions]).alias("labels"))
     split = found.select("id", "part", F.col("t.feature").alias("features"), F.col("t.size").alias("sizes"), "labels")
     packed = stored_by(split.repartition(parts, "part").groupBy("part").applyInArrow(packed_rows, PACKED), "part", parts,
@@ -293,6 +299,9 @@ def rows_of(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def matrix_of(column: pa.ChunkedArray, n: int) -> np.ndarray:
+    """The vectors of ``n`` rows, which are lists or bytes."""
+    if pa.types.is_binary(column.type):
+        return numbers_in(column).reshape(n, -1)
     return column.combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
 
@@ -308,9 +317,13 @@ def packed_numbers(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(rows)])
 
 
-def unpacked_numbers(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+def numbers_in(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     whole = [np.frombuffer(x.buffers()[2], np.uint8, *span(x)).view(np.float64) for x in getattr(column, "chunks", [column]) if len(x)]
-    return (np.concatenate(whole) if whole else np.zeros(0)).reshape(-1, width)
+    return whole[0] if len(whole) == 1 else np.concatenate(whole) if whole else np.zeros(0)
+
+
+def unpacked_numbers(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
+    return numbers_in(column).reshape(-1, width)
 
 
 def span(x: pa.Array) -> tuple[int, int]:
@@ -360,10 +373,23 @@ def initial(features: Features, model, vectors: DataFrame | None) -> DataFrame:
         for rows in batches:
             if rows.num_rows:
                 first = model.first(rows.column(0).to_numpy(), rows.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([rows.column(0), arrays(first), arrays(np.zeros_like(first)), rows.column(2)], ["feature", "w", "s", "places"])
+                yield pa.RecordBatch.from_arrays([rows.column(0), packed_numbers(first), packed_numbers(np.zeros_like(first)), rows.column(2)],
+                                                 ["feature", "w", "s", "places"])
+
+    none = bytes(8 * model.width)
+    first = features.rows.sparkSession.createDataFrame([(LOSS, none, none, [])], f"{HELD}, {PLACES}")
+    return known.mapInArrow(made, f"{HELD}, {PLACES}").unionByName(first)
 
-    first = features.rows.sparkSession.createDataFrame([(LOSS, [0.0] * model.width, [0.0] * model.width, [])], f"{STATE}, {PLACES}")
-    return known.mapInArrow(made, f"{STATE}, {PLACES}").unionByName(first)
+
+def as_lists(state: DataFrame) -> DataFrame:
+    """The parameters of words and n-grams with their vectors as lists."""
+    def made(batches):
+        for rows in batches:
+            if rows.num_rows:
+                yield pa.RecordBatch.from_arrays([rows.column(0), *[arrays(numbers_in(x).reshape(rows.num_rows, -1)) for x in rows.columns[1:]]],
+                                                 ["feature", "w", "s"])
+
+    return state.filter(F.col("feature") > LOSS).select("feature", "w", "s").mapInArrow(made, STATE)
 
 
 def narrowed(state: DataFrame, model, labels: np.ndarray | None, iteration: int | None) -> DataFrame:
@@ -406,38 +432,44 @@ def gradients(state: DataFrame, features: Features, model, labels: np.ndarray |
             .applyInArrow(summed, "of bigint, part bigint, g binary"))
 
 
-def stepped(state: DataFrame, sums: DataFrame, model, labels: np.ndarray | None, iteration: int, count: int, shards: int) -> DataFrame:
-    """The parameters after a step along the mean gradient; under ``LABELS`` what each task adds to the gradient by labels."""
+def stepped(state: DataFrame, sums: DataFrame, model, labels: np.ndarray | None, iteration: int, count: int, names: Sequence[int]) -> DataFrame:
+    """The parameters after a step along the mean gradient; under ``LABELS`` what each shard adds to the gradient by labels."""
     live = int(model.live(iteration).sum())
-    per_part = F.transform(F.array_sort(F.collect_list(F.struct("part", "g"))), lambda p: p["g"])
-
-    def moved(batches):
-        by_labels, first = 0.0, None
-        for rows in batches:
-            if not rows.num_rows:
-                continue
-            keys, n = rows.column("feature").to_numpy(), rows.num_rows
-            w, s = (matrix_of(pa.chunked_array([rows.column(c)]), n) for c in ("w", "s"))
-            g, starts = rows.column("g"), np.diff(rows.column("g").offsets.to_numpy())
-            g = np.add.reduceat(unpacked_numbers(g.flatten(), live), np.append(0, np.cumsum(starts)[:-1]), axis=0) / count
-            lost, g = g[:, 0].copy(), np.where(keys[:, None] == LOSS, 0.0, g)
-            wide, more = model.widened(g, w, labels, iteration)
-            wide, rate = model.step(w, wide, iteration)
-            if more is not None:
-                by_labels, first = by_labels + more, int(keys[0]) if first is None else first
-            s = s + wide * wide
-            w = w - rate * wide / (np.sqrt(s) + model.damping)
-            w[keys == LOSS, 0] = lost[keys == LOSS]
-            yield pa.RecordBatch.from_arrays([rows.column("feature"), arrays(w), arrays(s), rows.column("places")], ["feature", "w", "s", "places"])
-        if first is not None:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([LABELS]), pa.array([by_labels.tolist()]), pa.array([[float(first)]]), pa.array([[]], rows.column("places").type)],
-                ["feature", "w", "s", "places"])
+    schema = pa.schema([("shard", pa.int64()), ("feature", pa.int64()), ("w", pa.binary()), ("s", pa.binary()),
+                        ("places", pa.list_(pa.struct([("part", pa.int64()), ("at", pa.int32())])))])
+
+    def moved(held: pa.Table, found: pa.Table) -> pa.Table:
+        out, by_labels = [], None
+        if held.num_rows and found.num_rows:
+            # sums by feature, in the order of parts
+            of, by_part = (found.column(c).to_numpy() for c in ("of", "part"))
+            order = np.lexsort((by_part, of))
+            firsts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+            total = np.add.reduceat(unpacked_numbers(found.column("g"), live)[order], firsts, axis=0) / count
+            held = held.sort_by("feature").combine_chunks()
+            assert np.array_equal(held.column("feature").to_numpy(), of[order][firsts])
+            for low in range(0, held.num_rows, STEP_ROWS):
+                rows = held.slice(low, STEP_ROWS)
+                keys, g = rows.column("feature").to_numpy(), total[low:low + STEP_ROWS]
+                w, s = (matrix_of(rows.column(c), rows.num_rows) for c in ("w", "s"))
+                lost, g = g[:, 0].copy(), np.where(keys[:, None] == LOSS, 0.0, g)
+                wide, more = model.widened(g, w, labels, iteration)
+                wide, rate = model.step(w, wide, iteration)
+                if more is not None:
+                    by_labels = more if by_labels is None else by_labels + more
+                s = s + wide * wide
+                w = w - rate * wide / (np.sqrt(s) + model.damping)
+                w[keys == LOSS, 0] = lost[keys == LOSS]
+                whole = [rows.column("shard"), rows.column("feature"), packed_numbers(w), packed_numbers(s), rows.column("places")]
+                out.append(pa.table([x if isinstance(x, pa.Array) else x.combine_chunks() for x in whole], names=schema.names).cast(schema))
+        if by_labels is not None:
+            out.append(pa.table([held.column("shard").slice(0, 1).combine_chunks(), [LABELS], [by_labels.tobytes()], [b""], [[]]], schema=schema))
+        return pa.concat_tables(out) if out else schema.empty_table()
 
     # the sums come to where the parameters lie, which stay there
-    found = sums.repartition(shards, "of").groupBy("of").agg(per_part.alias("g"))
-    both = state.filter(F.col("feature") >= LOSS).join(found.hint("shuffle_hash"), F.col("feature") == F.col("of"))
-    return both.select("feature", "w", "s", "places", "g").mapInArrow(moved, f"{STATE}, {PLACES}")
+    here = sums.withColumn("shard", dealt("of", names)).repartition(len(names), "shard")
+    return (state.filter(F.col("feature") >= LOSS).groupBy("shard").cogroup(here.groupBy("shard"))
+            .applyInArrow(moved, f"shard bigint, {HELD}, {PLACES}"))
 
 
 def fit(features: Features, model, vectors: DataFrame | None = None) -> DataFrame:
@@ -448,28 +480,31 @@ def fit(features: Features, model, vectors: DataFrame | None = None) -> DataFram
     No rows give a table without features.
     """
     spark = features.rows.sparkSession
-    known = features.needs.select("feature").distinct().count()
-    shards = max(spark.sparkContext.defaultParallelism, -(-known * model.width * 8 // SHARD_BYTES))
+    known, named = features.needs.agg(F.count_distinct("feature"), F.count("*")).first()
+    # a shard is one task's: its vectors, and what all parts send for them
+    sent = named * (16 + 8 * len(model.positions) * len(getattr(model, "choices", [0])))
+    shards = max(spark.sparkContext.defaultParallelism, -(-known * model.width * 8 // SHARD_BYTES), -(-sent // SHARD_BYTES))
+    names = spread_numbers(spark, shards)
     path = new_path(spark, "parameters")
     with shuffles_deleted(spark):
-        state = stored_by(initial(features, model, vectors).repartition(shards, "feature"), "feature", shards, path)
+        state = stored_by(initial(features, model, vectors).withColumn("shard", dealt("feature", names)).repartition(shards, "shard"), "shard", shards, path)
         labels, squares = model.shared(), 0.0
         for iteration in range(model.iterations if features.count else 0):
             after, here = new_path(spark, "parameters"), stored(spark, path)
             sums = gradients(here, features, model, labels, iteration)
-            state = stored_by(stepped(here, sums, model, labels, iteration, features.count, shards), "feature", shards, after)
+            state = stored_by(stepped(here, sums, model, labels, iteration, features.count, names), "shard", shards, after)
             if labels is not None:
-                # one row of the width of all labels for each task
-                more = state.filter(F.col("feature") == LABELS).select("w", "s").collect()
-                g = sum(np.array(r["w"]) for r in sorted(more, key=lambda r: r["s"]))
+                # one row of the width of all labels for each shard
+                more = state.filter(F.col("feature") == LABELS).select("shard", "w").collect()
+                g = sum(np.frombuffer(r["w"]) for r in sorted(more, key=lambda r: r["shard"]))
                 squares = squares + g * g
                 labels = labels - model.rate * g / (np.sqrt(squares) + TINY)
             forget(spark, path)
             path = after
-    special = [(LOSS, [state.filter(F.col("feature") == LOSS).first()["w"][0]], [0.0])]
+    special = [(LOSS, [float(np.frombuffer(state.filter(F.col("feature") == LOSS).first()["w"])[0])], [0.0])]
     if labels is not None:
         special.append((LABELS, labels.tolist(), (labels * 0 + squares).tolist()))
-    return state.filter(F.col("feature") > LOSS).select("feature", "w", "s").unionByName(spark.createDataFrame(special, STATE))
+    return as_lists(state).unionByName(spark.createDataFrame(special, STATE))
 
 
 def loss(state: DataFrame) -> float:

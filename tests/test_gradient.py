@@ -149,3 +149,17 @@ def test_sent_numbers_follow_labels(spark, monkeypatch):
     rows = lines(spark, 60).withColumn("split", F.when(F.col("i") % 4 == 0, "test").otherwise("train")).drop("id")
     assert baseline.ngram_predictions(rows, [1, 2], dim=4, buckets=50, max_iter=1).count() == 15
     assert [x.split("-")[0] for x in set(os.listdir(folder)) - before] == ["predictions"]
+
+
+def test_vectors_are_moved_as_bytes(spark, monkeypatch):
+    """Vectors lie in an iteration's tables as bytes, and a step returns every feature once, with all its numbers."""
+    monkeypatch.setattr(gradient, "LEAST_ROWS", 40)
+    features = gradient.featurise(lines(spark, 120), "text", "meter", [1, 2], 2, 50)
+    model = gradient.LowRank([1, 2], 8, 0.5, 2)
+    state = gradient.initial(features, model, None)
+    assert {state.schema[c].dataType.simpleString() for c in ("w", "s")} == {"binary"}
+    names = gradient.spread_numbers(spark, 2)
+    sums = gradient.gradients(state, features, model, model.shared(), 0)
+    after = gradient.stepped(state.withColumn("shard", gradient.dealt("feature", names)), sums, model, model.shared(), 0, 120, names)
+    rows = after.filter(F.col("feature") > gradient.LOSS).select("feature", F.octet_length("w").alias("n")).collect()
+    assert {r["n"] for r in rows} == {64} and len(rows) == len({r["feature"] for r in rows}) == features.needs.select("feature").distinct().count()
