@@ -108,7 +108,8 @@ def stanza_predictions(spark, folder):
     drawn = stage(sampling.split_stratified(rows, [], "stanza", [F.col("stanza_id").cast("string")], 0.25), "stanzas")
     train, held = drawn.filter("split = 'train'"), drawn.filter("split = 'dev'")
     model = models.fit_classifier(train, "text", "stanza", BUCKETS, max_iter=10)
-    scored = models.classify(model, held, "text")
+    # read for the accuracy and for the rows, so terms are hashed once
+    scored = stage(models.classify(model, held, "text").select("stanza_id", "stanza", "label", "predicted"), "classified")
     accuracy = scored.agg(exact_match("label", "predicted")).first()[0]
     sizes = held.groupBy("stanza").agg(F.count("*").alias("n")).agg(F.max("n"), F.sum("n")).first()
     return scored.select(

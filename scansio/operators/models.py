@@ -25,9 +25,9 @@ BUCKETS = 1 << 21
 def word_ngrams(text: Column | str, n: int = 3) -> Column:
     """Words and all n-grams up to ``n``, in one array."""
     def grams(words: Column, size: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1))),
-                          lambda i: i <= F.size(words) - (size - 1))
-        return F.transform(starts, lambda i: F.array_join(F.slice(words, i, F.lit(size)), " "))
+        # from each word that has enough words behind it, by place: no array is made for an n-gram
+        firsts = F.slice(words, F.lit(1), F.greatest(F.size(words) - (size - 1), F.lit(0)))
+        return F.transform(firsts, lambda word, i: F.concat_ws(" ", word, *[F.get(words, i + k) for k in range(1, size)]))
 
     words = F.filter(F.split(text, " "), lambda w: w != "")
     return once(words, lambda w: F.concat(w, *[grams(w, size) for size in range(2, n + 1)]))

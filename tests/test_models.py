@@ -63,3 +63,15 @@ def test_batch_score(spark):
 
     got = models.batch_score(planted(spark), ["text"], _lengths, "n", LongType(), batch_size=7)
     assert got.filter("n <> length(text)").count() == 0 and got.count() == 400
+
+
+def test_ngrams_by_place(spark):
+    """N-grams of odd texts, taken by place: no array is cut out for each of them."""
+    texts = ["a b c d", "a", "", " a  b ", None, "a b"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    for n in (1, 2, 3):
+        found = rows.select("i", models.word_ngrams("text", n).alias("t"))
+        for r in found.collect():
+            words = None if texts[r["i"]] is None else texts[r["i"]].split()
+            assert r["t"] == (None if words is None else words + [" ".join(words[k:k + size]) for size in range(2, n + 1) for k in range(len(words) - size + 1)])
+        assert "array_join" not in found._jdf.queryExecution().optimizedPlan().toString()
