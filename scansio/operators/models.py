@@ -4,17 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
+import numpy as np
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.ml.functions import predict_batch_udf, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scansio.functions.binding import once
 from scansio.functions.meter import decode_meter, encode_meter, fit_to_gold
-from scansio.operators import gradient
+from scansio.operators import gradient, logistic
 from scansio.operators.metrics import exact_match
 from scansio.operators.runs import best_run
 from scansio.session import new_path, shuffles_deleted, stage, staging
@@ -42,27 +45,31 @@ def ova_frame(df: DataFrame, text: str, pattern: str, positions: Sequence[int],
 
 def ova_features(train: DataFrame, text: str, pattern: str, positions: Sequence[int], buckets: int = BUCKETS,
                  n: int = 3) -> DataFrame:
-    """Hashed n-grams and labels, staged: every fit scans this table."""
+    """Hashed n-grams and labels in blocks, staged: every pass of a fit scans this table."""
     hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=buckets)
     rows = hashing.transform(ova_frame(train, text, pattern, positions, n))
-    return stage(rows.select("features", *[f"pos{p}" for p in positions]), "features")
+    return logistic.packed(rows, "features", [f"pos{p}" for p in positions])
 
 
 def fit_positions(features: DataFrame, positions: Sequence[int], buckets: int = BUCKETS, max_iter: int = 20,
                   reg: float = 1e-4) -> PipelineModel:
-    """One logistic regression per syllable on staged features.
-
-    Gradients of wide feature spaces are summed in a tree, not on the driver at once.
-    """
+    """One logistic regression per syllable on staged features, all fitted in the same passes."""
     hashing = HashingTF(inputCol="terms", outputCol="features", numFeatures=buckets)
-    labels = [f"pos{p}" for p in positions]
-    models = [
-        LogisticRegression(featuresCol="features", labelCol=label, predictionCol=f"{label}_hat",
-                           probabilityCol=f"{label}_probability", rawPredictionCol=f"{label}_raw",
-                           maxIter=max_iter, regParam=reg, aggregationDepth=3,
-                           standardization=False).fit(features)
-        for label in labels]
-    return PipelineModel([hashing, *models])
+    weights, intercepts = logistic.fit(features, len(positions), buckets, max_iter, reg)
+    return PipelineModel([hashing, *[
+        _regression(features.sparkSession, f"pos{p}", w, float(b), max_iter, reg)
+        for p, w, b in zip(positions, weights, intercepts, strict=True)]])
+
+
+def _regression(spark, label: str, weights: np.ndarray, intercept: float, max_iter: int, reg: float) -> LogisticRegressionModel:
+    """Spark ML's model of given weights: it scores, saves and loads like one that Spark ML has fitted."""
+    form = LogisticRegression(featuresCol="features", labelCol=label, predictionCol=f"{label}_hat",
+                              probabilityCol=f"{label}_probability", rawPredictionCol=f"{label}_raw",
+                              maxIter=max_iter, regParam=reg, aggregationDepth=3, standardization=False)
+    # Python has no call for this; the vector goes over as in Spark ML's own wrappers
+    vector = _py2java(spark.sparkContext, Vectors.dense(weights))
+    made = spark.sparkContext._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(form.uid, vector, intercept)
+    return form._copyValues(LogisticRegressionModel(made))
 
 
 def fit_ova(train: DataFrame, text: str, pattern: str, positions: Sequence[int], buckets: int = BUCKETS,
