@@ -93,9 +93,10 @@ def model_round_trip(spark, folder):
     train, test = _split(_rows(spark, folder))
     model = models.fit_ova(train, "text", "meter", POSITIONS, BUCKETS, max_iter=10)
     again = models.save_and_reload(model, spark)
-    before, after = (models.ova_scores(m, test, "text", POSITIONS).select("lang", "text", "scores") for m in (model, again))
-    return before.join(after.withColumnRenamed("scores", "reloaded"), KEY).select(
-        "lang", "text", F.size("scores").alias("positions"), (F.col("scores") == F.col("reloaded")).alias("same"))
+    # both models score a row where it lies: no join brings its scores together; a row without a key has no pair, as in a join
+    before = models.ova_scores(model, test, "text", POSITIONS).withColumnRenamed("scores", "before")
+    both = models.ova_scores(again, before, "text", POSITIONS).dropna(subset=KEY)
+    return both.select("lang", "text", F.size("before").alias("positions"), (F.col("before") == F.col("scores")).alias("same"))
 
 
 @check("stanza_predictions", f"""SELECT s.stanza_id, s.stanza, c.label, true AS known, true AS learned

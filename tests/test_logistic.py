@@ -6,7 +6,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF
 from pyspark.sql import functions as F
 
+from scansio.checks import QUERIES
 from scansio.operators import logistic, models
+from tests.plans import plan_text
 
 BUCKETS = 1 << 6
 
@@ -63,3 +65,10 @@ def test_rows_that_cannot_be_fitted(spark):
                  lines(spark).limit(0)):
         with pytest.raises(Exception):
             models.fit_ova(rows, "text", "meter", [1], BUCKETS)
+
+
+def test_round_trip_moves_no_scores(spark, data):
+    """Both models score a row where it lies; the scores are not joined."""
+    df = QUERIES["model_round_trip"](spark, data)
+    assert df.filter("same and positions = 12").count() == df.count() > 0
+    assert "Join" not in plan_text(df) and "Exchange" not in plan_text(df)
