@@ -10,7 +10,8 @@ feature: neither moves again.  An iteration is two moves:
 2. the sums are brought to their feature, which takes its step (Adagrad: each
    number divides its step by the root of its squared gradients so far).
 
-What is sent is one number for each label, not the vector: a score of ``LowRank``
+What is sent goes packed: a shard of parameters and a part of rows exchange one message each way, or a few of
+bounded size, by routes that are found once.  It is one number for each label, not the vector: a score of ``LowRank``
 is a mean of products of a vector and a label's vector, which are taken where the
 vector lies, and so is the gradient, from the sums by label.  ``Linear`` sends the
 columns of the choices that still take steps.  All labels, and all choices of a
@@ -29,6 +30,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,15 +51,23 @@ LABELS, LOSS = -(1 << 62), -(1 << 62) + 1
 PART_ROWS = 1 << 17
 PART_TERMS = 1 << 22
 LEAST_ROWS = 256
-STRIP_ROWS = 1024
-STEP_ROWS = 4096
+STRIP_ROWS = 4096
 SHARD_BYTES = 64 << 20
+#: Vectors that a row of the parameter table holds, and features that a message is about at most.
+BLOCK_BYTES, ROUTE = 256 << 10, 1 << 13
+#: Occurrences of which gradients are summed together: what they need stays in a core's cache.
+SUMMED = 1 << 16
 TINY = 1e-12
 STATE = "feature bigint, w array<double>, s array<double>"
 #: Between iterations vectors are bytes: they are read and written whole, not number by number.
 HELD = "feature bigint, w binary, s binary"
 PLACES = "places array<struct<part: bigint, at: int>>"
-PACKED = "part bigint, keys array<bigint>, named int, ids binary, place binary, sizes binary, counts binary, labels binary"
+PACKED = "part bigint, keys array<bigint>, named int, ids binary, labels binary, counts binary, place binary, feature binary, size binary, uses binary, back binary"
+#: In rows of bytes: a block of parameters, and under block -1 what a shard adds to the loss and to the gradient by labels.
+BLOCKS = "shard bigint, block int, keys binary, w binary, s binary, extra binary"
+ROUTES = "shard bigint, part bigint, at binary, place binary"
+MESSAGES = "to bigint, shard bigint, at binary, place binary, z binary"
+REPLIES = "shard bigint, part bigint, place binary, g binary"
 
 
 # features
@@ -67,19 +77,32 @@ def word_feature(word: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.col(word) if isinstance(word, str) else word), 1)
 
 
+def term_words(text: Column) -> Column:
+    return F.concat(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != ""), F.array(F.lit(LINE_END)))
+
+
 def term_features(text: Column, n: int, buckets: int) -> Column:
-    """``feature, size`` of all words, the line's end and all n-grams up to ``n``; n-grams share ``buckets``."""
-    words = F.concat(F.filter(F.split(F.coalesce(text, F.lit("")), " "), lambda w: w != ""), F.array(F.lit(LINE_END)))
+    """The features of all words, the line's end and all n-grams up to ``n``, by size; n-grams share ``buckets``."""
     # the words of a line are found once, not once for each n-gram
-
     def grams(w: Column, size: int) -> Column:
-        starts = F.filter(F.sequence(F.lit(1), F.size(w)), lambda i: i <= F.size(w) - (size - 1))
-        return F.transform(starts, lambda i: F.struct(
-            (-1 - F.pmod(F.xxhash64(F.array_join(F.slice(w, i, F.lit(size)), " ")), F.lit(buckets))).alias("feature"),
-            F.lit(size).alias("size")))
+        # from each word that has enough words behind it, by place: no array is made for an n-gram
+        firsts = F.slice(w, F.lit(1), F.greatest(F.size(w) - (size - 1), F.lit(0)))
+        return F.transform(firsts, lambda word, i: -1 - F.pmod(
+            F.xxhash64(F.concat_ws(" ", word, *[F.get(w, i + k) for k in range(1, size)])), F.lit(buckets)))
+
+    return once(term_words(text), lambda w: F.concat(F.transform(w, word_feature), *[grams(w, size) for size in range(2, n + 1)]))
+
 
-    single = lambda w: F.transform(w, lambda x: F.struct(word_feature(x).alias("feature"), F.lit(1).alias("size")))
-    return once(words, lambda w: F.concat(single(w), *[grams(w, size) for size in range(2, n + 1)]))
+def sizes_of(counts: np.ndarray, n: int) -> np.ndarray:
+    """How many words each term of rows with so many terms has, as ``term_features`` orders them."""
+    # the words of a row, from the number of its terms
+    least = np.arange(int(counts.max(initial=0)) + 1)
+    terms = sum(np.maximum(least - k, 0) for k in range(n))
+    words = np.searchsorted(terms, counts)
+    assert np.array_equal(terms[words], counts)
+    each = np.repeat(words, counts)
+    within = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+    return sum((within >= sum(np.maximum(each - i, 0) for i in range(k))).astype(np.int8) for k in range(1, n)) + np.ones(len(each), np.int8)
 
 
 @dataclass
@@ -105,17 +128,43 @@ def dealt(key: str, names: Sequence[int]) -> Column:
     return (number if list(names) == list(range(len(names))) else F.get(F.array(*[F.lit(x) for x in names]), number)).cast("bigint")
 
 
-def packed_rows(rows: pa.Table) -> pa.Table:
-    """The rows of a part as one row; a term is its place among the different terms of the part."""
-    rows = rows.sort_by("id")
+def packed_rows(rows: pa.Table, n: int) -> pa.Table:
+    """The rows of a part as one row.
+
+    A term is a feature with a size; terms are numbered by how often they occur, so
+    that what most rows need lies together.  Rows are in the order of their number
+    of terms, in strips: the first terms of the strip's rows, their second ones, and
+    so on, which are added up one such piece after another.  ``back`` has the rows
+    of each term, as differences, which take less room.
+    """
     features, offsets = rows_of(rows.column("features"))
+    ids, counts = rows.column("id").to_numpy(), np.diff(offsets)
     keys, place = np.unique(features, return_inverse=True)
-    labels = matrix_of(rows.column("labels"), rows.num_rows)
-    raw = [rows.column("id").to_numpy(), place.astype(np.int32), rows_of(rows.column("sizes"))[0].astype(np.int32),
-           np.diff(offsets).astype(np.int32), labels.astype(np.int8)]
+    code = place * n + (sizes_of(counts, n) - 1)
+    uses = np.bincount(code, minlength=len(keys) * n)
+    terms = np.argsort(-uses, kind="stable")[:np.count_nonzero(uses)]
+    number = np.zeros(len(uses), np.int32)
+    number[terms] = np.arange(len(terms), dtype=np.int32)
+    number = number[code]
+    order = np.lexsort((ids, counts))
+    counts, starts = counts[order], offsets[:-1][order]
+    laid = [starts[low + first:low + STRIP_ROWS] + j for low, firsts in strips_of(counts) for j, first in enumerate(firsts)]
+    laid = number[np.concatenate(laid)] if laid else number[:0]
+    at = np.repeat(np.argsort(order).astype(np.int32), np.diff(offsets))
+    back = at[np.lexsort((at, number))]
+    labels = matrix_of(rows.column("labels"), rows.num_rows)[order]
+    raw = [ids[order], labels.astype(np.int8), counts.astype(np.int32), laid, (terms // n).astype(np.int32), (terms % n + 1).astype(np.int32),
+           uses[terms].astype(np.int32), np.diff(back, prepend=np.int32(0))]
     return pa.table([rows.column("part").slice(0, 1), pa.array([keys], pa.list_(pa.int64())), pa.array([len(keys)], pa.int32()),
                      *[pa.array([x.tobytes()], pa.binary()) for x in raw]],
-                    names=["part", "keys", "named", "ids", "place", "sizes", "counts", "labels"])
+                    names=["part", "keys", "named", "ids", "labels", "counts", "place", "feature", "size", "uses", "back"])
+
+
+def strips_of(counts: np.ndarray):
+    """For rows in the order of their counts: where each strip starts, and its first row that has a j-th term, for each j."""
+    for low in range(0, len(counts), STRIP_ROWS):
+        strip = counts[low:low + STRIP_ROWS]
+        yield low, np.searchsorted(strip, np.arange(strip[-1]), side="right")
 
 
 def featurise(rows: DataFrame, text: str, pattern: str, positions: Sequence[int], n: int = NGRAMS, buckets: int = BUCKETS,
@@ -127,13 +176,13 @@ def featurise(rows: DataFrame, text: str, pattern: str, positions: Sequence[int]
     # small tables are dealt to all cores, large ones into parts of ``part_rows`` rows and ``PART_TERMS`` terms
     parts = max(1, -(-count // part_rows), -(-terms // PART_TERMS), min(spark.sparkContext.defaultParallelism, -(-count // LEAST_ROWS)))
     labels = encode_meter(F.coalesce(F.col(pattern), F.lit("")), max(positions))
-    found = rows.select("id", dealt("id", spread_numbers(spark, parts)).alias("part"), term_features(F.col(text), n, buckets).alias("t"),
+    sizes = once(F.size(term_words(F.col(text))), lambda m: F.concat(*[F.array_repeat(F.lit(k + 1), F.greatest(m - k, F.lit(0))) for k in range(n)]))
+    found = rows.select("id", dealt("id", spread_numbers(spark, parts)).alias("part"), term_features(F.col(text), n, buckets).alias("features"), sizes.alias("sizes"),
                         F.array(*[F.get(labels, F.lit(p - 1)) for p in positions]).alias("labels"))
-    split = found.select("id", "part", F.col("t.feature").alias("features"), F.col("t.size").alias("sizes"), "labels")
-    packed = stored_by(split.repartition(parts, "part").groupBy("part").applyInArrow(packed_rows, PACKED), "part", parts,
-                       new_path(spark, "features"))
+    packed = stored_by(found.drop("sizes").repartition(parts, "part").groupBy("part").applyInArrow(lambda part: packed_rows(part, n), PACKED), "part", parts,
+                       new_path(spark, "features"), "zstd")
     needs = stage(packed.select("part", F.posexplode("keys").alias("at", "feature")), "needs")
-    return Features(split, packed, needs, count, parts)
+    return Features(found, packed, needs, count, parts)
 
 
 # models
@@ -153,6 +202,8 @@ class Linear:
     max_iter: int = EPOCHS
     n: int = NGRAMS
     damping: float = 0.1
+    #: A row's score is the sum of what its terms have.
+    mean = False
 
     def __post_init__(self):
         of = lambda name: np.repeat([c.get(name, getattr(self, name)) for c in self.choices], len(self.positions))
@@ -187,17 +238,16 @@ class Linear:
     def narrow(self, w: np.ndarray, labels: None, iteration: int | None) -> np.ndarray:
         return w[:, self.sent(iteration)]
 
-    def answers(self, seen: np.ndarray, sizes: np.ndarray, starts: np.ndarray, iteration: int | None) -> np.ndarray:
-        shown = seen * (sizes[:, None] <= self.sizes[self.sent(iteration)])
-        return 1 / (1 + np.exp(-np.clip(np.add.reduceat(shown, starts, axis=0), -40, 40)))
+    def limits(self, iteration: int | None) -> np.ndarray:
+        """The size of terms up to which each column that is sent counts them."""
+        return self.sizes[self.sent(iteration)]
+
+    def taking(self, iteration: int) -> np.ndarray:
+        """Which of the columns that are sent take a step."""
+        return self.live(iteration)[self.sent(iteration)]
 
-    def misses(self, seen, sizes, starts, y, iteration) -> tuple[float, np.ndarray]:
-        """The loss, and its gradient by what was sent for each occurrence, in the columns that take a step."""
-        sent, live = self.sent(iteration), self.live(iteration)
-        y = np.tile(y, len(self.choices))[:, sent]
-        p = self.answers(seen, sizes, starts, iteration)
-        miss = np.repeat((p - y)[:, live[sent]], np.diff(np.append(starts, len(sizes))), axis=0)
-        return loss_of(p, y), miss * (sizes[:, None] <= self.sizes[live])
+    def truth(self, y: np.ndarray, iteration: int) -> np.ndarray:
+        return np.tile(y, len(self.choices))[:, self.sent(iteration)]
 
     def widened(self, sums: np.ndarray, w: np.ndarray, labels: None, iteration: int) -> tuple[np.ndarray, None]:
         """The gradient by whole vectors, and that by the labels' vectors."""
@@ -223,6 +273,7 @@ class LowRank:
     max_iter: int = EPOCHS
     seed: int = 1
     damping: float = 0.003
+    mean = True
 
     def __post_init__(self):
         self.iterations, self.width = self.max_iter, self.dim
@@ -261,13 +312,14 @@ class LowRank:
         """The products of vectors and labels' vectors: a line's score is the mean of those of its terms."""
         return w @ labels.reshape(len(self.positions), self.dim).T
 
-    def answers(self, seen, sizes, starts, iteration):
-        return 1 / (1 + np.exp(-np.clip(self.lines(seen, starts)[0], -40, 40)))
+    def limits(self, iteration):
+        return None
 
-    def misses(self, seen, sizes, starts, y, iteration):
-        p = self.answers(seen, sizes, starts, iteration)
-        counts = np.diff(np.append(starts, len(sizes)))
-        return loss_of(p, y), np.repeat((p - y) / counts[:, None], counts, axis=0)
+    def taking(self, iteration):
+        return self.live(iteration)
+
+    def truth(self, y, iteration):
+        return y
 
     def widened(self, sums, w, labels, iteration):
         return sums @ labels.reshape(len(self.positions), self.dim), (sums.T @ w).ravel()
@@ -310,16 +362,22 @@ def arrays(rows: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1], rows.ravel())
 
 
-def packed_numbers(rows: np.ndarray) -> pa.Array:
-    """The rows of a matrix as bytes, which cross to a task and back as they are."""
+def packed_numbers(rows: np.ndarray, counts: np.ndarray | None = None) -> pa.Array:
+    """The rows of a matrix as bytes, which cross to a task and back as they are; ``counts`` says how many come together."""
     rows = np.ascontiguousarray(rows, np.float64)
-    ends = pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * np.int32(rows.shape[1] * 8))
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, ends, pa.py_buffer(rows)])
+    ends = np.arange(len(rows) + 1) if counts is None else np.append(0, np.cumsum(counts))
+    ends = pa.py_buffer((ends * (rows.shape[1] * 8)).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(rows) if counts is None else len(counts), [None, ends, pa.py_buffer(rows)])
 
 
-def numbers_in(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    whole = [np.frombuffer(x.buffers()[2], np.uint8, *span(x)).view(np.float64) for x in getattr(column, "chunks", [column]) if len(x)]
-    return whole[0] if len(whole) == 1 else np.concatenate(whole) if whole else np.zeros(0)
+def numbers_in(column: pa.ChunkedArray | pa.Array, kind: type = np.float64) -> np.ndarray:
+    whole = [np.frombuffer(x.buffers()[2], np.uint8, *span(x)).view(kind) for x in getattr(column, "chunks", [column]) if len(x)]
+    return whole[0] if len(whole) == 1 else np.concatenate(whole) if whole else np.zeros(0, kind)
+
+
+def lengths_in(column: pa.ChunkedArray, size: int) -> np.ndarray:
+    """How many numbers of so many bytes each value has."""
+    return pc.binary_length(column).to_numpy().astype(np.int64) // size
 
 
 def unpacked_numbers(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
@@ -333,31 +391,75 @@ def span(x: pa.Array) -> tuple[int, int]:
 
 
 class Part:
-    """The rows of a part with what was sent of the vectors that they name."""
-
-    def __init__(self, rows: pa.Table, sent: pa.Table, width: int, labels: int):
-        held = lambda name, kind: np.frombuffer(rows.column(name)[0].as_py(), kind)
-        self.ids, counts = held("ids", np.int64), held("counts", np.int32)
-        self.y = held("labels", np.int8).reshape(len(self.ids), labels).astype(np.float64)
-        self.place, self.sizes = held("place", np.int32), held("sizes", np.int32)
+    """The rows of a part, and for each of its features what was sent of its vector: ``table``."""
+
+    def __init__(self, rows: pa.Table, width: int, labels: int):
+        held = lambda name, kind=np.int32: np.frombuffer(rows.column(name)[0].as_py(), kind)
+        self.ids, self.counts, self.place = held("ids", np.int64), held("counts"), held("place")
+        self.y = held("labels", np.int8).reshape(len(self.ids), labels)
+        self.feature, self.size = held("feature"), held("size")
+        self.rows = rows
         self.table = np.zeros((rows.column("named")[0].as_py(), width))
-        known = np.zeros(len(self.table), bool)
-        at = sent.column("at").to_numpy()
-        self.table[at], known[at] = unpacked_numbers(sent.column("z"), width), True
-        self.known = np.flatnonzero(known)
-        if len(self.known) < len(known):  # occurrences of features that the model does not have are left out
-            kept = known[self.place]
-            counts = np.bincount(np.repeat(np.arange(len(self.ids)), counts)[kept], minlength=len(self.ids))
-            self.place, self.sizes = self.place[kept], self.sizes[kept]
-        self.edges = np.append(0, np.cumsum(counts, dtype=np.int64))
-
-    def strips(self):
-        """Rows that have any feature, in strips: their numbers, the slice of occurrences and where each row starts in it."""
-        able = np.flatnonzero(np.diff(self.edges) > 0)
-        for low in range(0, len(able), STRIP_ROWS):
-            rows = able[low:low + STRIP_ROWS]
-            a, b = self.edges[rows[0]], self.edges[rows[-1] + 1]
-            yield rows, slice(a, b), self.edges[rows] - a
+        self.known = np.zeros(len(self.table), bool)
+
+    def learn(self, at: np.ndarray, z: np.ndarray) -> None:
+        self.table[at], self.known[at] = z, True
+
+    def sums(self, terms: np.ndarray):
+        """For each strip of rows where it starts and the sums of its rows over their terms."""
+        done = 0
+        for low, firsts in strips_of(self.counts):
+            total = np.zeros((min(STRIP_ROWS, len(self.counts) - low), terms.shape[1]))
+            strip = self.place[done:done + int(self.counts[low:low + len(total)].sum())].astype(np.intp)
+            held, at = np.empty_like(total), 0
+            for first in firsts.tolist():
+                some = held[first:]
+                np.take(terms, strip[at:at + len(some)], axis=0, out=some, mode="clip")
+                total[first:] += some
+                at += len(some)
+            done += at
+            yield low, total
+
+    def answers(self, model, iteration: int | None):
+        """For each strip of rows where it starts, how many terms count and the probabilities."""
+        terms, limits = self.table[self.feature], model.limits(iteration)
+        if limits is not None and len(limits) and self.size.max(initial=0) > limits.min():
+            terms *= self.size[:, None] <= limits
+        # features that the model does not have are left out
+        some = [np.rint(x) for _, x in self.sums(self.known[self.feature][:, None].astype(np.float64))] if model.mean and not self.known.all() else None
+        for i, (low, x) in enumerate(self.sums(terms)):
+            counts = self.counts[low:low + len(x), None] if some is None else some[i]
+            if model.mean:
+                x /= np.maximum(counts, 1)
+            yield low, counts, 1 / (1 + np.exp(-np.clip(x, -40, 40)))
+
+    def gradient(self, model, iteration: int) -> tuple[float, np.ndarray]:
+        """The loss, and for each feature its gradient by what was sent, in the columns that take a step."""
+        taking, limits = model.taking(iteration), model.limits(iteration)
+        loss, miss = 0.0, np.empty((int(taking.sum()), len(self.ids)))
+        for low, counts, p in self.answers(model, iteration):
+            y = model.truth(self.y[low:low + len(p)], iteration)
+            loss += loss_of(p, y)
+            miss[:, low:low + len(p)] = (((p - y) / counts) if model.mean else p - y)[:, taking].T
+        # terms are summed by their rows, some terms at a time
+        back = np.cumsum(np.frombuffer(self.rows.column("back")[0].as_py(), np.int32), dtype=np.int32)
+        ends = np.append(0, np.cumsum(np.frombuffer(self.rows.column("uses")[0].as_py(), np.int32), dtype=np.int64))
+        found = np.empty((len(miss), len(ends) - 1))
+        cuts = np.unique(np.append(np.searchsorted(ends[:-1], np.arange(0, len(back), SUMMED)), len(ends) - 1))
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            rows = back[ends[a]:ends[b]].astype(np.intp)
+            held, starts = np.empty(len(rows)), ends[a:b] - ends[a]
+            for label in range(len(miss)):
+                np.take(miss[label], rows, out=held, mode="clip")
+                np.add.reduceat(held, starts, out=found[label, a:b])
+        found = np.ascontiguousarray(found.T)
+        if limits is not None and self.size.max(initial=0) > limits[taking].min():
+            found *= self.size[:, None] <= limits[taking]
+        total = np.zeros((len(self.table), len(miss)))
+        for size in range(1, self.size.max(initial=0) + 1):  # a feature has one term of a size at most
+            of = self.size == size
+            total[self.feature[of]] += found[of]
+        return loss, total
 
 
 def initial(features: Features, model, vectors: DataFrame | None) -> DataFrame:
@@ -382,14 +484,15 @@ def initial(features: Features, model, vectors: DataFrame | None) -> DataFrame:
 
 
 def as_lists(state: DataFrame) -> DataFrame:
-    """The parameters of words and n-grams with their vectors as lists."""
+    """The parameters of words and n-grams, from blocks, with their vectors as lists."""
     def made(batches):
         for rows in batches:
-            if rows.num_rows:
-                yield pa.RecordBatch.from_arrays([rows.column(0), *[arrays(numbers_in(x).reshape(rows.num_rows, -1)) for x in rows.columns[1:]]],
+            for row in rows.to_pylist():
+                keys = np.frombuffer(row["keys"], np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), *[arrays(np.frombuffer(row[c]).reshape(len(keys), -1)) for c in ("w", "s")]],
                                                  ["feature", "w", "s"])
 
-    return state.filter(F.col("feature") > LOSS).select("feature", "w", "s").mapInArrow(made, STATE)
+    return state.filter(F.col("block") >= 0).select("keys", "w", "s").mapInArrow(made, STATE)
 
 
 def narrowed(state: DataFrame, model, labels: np.ndarray | None, iteration: int | None) -> DataFrame:
@@ -405,66 +508,69 @@ def narrowed(state: DataFrame, model, labels: np.ndarray | None, iteration: int
     return state.filter(F.col("feature") > LOSS).select(key, "w").mapInArrow(made, f"{PLACES if key == 'places' else 'feature bigint'}, z binary")
 
 
+#: Columns of a part's row that its sums need.
+USED = ["part", "named", "ids", "labels", "counts", "place", "feature", "size", "uses", "back"]
+
+
 def gradients(state: DataFrame, features: Features, model, labels: np.ndarray | None, iteration: int) -> DataFrame:
-    """``of, part, g``: the sums of each part, by what they belong to; the loss stands under ``LOSS``."""
+    """``of, part, g``: the sums of each part, by what they belong to; the loss stands under ``LOSS``.
+
+    The same as ``replies``, feature by feature.
+    """
     width = model.narrow(np.zeros((0, model.width)), labels, iteration).shape[1]
-    live = int(model.live(iteration).sum())
 
     def summed(rows: pa.Table, sent: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())], names=["of", "part", "g"])
-        part = Part(rows, sent, width, len(model.positions))
-        total, loss = np.zeros((len(part.table), live)), 0.0
-        for numbers, at, starts in part.strips():
-            places = part.place[at]
-            more, back = model.misses(part.table[places], part.sizes[at], starts, part.y[numbers], iteration)
-            order = np.argsort(places, kind="stable")
-            firsts = np.flatnonzero(np.diff(places[order], prepend=-1))
-            total[places[order][firsts]] += np.add.reduceat(back[order], firsts, axis=0)
-            loss += more
+        part = Part(rows, width, len(model.positions))
+        part.learn(sent.column("at").to_numpy(), unpacked_numbers(sent.column("z"), width))
+        loss, total = part.gradient(model, iteration)
         keys = np.append(rows_of(rows.column("keys"))[0][part.known], LOSS)
-        found = pa.chunked_array([packed_numbers(total[part.known]), packed_numbers(np.eye(1, live) * loss)])
+        found = pa.chunked_array([packed_numbers(total[part.known]), packed_numbers(np.eye(1, total.shape[1]) * loss)])
         return pa.table([pa.array(keys), pa.array(np.full(len(keys), rows.column("part")[0].as_py())), found], names=["of", "part", "g"])
 
     placed = narrowed(state, model, labels, iteration).select(F.explode("places").alias("p"), "z").select(
         F.col("p.part").alias("to"), F.col("p.at").alias("at"), "z")
-    return (features.packed.groupBy("part").cogroup(placed.groupBy("to"))
+    return (features.packed.select("keys", *USED).groupBy("part").cogroup(placed.groupBy("to"))
             .applyInArrow(summed, "of bigint, part bigint, g binary"))
 
 
+def step(model, w: np.ndarray, s: np.ndarray, g: np.ndarray, labels: np.ndarray | None, iteration: int):
+    """Vectors and their squared gradients after a step, and the gradient by labels."""
+    wide, more = model.widened(g, w, labels, iteration)
+    wide, rate = model.step(w, wide, iteration)
+    s = s + wide * wide
+    return w - rate * wide / (np.sqrt(s) + model.damping), s, more
+
+
 def stepped(state: DataFrame, sums: DataFrame, model, labels: np.ndarray | None, iteration: int, count: int, names: Sequence[int]) -> DataFrame:
-    """The parameters after a step along the mean gradient; under ``LABELS`` what each shard adds to the gradient by labels."""
+    """The parameters after a step along the mean gradient; under ``LABELS`` what each shard adds to the gradient by labels.
+
+    The same as ``moved``, feature by feature.
+    """
     live = int(model.live(iteration).sum())
     schema = pa.schema([("shard", pa.int64()), ("feature", pa.int64()), ("w", pa.binary()), ("s", pa.binary()),
                         ("places", pa.list_(pa.struct([("part", pa.int64()), ("at", pa.int32())])))])
 
     def moved(held: pa.Table, found: pa.Table) -> pa.Table:
-        out, by_labels = [], None
-        if held.num_rows and found.num_rows:
-            # sums by feature, in the order of parts
-            of, by_part = (found.column(c).to_numpy() for c in ("of", "part"))
-            order = np.lexsort((by_part, of))
-            firsts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
-            total = np.add.reduceat(unpacked_numbers(found.column("g"), live)[order], firsts, axis=0) / count
-            held = held.sort_by("feature").combine_chunks()
-            assert np.array_equal(held.column("feature").to_numpy(), of[order][firsts])
-            for low in range(0, held.num_rows, STEP_ROWS):
-                rows = held.slice(low, STEP_ROWS)
-                keys, g = rows.column("feature").to_numpy(), total[low:low + STEP_ROWS]
-                w, s = (matrix_of(rows.column(c), rows.num_rows) for c in ("w", "s"))
-                lost, g = g[:, 0].copy(), np.where(keys[:, None] == LOSS, 0.0, g)
-                wide, more = model.widened(g, w, labels, iteration)
-                wide, rate = model.step(w, wide, iteration)
-                if more is not None:
-                    by_labels = more if by_labels is None else by_labels + more
-                s = s + wide * wide
-                w = w - rate * wide / (np.sqrt(s) + model.damping)
-                w[keys == LOSS, 0] = lost[keys == LOSS]
-                whole = [rows.column("shard"), rows.column("feature"), packed_numbers(w), packed_numbers(s), rows.column("places")]
-                out.append(pa.table([x if isinstance(x, pa.Array) else x.combine_chunks() for x in whole], names=schema.names).cast(schema))
-        if by_labels is not None:
-            out.append(pa.table([held.column("shard").slice(0, 1).combine_chunks(), [LABELS], [by_labels.tobytes()], [b""], [[]]], schema=schema))
-        return pa.concat_tables(out) if out else schema.empty_table()
+        if not held.num_rows or not found.num_rows:
+            return schema.empty_table()
+        # sums by feature, in the order of parts
+        of, by_part = (found.column(c).to_numpy() for c in ("of", "part"))
+        order = np.lexsort((by_part, of))
+        firsts = np.flatnonzero(np.append(True, np.diff(of[order]) != 0))
+        g = np.add.reduceat(unpacked_numbers(found.column("g"), live)[order], firsts, axis=0) / count
+        held = held.sort_by("feature").combine_chunks()
+        keys = held.column("feature").to_numpy()
+        assert np.array_equal(keys, of[order][firsts])
+        lost = keys == LOSS
+        w, s, more = step(model, *(matrix_of(held.column(c), held.num_rows) for c in ("w", "s")), np.where(lost[:, None], 0.0, g), labels, iteration)
+        w[lost, 0] = g[lost, 0]
+        out = [pa.table([held.column("shard"), held.column("feature"), packed_numbers(w), packed_numbers(s), held.column("places")],
+                        names=schema.names).cast(schema)]
+        if more is not None:
+            out.append(pa.table([held.column("shard").slice(0, 1).combine_chunks(), [LABELS], [more.tobytes()], [b""], [[]]], schema=schema))
+        return pa.concat_tables(out)
 
     # the sums come to where the parameters lie, which stay there
     here = sums.withColumn("shard", dealt("of", names)).repartition(len(names), "shard")
@@ -472,6 +578,113 @@ def stepped(state: DataFrame, sums: DataFrame, model, labels: np.ndarray | None,
             .applyInArrow(moved, f"shard bigint, {HELD}, {PLACES}"))
 
 
+# the same in blocks of parameters, with one message for many features
+
+def blocks_of(rows: pa.Table, size: int) -> pa.Table:
+    """The parameters of a shard in the order of their features, ``size`` of them to a row."""
+    rows = rows.sort_by("feature").combine_chunks()
+    ends = np.minimum(np.arange(0, rows.num_rows + size, size), rows.num_rows)
+    ends = ends[:len(ends) - (len(ends) > 1 and ends[-1] == ends[-2])]
+    counts = np.diff(ends)
+    keys = rows.column("feature").to_numpy()
+    return pa.table([np.full(len(counts), rows.column("shard")[0].as_py()), pa.array(np.arange(len(counts)), pa.int32()),
+                     pa.array([keys[a:a + n].tobytes() for a, n in zip(ends, counts)], pa.binary()),
+                     *[packed_numbers(matrix_of(rows.column(c), rows.num_rows), counts) for c in ("w", "s")], pa.nulls(len(counts), pa.binary())],
+                    names=["shard", "block", "keys", "w", "s", "extra"])
+
+
+def routes_of(rows: pa.Table) -> pa.Table:
+    """For each part what it needs of a shard: places in the part's table, and in the shard in the order of its features."""
+    rows = rows.sort_by("feature").combine_chunks()
+    places = rows.column("places").combine_chunks()
+    place = np.repeat(np.arange(rows.num_rows, dtype=np.int32), np.diff(places.offsets.to_numpy()))
+    part, at = (x.to_numpy(zero_copy_only=False) for x in places.flatten().flatten())
+    order = np.lexsort((at, part))
+    part, at, place = part[order], at[order], place[order]
+    starts = np.flatnonzero(np.diff(part, prepend=-1))
+    cuts = [(a + low, min(a + low + ROUTE, b)) for a, b in zip(starts, np.append(starts[1:], len(part))) for low in range(0, b - a, ROUTE)]
+    return pa.table([np.full(len(cuts), rows.column("shard")[0].as_py()), pa.array([part[a] for a, _ in cuts], pa.int64()),
+                     *[pa.array([x[a:b].tobytes() for a, b in cuts], pa.binary()) for x in (at, place)]], names=["shard", "part", "at", "place"])
+
+
+def messages(state: DataFrame, routes: DataFrame, model, labels: np.ndarray | None, iteration: int) -> DataFrame:
+    """What each part needs to know of the vectors of each shard, with the places that it is for."""
+    names = ["to", "shard", "at", "place", "z"]
+
+    def sent(held: pa.Table, routes: pa.Table) -> pa.Table:
+        if not held.num_rows or not routes.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())] * 3, names=names)
+        held = held.sort_by("block")
+        z = model.narrow(numbers_in(held.column("w")).reshape(-1, model.width), labels, iteration)
+        z = z[numbers_in(routes.column("place"), np.int32)]
+        return pa.table([routes.column("part"), routes.column("shard"), routes.column("at"), routes.column("place"),
+                         packed_numbers(z, lengths_in(routes.column("place"), 4))], names=names)
+
+    return (state.filter(F.col("block") >= 0).select("shard", "block", "w").groupBy("shard").cogroup(routes.groupBy("shard"))
+            .applyInArrow(sent, MESSAGES))
+
+
+def replies(asked: DataFrame, features: Features, model, labels: np.ndarray | None, iteration: int, names: Sequence[int]) -> DataFrame:
+    """The sums of each part, for each message one with the same places; one without places holds the loss."""
+    width = model.narrow(np.zeros((0, model.width)), labels, iteration).shape[1]
+    titles = ["shard", "part", "place", "g"]
+
+    def summed(rows: pa.Table, sent: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return pa.table([pa.array([], pa.int64())] * 2 + [pa.array([], pa.binary())] * 2, names=titles)
+        part = Part(rows, width, len(model.positions))
+        at = numbers_in(sent.column("at"), np.int32)
+        part.learn(at, unpacked_numbers(sent.column("z"), width))
+        loss, total = part.gradient(model, iteration)
+        found = packed_numbers(total[at], lengths_in(sent.column("at"), 4))
+        number = rows.column("part")[0].as_py()
+        own = pa.table([[names[0]], [number], [b""], [np.float64(loss).tobytes()]],
+                       schema=pa.schema([("shard", pa.int64()), ("part", pa.int64()), ("place", pa.binary()), ("g", pa.binary())]))
+        return pa.concat_tables([own, pa.table([sent.column("shard"), pa.array(np.full(len(found), number)), sent.column("place"), found], schema=own.schema)])
+
+    return features.packed.select(*USED).groupBy("part").cogroup(asked.groupBy("to")).applyInArrow(summed, REPLIES)
+
+
+def moved(state: DataFrame, found: DataFrame, model, labels: np.ndarray | None, iteration: int, count: int, shards: int) -> DataFrame:
+    """The parameters after a step along the mean gradient, and what each shard adds to the loss and to the gradient by labels."""
+    live = int(model.live(iteration).sum())
+
+    schema = pa.schema([("shard", pa.int64()), ("block", pa.int32()), *[(c, pa.binary()) for c in ("keys", "w", "s", "extra")]])
+
+    def taken(held: pa.Table, found: pa.Table) -> pa.Table:
+        shard = (held if held.num_rows else found).column("shard")[0].as_py()
+        held = held.sort_by("block").combine_chunks()
+        counts = lengths_in(held.column("keys"), 8)
+        total, loss, by_labels = np.zeros((int(counts.sum()), live)), 0.0, None
+        # in the order of parts; the messages of a part are about different features
+        found = found.sort_by([("part", "ascending")])
+        for place, g in zip(found.column("place"), found.column("g")):
+            place, g = np.frombuffer(place.as_buffer(), np.int32), np.frombuffer(g.as_buffer())
+            if len(place):
+                total[place] += g.reshape(-1, live)
+            else:
+                loss += g[0]
+        total /= count
+        low, out = 0, []
+        for n, w, s in zip(counts.tolist(), held.column("w"), held.column("s")):
+            w, s = (np.frombuffer(x.as_buffer()).reshape(n, model.width) for x in (w, s))
+            w, s, more = step(model, w, s, total[low:low + n], labels, iteration)
+            if more is not None:
+                by_labels = more if by_labels is None else by_labels + more
+            out.append((w, s))
+            low += n
+        extra = np.append(loss / count, [] if by_labels is None else by_labels)
+        own = pa.table([[shard], [-1], [None], [None], [None], [extra.tobytes()]], schema=schema)
+        if not out:
+            return own
+        both = [packed_numbers(np.concatenate(x), counts) for x in zip(*out)]
+        return pa.concat_tables([own, pa.table([held.column("shard"), held.column("block"), held.column("keys"), *both,
+                                                pa.nulls(len(out), pa.binary())], schema=schema)])
+
+    here = found.repartition(shards, "shard")
+    return state.filter(F.col("block") >= 0).groupBy("shard").cogroup(here.groupBy("shard")).applyInArrow(taken, BLOCKS)
+
+
 def fit(features: Features, model, vectors: DataFrame | None = None) -> DataFrame:
     """The parameter table after the model's iterations: ``feature, w, s``.
 
@@ -485,23 +698,31 @@ def fit(features: Features, model, vectors: DataFrame | None = None) -> DataFram
     sent = named * (16 + 8 * len(model.positions) * len(getattr(model, "choices", [0])))
     shards = max(spark.sparkContext.defaultParallelism, -(-known * model.width * 8 // SHARD_BYTES), -(-sent // SHARD_BYTES))
     names = spread_numbers(spark, shards)
-    path = new_path(spark, "parameters")
+    first, ways, path = (new_path(spark, name) for name in ("first", "routes", "parameters"))
+    size = max(1, BLOCK_BYTES // (8 * model.width))
     with shuffles_deleted(spark):
-        state = stored_by(initial(features, model, vectors).withColumn("shard", dealt("feature", names)).repartition(shards, "shard"), "shard", shards, path)
-        labels, squares = model.shared(), 0.0
+        start = initial(features, model, vectors).filter(F.col("feature") > LOSS).withColumn("shard", dealt("feature", names))
+        start = stored_by(start.repartition(shards, "shard"), "shard", shards, first).groupBy("shard")
+        routes = stored_by(start.applyInArrow(routes_of, ROUTES), "shard", shards, ways)
+        state = stored_by(start.applyInArrow(lambda rows: blocks_of(rows, size), BLOCKS), "shard", shards, path)
+        forget(spark, first)
+        labels, squares, lost = model.shared(), 0.0, 0.0
         for iteration in range(model.iterations if features.count else 0):
             after, here = new_path(spark, "parameters"), stored(spark, path)
-            sums = gradients(here, features, model, labels, iteration)
-            state = stored_by(stepped(here, sums, model, labels, iteration, features.count, names), "shard", shards, after)
+            found = replies(messages(here, routes, model, labels, iteration), features, model, labels, iteration, names)
+            state = stored_by(moved(here, found, model, labels, iteration, features.count, shards), "shard", shards, after)
+            # one row of the width of all labels for each shard
+            more = state.filter(F.col("block") < 0).select("shard", "extra").collect()
+            added = [np.frombuffer(r["extra"]) for r in sorted(more, key=lambda r: r["shard"])]
+            lost = sum(x[0] for x in added)
             if labels is not None:
-                # one row of the width of all labels for each shard
-                more = state.filter(F.col("feature") == LABELS).select("shard", "w").collect()
-                g = sum(np.frombuffer(r["w"]) for r in sorted(more, key=lambda r: r["shard"]))
+                g = sum(x[1:] for x in added if len(x) > 1)
                 squares = squares + g * g
                 labels = labels - model.rate * g / (np.sqrt(squares) + TINY)
             forget(spark, path)
             path = after
-    special = [(LOSS, [float(np.frombuffer(state.filter(F.col("feature") == LOSS).first()["w"])[0])], [0.0])]
+        forget(spark, ways)
+    special = [(LOSS, [float(lost)], [0.0])]
     if labels is not None:
         special.append((LABELS, labels.tolist(), (labels * 0 + squares).tolist()))
     return as_lists(state).unionByName(spark.createDataFrame(special, STATE))
@@ -529,12 +750,13 @@ def scores(state: DataFrame, features: Features, model, vectors: DataFrame | Non
     def scored(rows: pa.Table, sent: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return pa.table([pa.array([], pa.int64()), pa.array([], pa.list_(pa.float64()))], names=["id", "scores"])
-        part = Part(rows, sent, width, len(model.positions))
-        out = np.full((len(part.ids), width), 0.5)
-        for numbers, at, starts in part.strips():
-            out[numbers] = model.answers(part.table[part.place[at]], part.sizes[at], starts, None)
+        part = Part(rows, width, len(model.positions))
+        part.learn(sent.column("at").to_numpy(), unpacked_numbers(sent.column("z"), width))
+        out = np.empty((len(part.ids), width))
+        for low, _, p in part.answers(model, None):
+            out[low:low + len(p)] = p
         return pa.table([pa.array(part.ids), arrays(out)], names=["id", "scores"])
 
     placed = features.needs.join(narrowed(state.select("feature", "w"), model, shared, None), "feature").select(F.col("part").alias("to"), "at", "z")
-    return (features.packed.groupBy("part").cogroup(placed.groupBy("to"))
+    return (features.packed.select(*USED[:-2]).groupBy("part").cogroup(placed.groupBy("to"))
             .applyInArrow(scored, "id bigint, scores array<double>"))

@@ -163,3 +163,42 @@ def test_vectors_are_moved_as_bytes(spark, monkeypatch):
     after = gradient.stepped(state.withColumn("shard", gradient.dealt("feature", names)), sums, model, model.shared(), 0, 120, names)
     rows = after.filter(F.col("feature") > gradient.LOSS).select("feature", F.octet_length("w").alias("n")).collect()
     assert {r["n"] for r in rows} == {64} and len(rows) == len({r["feature"] for r in rows}) == features.needs.select("feature").distinct().count()
+
+
+def test_parts_and_shards_exchange_packed_messages(spark, monkeypatch):
+    """An iteration moves a row for each part and shard, not for each feature, and its sums and steps are those feature by feature."""
+    monkeypatch.setattr(gradient, "LEAST_ROWS", 60)
+    monkeypatch.setattr(gradient, "STRIP_ROWS", 16)
+    monkeypatch.setattr(gradient, "SUMMED", 64)
+    features = gradient.featurise(lines(spark, 180), "text", "meter", [1, 2], 2, 50)
+    names = gradient.spread_numbers(spark, 2)
+    for model in (gradient.LowRank([1, 2], 8, 0.5, 2), gradient.Linear([1, 2], [{"n": 1}, {"max_iter": 1}], max_iter=2)):
+        labels = None if model.shared() is None else np.arange(16) / 16
+        state = gradient.initial(features, model, None).withColumn("shard", gradient.dealt("feature", names))
+        rows = state.filter(F.col("feature") > gradient.LOSS).groupBy("shard")
+        blocks = rows.applyInArrow(lambda x: gradient.blocks_of(x, 10), gradient.BLOCKS)
+        routes = rows.applyInArrow(gradient.routes_of, gradient.ROUTES)
+        asked = gradient.messages(blocks, routes, model, labels, 1)
+        assert asked.count() <= features.parts * 2 < features.needs.count() / 4
+        found = gradient.replies(asked, features, model, labels, 1, names)
+        assert found.count() <= features.parts * 3
+        after = gradient.moved(blocks, found, model, labels, 1, 180, 2).collect()
+        want = gradient.stepped(state, gradient.gradients(state, features, model, labels, 1), model, labels, 1, 180, names).collect()
+        got = {k: (w, s) for r in after if r["block"] >= 0 for k, w, s in zip(
+            np.frombuffer(r["keys"], np.int64).tolist(), *(np.frombuffer(r[c]).reshape(-1, model.width) for c in ("w", "s")))}
+        by = {r["feature"]: r for r in want if r["feature"] > gradient.LOSS}
+        assert set(got) == set(by) and all(np.allclose(got[k][0], np.frombuffer(by[k]["w"])) and np.allclose(got[k][1], np.frombuffer(by[k]["s"])) for k in by)
+        lost = [np.frombuffer(r["w"])[0] for r in want if r["feature"] == gradient.LOSS]
+        assert np.isclose(sum(np.frombuffer(r["extra"])[0] for r in after if r["block"] < 0), lost[0])
+
+
+def test_terms_have_the_features_and_sizes_of_their_words(spark):
+    """Words, then pairs, then triples, by place; sizes follow from the number of terms."""
+    rows = spark.createDataFrame([(0, "a b  c"), (1, ""), (2, None), (3, "a")], "id bigint, text string")
+    grams = lambda *g: [F.xxhash64(F.lit(x)) for x in g]
+    own = lambda *g: [F.shiftrightunsigned(x, 1) for x in grams(*g)]
+    shared = lambda *g: [-1 - F.pmod(x, F.lit(50)) for x in grams(*g)]
+    want = rows.filter("id = 0").select(F.array(*own("a", "b", "c", "</s>"), *shared("a b", "b c", "c </s>", "a b c", "b c </s>"))).first()[0]
+    found = {r["id"]: r["f"] for r in rows.select("id", gradient.term_features(F.col("text"), 3, 50).alias("f")).collect()}
+    assert found[0] == want and len(found[1]) == len(found[2]) == 1 and len(found[3]) == 3
+    assert gradient.sizes_of(np.array([9, 1, 3]), 3).tolist() == [1, 1, 1, 1, 2, 2, 2, 3, 3, 1, 1, 1, 2]
