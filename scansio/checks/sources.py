@@ -13,7 +13,7 @@ from scansio.functions.text import clean_text
 from scansio.operators import features, filters, metrics, sampling
 from scansio.operators.dedup import dedup_first
 from scansio.plans import corpus, prepare
-from scansio.session import bounded, new_path, stage
+from scansio.session import bounded, new_path, shuffles_deleted, stage, staging
 from scansio.sources import readers, writers
 
 
@@ -45,11 +45,9 @@ FILE_BYTES = 256 << 20
 def _large_files(rows, order, path, ends, comma=","):
     """JSON texts (value) as files of one JSON value each, in order; the stand-in of files that grew large elsewhere.
 
-    One file up to ``FILE_BYTES``, then one for each range of that size, which is what a task writes.
+    One file up to ``FILE_BYTES``, then one for each range of that size, which is what a task writes.  What is
+    staged and shuffled for that goes when the files are written.
     """
-    held = stage(rows, "values")
-    total = held.agg(F.sum(F.octet_length("value") + 2)).first()[0] or 0
-
     def framed(batches):
         begun = False
         for batch in batches:
@@ -62,8 +60,12 @@ def _large_files(rows, order, path, ends, comma=","):
         if begun:
             yield pa.RecordBatch.from_arrays([pa.array([ends[1]])], ["value"])
 
-    (held.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order).select("value")
-     .mapInArrow(framed, "value string").write.text(path, lineSep="\n"))
+    spark = rows.sparkSession
+    with staging(spark), shuffles_deleted(spark):
+        held = stage(rows, "values")
+        total = held.agg(F.sum(F.octet_length("value") + 2)).first()[0] or 0
+        (held.repartitionByRange(max(1, -(-total // FILE_BYTES)), *order).sortWithinPartitions(*order).select("value")
+         .mapInArrow(framed, "value string").write.text(path, lineSep="\n"))
 
 
 @check("src_json_split", "SELECT raw AS line_text, raw_pattern AS metrical_pattern, manually_checked FROM verses")

@@ -12,8 +12,12 @@ sum inside a block of the file and the sums of the blocks before it:
 3. a piece that comes down to the depth of a record ends one, and the number of
    such pieces before it is its record's number.
 
-Pieces of one record are then put together and parsed.  No block is ever read by
-a task that has another one, and the only rows that meet are those of a record.
+This takes numbers alone, a few bytes for a piece, and what it finds is a row for
+each block: where its first record ends, and which block that record begins in.
+Then the files are read once more, and each piece goes to the block that its
+record begins in, where records are numbered, put together and parsed.  So the
+text is moved once and stored nowhere else; a block is never read by a task that
+has another one, and rows of different blocks meet only for a record between them.
 """
 
 from __future__ import annotations
@@ -38,27 +42,80 @@ def braces(text: Column) -> Column:
 
 
 def pieces(spark: SparkSession, path: str) -> DataFrame:
-    """``file, block, row, value`` and what a piece adds: quotes, and braces for either way it may start."""
+    """``file, block, row, value``, sizes, and what a piece adds: quotes, and braces for either way it may start."""
     read = spark.read.text(path, lineSep="}").select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
-        F.col("_metadata.file_size").alias("bytes"), F.monotonically_increasing_id().alias("row"), "value")
-    plain = read.withColumn("plain", F.regexp_replace("value", r"\\.", ""))
-    inside = F.regexp_replace("plain", '^[^"]*("|$)', "")
-    return plain.select(
-        *BLOCK, "row", "value", "bytes", (F.length("plain") - F.length(F.replace("plain", F.lit('"')))).alias("quotes"),
-        braces(outside(F.col("plain"))).alias("open_outside"), braces(outside(inside)).alias("open_inside"))
+        F.col("_metadata.file_block_length").alias("length"), F.col("_metadata.file_size").alias("bytes"),
+        F.monotonically_increasing_id().alias("row"), "value")
+    # patterns are matched only where there is something to find; what is outside for one way of starting is inside for the other
+    plain = read.withColumn("plain", F.when(F.contains("value", F.lit("\\")), F.regexp_replace("value", r"\\.", "")).otherwise(F.col("value")))
+    opened = plain.withColumn("opened", braces(F.col("plain"))).withColumn(
+        "open_outside", F.when(F.col("opened") == 0, 0).otherwise(braces(outside(F.col("plain")))))
+    return opened.select(
+        *BLOCK, "length", "row", "value", "bytes", (F.length("plain") - F.length(F.replace("plain", F.lit('"')))).alias("quotes"),
+        "open_outside", (F.col("opened") - F.col("open_outside")).alias("open_inside"))
+
+
+def before(amount: Column, *rows: str) -> Column:
+    """The sum of ``amount`` over all rows before in the order of ``rows[1:]``, among those of one ``rows[0]`` of a file."""
+    over = Window.partitionBy("file", rows[0]).orderBy(*rows[1:]).rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum(amount.cast("bigint")).over(over), F.lit(0))
+
+
+def in_blocks(read: DataFrame, depth: int) -> DataFrame:
+    """One row for each block of a file.
+
+    ``least`` and ``most``: its rows; ``first_end``: the last row of the record that
+    goes on from before, none if that does not end here and -1 where a file begins;
+    ``began`` and ``began_at``: the block that this record begins in and the number
+    of the first record that begins there; ``here_at``: the number of the first that
+    begins in this block; ``last_row``, ``final`` and ``broken``: the file's last row,
+    if it is here, whether that has no brace, and whether no whole value ends there.
+    """
+    numbers = stage(read.select(*BLOCK, "length", "row", "bytes", (F.octet_length("value") + 1).alias("size"), (F.col("quotes") % 2).alias("odd"),
+                                "open_outside", "open_inside"), "pieces")
+    # one row for each file; a file that ends with a brace has no piece without one
+    ends = numbers.groupBy("file").agg(F.max(F.struct("block", "row")).alias("end"), (F.sum("size") - F.max("bytes")).alias("more"))
+    whole = F.when(F.col("more").isin(0, 1), F.col("more") == 1).otherwise(
+        F.raise_error(F.concat(F.lit("not a plain text file: "), "file")).cast("boolean"))
+    ends = bounded(ends.select("file", "end", whole.alias("whole")), "ends")
+    # brought to the pieces: dealt by file, those of a large file would meet in one task
+    known = numbers.join(ends, "file").withColumn("is_last", F.struct("block", "row") == F.col("end")).withColumn(
+        "final", F.col("is_last") & F.col("whole"))
+    # for a block that starts outside a string, and for one that starts inside
+    turned = known.withColumn("turns", before(F.col("odd"), "block", "row") % 2)
+    deltas = turned.withColumns({f"delta{p}": delta(F.col("turns") + p) for p in (0, 1)})
+    deep = stage(deltas.select(*BLOCK, "length", "row", "odd", "turns", "is_last", "final", "delta0", "delta1",
+                               *[(before(F.col(f"delta{p}"), "block", "row") + F.col(f"delta{p}")).alias(f"after{p}") for p in (0, 1)]), "deep")
+    blocks = deep.groupBy(*BLOCK).agg(F.sum("odd").alias("odd"), *[F.sum(f"delta{p}").alias(f"delta{p}") for p in (0, 1)])
+    by_file = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.withColumn("starts", F.coalesce(F.sum("odd").over(by_file), F.lit(0)) % 2)
+    down = F.when(F.col("starts") == 1, F.col("delta1")).otherwise(F.col("delta0"))
+    blocks = bounded(blocks.select(*BLOCK, "starts", F.coalesce(F.sum(down).over(by_file), F.lit(0)).alias("depth")), "blocks")
+    after = F.col("depth") + F.when(F.col("starts") == 1, F.col("after1")).otherwise(F.col("after0"))
+    open_at_end = (F.col("turns") + F.col("starts") + F.col("odd")) % 2 == 1
+    ended = ~F.col("final") & ~open_at_end & (after == depth)
+    # an array ends with a bracket, so behind its last brace
+    broken = F.col("is_last") & (open_at_end | (after != 0) | (~F.col("final") if depth == 0 else F.lit(False)))
+    found = deep.join(blocks, BLOCK).groupBy(*BLOCK, "length").agg(
+        F.min("row").alias("least"), F.max("row").alias("most"), F.min(F.when(ended, F.col("row"))).alias("first_end"),
+        F.sum(ended.cast("bigint")).alias("ended"), F.max(F.when(F.col("is_last"), F.col("row"))).alias("last_row"),
+        F.max("final").alias("final"), F.max(broken).alias("broken"))
+    # one row for each block of a file
+    number = F.coalesce(F.sum("ended").over(by_file), F.lit(0))
+    opens = F.row_number().over(Window.partitionBy("file").orderBy("block")) == 1
+    found = found.withColumn("here_at", F.when(opens, 0).otherwise(number + 1)).withColumn("first_end", F.when(opens, -1).otherwise(F.col("first_end")))
+    origin = F.last(F.when(F.col("first_end").isNotNull(), F.struct(F.col("block").alias("began"), F.col("here_at").alias("began_at"))),
+                    ignorenulls=True).over(by_file)
+    return bounded(found.withColumn("origin", origin).select(*BLOCK, "length", "least", "most", "first_end", "origin.*", "here_at", "last_row",
+                                                             "final", "broken"), "in_blocks")
 
 
-def summed(rows: DataFrame, amount: Column, name: str) -> DataFrame:
-    """``rows`` with the sum of ``amount`` over all rows before each of its file, as ``name``."""
-    with_it = rows.withColumn("amount", amount.cast("bigint"))
-    # one row for each block of a file
-    blocks = with_it.groupBy(*BLOCK).agg(F.sum("amount").alias("n"))
-    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select(*BLOCK, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
-    inside = Window.partitionBy(*BLOCK).orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
-    return (with_it.withColumn(name, F.coalesce(F.sum("amount").over(inside), F.lit(0)))
-            .join(offsets, BLOCK).withColumn(name, F.col(name) + F.col("offset")).drop("amount", "offset"))
+def delta(quotes_before: Column) -> Column:
+    """How much deeper a piece ends than it starts, with so many quotes before it: its own brace counts outside strings."""
+    open_at_end = (quotes_before + F.col("odd")) % 2 == 1
+    return F.when(quotes_before % 2 == 1, F.col("open_inside")).otherwise(F.col("open_outside")) - F.when(
+        F.col("final") | open_at_end, 0).otherwise(1)
 
 
 def records(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
@@ -69,33 +126,30 @@ def records(spark: SparkSession, path: str, depth: int = 0) -> DataFrame:
     the record, ``last`` marks what stands behind the last one.  A file that ends
     inside a string or at another depth is an error.
     """
-    read = stage(pieces(spark, path), "pieces")
-    # one row for each file; a file that ends with a brace has no piece without one
-    ends = read.groupBy("file").agg(F.max(F.struct("block", "row")).alias("end"),
-                                    (F.sum(F.octet_length("value") + 1) - F.max("bytes")).alias("more"))
-    whole = F.when(F.col("more").isin(0, 1), F.col("more") == 1).otherwise(
-        F.raise_error(F.concat(F.lit("not a plain text file: "), "file")).cast("boolean"))
-    # brought to the pieces: dealt by file, those of a large file would meet in one task
-    read = read.join(bounded(ends, "ends"), "file").withColumn("last_row", F.struct("block", "row") == F.col("end")).withColumn(
-        "final", F.col("last_row") & whole).drop("end", "more", "bytes")
-    quoted = stage(summed(read, F.col("quotes") % 2, "quotes_before"), "quoted")
-    starts_inside = F.col("quotes_before") % 2 == 1
-    ends_inside = (F.col("quotes_before") + F.col("quotes")) % 2 == 1
-    closed = F.when(F.col("final") | ends_inside, 0).otherwise(1)
-    delta = F.when(starts_inside, F.col("open_inside")).otherwise(F.col("open_outside")) - closed
-    deep = stage(summed(quoted.withColumn("delta", delta).withColumn("closed", closed), F.col("delta"), "depth_before"), "deep")
-    after = F.col("depth_before") + F.col("delta")
-    ends_record = (F.col("closed") == 1) & (after == depth)
-    numbered = summed(deep.withColumn("ends", ends_record.cast("int")), F.col("ends"), "record")
-    # an array ends with a bracket, so behind its last brace
-    broken = F.col("last_row") & (ends_inside | (after != 0) | (~F.col("final") if depth == 0 else F.lit(False)))
+    read = pieces(spark, path)
+    known = read.drop("bytes").join(in_blocks(read, depth), [*BLOCK, "length"], "left")
+    # both readings must cut and number the files alike
+    alike = F.coalesce(F.col("row").between(F.col("least"), F.col("most")), F.lit(False))
+    is_last, goes_on = F.coalesce(F.col("row") == F.col("last_row"), F.lit(False)), F.col("first_end").isNull() | (F.col("row") <= F.col("first_end"))
     # the file's own name in the error, and no row of a broken file
-    value = F.when(broken, F.raise_error(F.concat(F.lit("not a whole JSON value: "), "file")).cast("string")).otherwise(
-        F.concat("value", F.when(F.col("final"), "").otherwise("}")))
-    parts = numbered.select("file", "record", F.struct("block", "row", value.alias("value")).alias("part"), "ends")
-    return parts.groupBy("file", "record").agg(
+    value = F.when(~alike, F.raise_error(F.concat(F.lit("changed while it was read: "), "file")).cast("string")).when(
+        is_last & F.col("broken"), F.raise_error(F.concat(F.lit("not a whole JSON value: "), "file")).cast("string")).otherwise(
+        F.concat("value", F.when(is_last & F.col("final"), "").otherwise("}")))
+    homes = known.select(*BLOCK, "row", value.alias("value"), (F.col("quotes") % 2).alias("odd"), "open_outside", "open_inside",
+                         (is_last & F.col("final")).alias("final"), F.when(goes_on, F.col("began")).otherwise(F.col("block")).alias("home"),
+                         F.when(goes_on, F.col("began_at")).otherwise(F.col("here_at")).alias("at"))
+    place = ["home", "block", "row"]
+    # a home starts behind the end of a record, but for a file's first
+    turned = homes.withColumn("turns", before(F.col("odd"), *place) % 2).withColumn("delta", delta(F.col("turns")))
+    after = F.when(F.col("at") == 0, 0).otherwise(depth) + F.col("before") + F.col("delta")
+    ends = ~F.col("final") & ((F.col("turns") + F.col("odd")) % 2 == 0) & (after == depth)
+    deep = turned.withColumn("before", before(F.col("delta"), *place)).withColumn("ends", ends.cast("int"))
+    numbered = deep.withColumn("record", F.col("at") + before(F.col("ends"), *place))
+    parts = numbered.select("file", "home", "record", F.struct("block", "row", "value").alias("part"), "ends")
+    # the pieces of a home are together
+    return parts.groupBy("file", "home", "record").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["value"]), "").alias("value"),
-        (F.max("ends") == 0).alias("last"))
+        (F.max("ends") == 0).alias("last")).drop("home")
 
 
 def checked(value: Column, pattern: str, file: Column) -> Column:

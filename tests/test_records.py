@@ -98,3 +98,39 @@ def test_pieces_of_a_file_do_not_meet(spark, tmp_path, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert seen and not [p for p in seen if re.search(r"SortMergeJoin \[file#\d+\],", p)]
+
+
+def test_text_is_stored_nowhere_but_in_its_files(spark, tmp_path, blocks, monkeypatch):
+    """Splitting stages a few bytes for a piece and moves its text once; values staged for large files go with their shuffle."""
+    import os
+    from scansio.checks import sources
+    folder = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(folder))
+    rows = spark.range(300).select("id", F.format_string('{"line_text": "%s", "metrical_pattern": "}"}', F.repeat(F.sha2(F.col("id").cast("string"), 256), 8)).alias("value"))
+    monkeypatch.setattr(sources, "FILE_BYTES", 60000)
+    sources._large_files(rows, ["id"], f"{tmp_path}/many", "[]")
+    assert set(os.listdir(folder)) == before
+    found = records.records(spark, f"{tmp_path}/many")
+    new = [os.path.join(at, x) for name in set(os.listdir(folder)) - before for at, _, xs in os.walk(os.path.join(folder, name)) for x in xs if x.endswith(".parquet")]
+    columns = {c for p in new for c in spark.read.parquet(p).columns}
+    assert new and "value" not in columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert found.filter("not last").count() == 300
+
+
+def test_records_between_blocks(spark, tmp_path):
+    """Records longer than a block, shorter than one, and blocks without the end of any, whatever strings hold."""
+    made = [{"line_text": "{}\"\\[" * n, "metrical_pattern": None, "manually_checked": True} for n in (1, 400, 0, 3, 900, 2, 2, 60)]
+    (tmp_path / "a.json").write_text(json.dumps(made))
+    (tmp_path / "b.json").write_text(json.dumps(made[::-1], indent=1))
+    for size in ("512", "100000"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        try:
+            rows = readers.read_lines(spark, str(tmp_path), split=True).orderBy("line_id").collect()
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+        assert [r["line_text"] for r in rows] == [x["line_text"] for x in made + made[::-1]]
+        assert [r["line_id"]["record"] for r in rows] == [*range(8)] * 2
